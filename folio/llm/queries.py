@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.byte_bpe import op1_byte_bpe
+from folio.llm.licenses import op5_licenses
+from folio.llm.packing import op7_best_fit_packing
+from folio.llm.quality import op2_quality
+from folio.llm.simhash import op8_simhash
+from folio.llm.warc_store import OP10_SQL, op10_warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality": op2_quality,
+    "op5_licenses": op5_licenses,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_simhash": op8_simhash,
+    "op10_warc_store": op10_warc_store,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_warc_store": OP10_SQL}
