@@ -8,17 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm.byte_bpe import op1_byte_bpe
 from folio.llm.licenses import op5_licenses
+from folio.llm.line_dedup import op4_line_dedup
+from folio.llm.merkle import op3_merkle
 from folio.llm.packing import op7_best_fit_packing
+from folio.llm.pii import op9_pii
 from folio.llm.quality import op2_quality
 from folio.llm.simhash import op8_simhash
+from folio.llm.toxicity import op6_toxicity
 from folio.llm.warc_store import OP10_SQL, op10_warc_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
+    "op3_merkle": op3_merkle,
+    "op4_line_dedup": op4_line_dedup,
     "op5_licenses": op5_licenses,
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_warc_store": op10_warc_store,
 }
 
