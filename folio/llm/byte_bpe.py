@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from folio.llm.common import table
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces up to this many characters are remembered, up to this many of them in each Python worker. Both only save time.
-MEMO_CHARS, MEMO_PIECES = 48, 1_000_000
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 300_000, 200_000
 
 
 class _Memo(dict):
@@ -60,14 +60,19 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.pieces = regex.compile(pattern)
-        self._automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self._automaton.make_automaton()
         self._shorter: dict[int, int] = {}
         self._compatible: dict[tuple[int, int], bool] = {}
         self._memo = _Memo(self)
 
+    @cached_property
+    def _automaton(self) -> ahocorasick.Automaton:
+        """Built when first used: workers that only decode do without."""
+        automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            automaton.add_word(token.decode("latin-1"), (len(token), rank))
+        automaton.make_automaton()
+        return automaton
+
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
         with open(path, "rb") as lines:
@@ -89,7 +94,7 @@ class ByteBpe:
         if known is None:
             data = self.vocabulary[left] + self.vocabulary[right]
             known = data not in self.ranks and self._merge(data) == [left, right]
-            if len(self._compatible) > 2_000_000:
+            if len(self._compatible) > MEMO_PAIRS:
                 self._compatible.clear()
             self._compatible[left, right] = known
         return known
