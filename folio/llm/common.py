@@ -45,6 +45,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """All rows of ``df`` if it has at most ``most``, else about as many: those whose hash of ``columns`` is smallest.
+
+    The rows are chosen one by one against a fixed bound, so nothing is sorted or gathered, and a rerun chooses the same.
+    """
+    n = df.count()
+    bound = int(most / max(n, 1) * (1 << 31))
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*columns), F.lit(1 << 31)) < bound)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

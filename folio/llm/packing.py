@@ -45,6 +45,8 @@ class WordIds(dict):
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._merges = self._tokenizer.model.tokenize
+        # other letters may become several characters when lowered
+        self._ends_plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]").match
         self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         # bytes 0x80-0xFF as the letters that stand for them in a byte-level vocabulary
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -52,7 +54,7 @@ class WordIds(dict):
         self._letters = {b: 256 + i for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[-2:-1].isalnum():  # a mark after a letter or digit is a token of its own
+        if word[-1:] in (".", ",") and self._ends_plain(word, len(word) - 2):  # a mark after a letter or digit is a token of its own
             packed = self[word[:-1]] + self[word[-1]]
         elif self._plain(word):  # one letter run that normalisation only lowers: it goes to the merges as it is
             tokens = self._merges(word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self._letters))

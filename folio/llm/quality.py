@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.boosting import Boosted, fit
-from folio.llm.common import table
+from folio.llm.common import hash_sample, table
 
-#: At most so many labelled rows train the trees, those with the smallest hash of their id. The sample is bounded; everything else covers all rows.
+#: About so many labelled rows at most train the trees, those with the smallest hash of their id. Everything else covers all rows.
 MAX_LABELLED = 20_000
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: Share of good labelled documents that the threshold may cost.
@@ -107,11 +107,11 @@ class QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> QualityModel:
-    """Trees from at most ``most`` labelled documents."""
+    """Trees from about ``most`` labelled documents at most."""
     sample = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    # at most MAX_LABELLED rows of two numbers: broadcast by that bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s")).limit(4 * most)
+    # about MAX_LABELLED rows of two numbers: broadcast by that bound
+    sample = F.broadcast(hash_sample(sample, most, "doc_id"))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s"))
     data = rows.select("doc_id", "quality", "s.*").orderBy("doc_id", "quality", *STATS).toPandas()
     monotone = {FEATURES.index(f): -1 for f in FALLING}
     x, y = features(data[STATS].to_numpy().reshape(-1, len(STATS))), data["quality"].to_numpy()

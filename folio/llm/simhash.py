@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, written
+from folio.llm.common import hash_sample, table, written
 from folio.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
-#: Fingerprints whose hashes are smallest; they only steer the parts and thresholds.
+#: About so many fingerprints at most, those with the smallest hashes; they only steer the parts and thresholds.
 SAMPLE = 2048
 #: Largest bucket that is verified pair by pair.
 HOT = 256
@@ -195,7 +195,7 @@ def _hot_links(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints whose closure is that of all links of at most 3 bits."""
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], "<i8")
+    sample = np.sort(np.array([r[0] for r in hash_sample(fps.select("fp"), SAMPLE, "fp").collect()], "<i8"))
     signatures = _signatures(fps.select("fp"), plan_probes(sample, n))
     sizes = signatures.groupBy("part", "key").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("size > 1 and owned")
     members = signatures.join(sizes.select("part", "key", "size"), ["part", "key"])

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import hash_sample, table
 
-#: At most so many labelled rows, those with the smallest hash of their id, train the word weights and the logistic function.
+#: About so many labelled rows at most, those with the smallest hash of their id, train the word weights and the logistic function.
 MAX_LABELLED = 20_000
 #: The strongest words and beginnings that are kept, how many toxic documents must have one, and the least log-odds.
 MAX_CUES, LEAST_TOXIC, LEAST_ODDS = 20_000, 4, 2.0
@@ -35,8 +35,8 @@ MEMO_TOKENS = 400_000
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~^'`’·,"
-#: Costs of the channel, as negative logs: reading a sign as a letter, dropping a mark, dropping a repeated letter.
-AS_LETTER, DROP_MARK, DROP_REPEAT, KEEP_REPEAT = 0.5, 0.5, 0.2, 3.0
+#: Costs of the channel, as negative logs: reading a sign as a letter, dropping a sign, dropping a mark, dropping a repeated letter.
+AS_LETTER, DROP_SIGN, DROP_MARK, DROP_REPEAT, KEEP_REPEAT = 0.5, 8.0, 0.5, 0.2, 3.0
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _ODD = re.compile(r"[a-zA-ZÀ-ÿ][^\sa-zA-ZÀ-ÿ]+[a-zA-ZÀ-ÿ]|[0-9@$!|+(€£][a-zA-ZÀ-ÿ]|[a-zA-ZÀ-ÿ][0-9@$|+€£]|([a-zA-ZÀ-ÿ])\1\1")
 
@@ -100,7 +100,7 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
                 ways.append((0, DROP_REPEAT))
         else:
             ways += [(ord(x) - 96, AS_LETTER) for x in LEET.get(char, "")]
-            ways.append((0, DROP_MARK if char in MARKS else DROP_MARK + 3.0))
+            ways.append((0, DROP_MARK if char in MARKS else DROP_SIGN))
         before = letter
         out.append(ways)
     return out
@@ -184,20 +184,20 @@ def restore(text: Column, model: np.ndarray) -> Column:
 class ToxicityModel:
     language: np.ndarray
     weights: dict[str, float]
-    logistic: np.ndarray  # of the strongest, second and third cue, and 1
+    logistic: np.ndarray  # of the strength of a text, and 1
 
     def word_weight(self, word: str) -> float:
         return max((self.weights.get(c, 0.0) for c in cues(word)), default=0.0)
 
-    def strongest(self, restorer: Restorer, known: dict[str, float], text: str) -> list[float]:
-        """The three largest weights of the distinct tokens of a text."""
+    def strength(self, restorer: Restorer, known: dict[str, float], text: str) -> float:
+        """The largest weight of the distinct tokens of a text, half the second and a quarter of the third."""
         tokens = set(restorer.tokens(text))
         if len(known) >= MEMO_TOKENS:
             known.clear()
         for t in tokens.difference(known):
             known[t] = self.word_weight(restorer.token(t))
         top = sorted(w for w in map(known.__getitem__, tokens) if w)[-3:][::-1]
-        return top + [0.0] * (3 - len(top))
+        return sum(w / 2**i for i, w in enumerate(top))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.01) -> np.ndarray:
@@ -218,9 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Toxic
     """Character model from all texts; weights and logistic function from labelled rows that are not held out."""
     language = language_model(trigram_counts(docs))
     sample = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold")).where("fold != 0")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-    # at most MAX_LABELLED rows of three numbers: broadcast by that bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic", "fold")
+    # about MAX_LABELLED rows of three numbers: broadcast by that bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(sample, most, "doc_id")), "doc_id").select("text", "toxic", "fold")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, found, size = Restorer(language), [Counter(), Counter()], [0, 0]
@@ -237,34 +236,35 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Toxic
     strong = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * 2 > F.col("clean")) | (F.col("cue") == ""))
     top = strong.orderBy(F.col("cue") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), "cue").limit(MAX_CUES + 1).collect()
     total = next(((r["toxic"], r["clean"]) for r in top if r["cue"] == ""), (0, 0))
-    odds = {r["cue"]: float(np.log((r["toxic"] + 0.5) / (total[0] + 1)) - np.log((r["clean"] + 0.5) / (total[1] + 1))) for r in top if r["cue"]}
-    model = ToxicityModel(language, {c: w for c, w in odds.items() if w >= LEAST_ODDS}, np.array([0.0, 0.0, 0.0, -2.0]))
+    # the counts of clean documents are smoothed more, so that a rare cue never weighs like a frequent one
+    odds = {r["cue"]: float(np.log((r["toxic"] + 0.5) / (total[0] + 1)) - np.log((r["clean"] + 2) / (total[1] + 4))) for r in top if r["cue"]}
+    model = ToxicityModel(language, {c: w for c, w in odds.items() if w >= LEAST_ODDS}, np.array([0.0, -2.0]))
     seen = add_strength(rows.where("fold = 4"), model).select("toxic", "strength").toPandas()
     y = seen["toxic"].to_numpy("float64")
     if total[0] and total[1] and len(y) and 0 < y.mean() < 1:
-        x = np.column_stack([np.stack(seen["strength"].to_numpy()), np.ones(len(y))])
+        x = np.column_stack([seen["strength"].to_numpy("float64"), np.ones(len(y))])
         model.logistic = _logistic(x, y)
     elif sum(total):
         rate = (total[0] + 0.5) / (sum(total) + 1)
-        model.logistic = np.array([0.0, 0.0, 0.0, np.log(rate / (1 - rate))])
+        model.logistic = np.array([0.0, np.log(rate / (1 - rate))])
     return model
 
 
 def add_strength(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``strength``: the three largest weights of the restored text's words."""
+    """``docs`` with ``strength``, from the weights of the restored text's words."""
     restorer, known = Restorer(model.language), {}  # each task has its own and keeps what it restored
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("double")
     def strength(texts: pa.Array) -> pa.Array:
-        return pa.array([model.strongest(restorer, known, t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([model.strength(restorer, known, t or "") for t in texts.to_pylist()], pa.float64())
 
     return docs.withColumn("strength", strength("text"))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``docs`` with ``held_out``, ``score`` and ``predicted``."""
-    a, b, c, d = (F.lit(float(w)) for w in model.logistic)
-    margin = a * F.get("strength", F.lit(0)) + b * F.get("strength", F.lit(1)) + c * F.get("strength", F.lit(2)) + d
+    slope, shift = map(float, model.logistic)
+    margin = F.col("strength") * slope + shift
     scored = add_strength(docs.drop("held_out", "score", "predicted", "strength"), model).withColumn("score", 1 / (1 + F.exp(-margin)))
     return scored.withColumn("held_out", fold_of(F.col("doc_id")) == 0).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).drop("strength")
 
