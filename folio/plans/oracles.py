@@ -118,6 +118,8 @@ ORACLES: dict[str, str] = {
           length('Question: ' || q || {NL} || {NL} || 'Context:' || {NL} || body || {NL} || {NL} || 'Answer in ≤280 chars, telegraphic style:' || {NL}) || ' characters' || {NL} || sources AS output, NULL::VARCHAR AS error
         FROM asked LEFT JOIN g USING (query_id)""",
     "repaired_answers": f"SELECT conv_id, turn, CASE WHEN len({_LINES}) > 0 THEN array_to_string({_LINES}, {NL} || {NL}) || {NL} ELSE '' END AS text FROM conversations WHERE role = 'assistant'",
+    "first_documents_by_hash": f"""SELECT sha256, document_id, path FROM (SELECT sha256(text) AS sha256, doc_id AS document_id, {PATH} AS path, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1""",
+    "chunk_counts": "SELECT doc_id AS document_id, (doc_id IN (SELECT vec_id FROM embeddings))::BIGINT AS chunks FROM documents",
     "kb_stats": """SELECT count(*) AS total_documents, count(*) AS total_chunks, count(*) FILTER (doc_id IN (SELECT vec_id FROM embeddings)) AS embedded_chunks, coalesce(sum(length(text)), 0)::BIGINT AS total_size_bytes,
         (count(*) FILTER (doc_id IN (SELECT vec_id FROM embeddings)) * 100 // count(*)) || '%' AS embedded_percent FROM documents""",
     "document_list": f"SELECT doc_id AS document_id, {PATH} AS path, doc_id::VARCHAR AS title, (doc_id IN (SELECT vec_id FROM embeddings))::BIGINT AS chunks FROM documents",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as X
 from folio.functions.html import html_text
 from folio.functions.vectors import cosine, from_bytes, to_bytes
-from folio.operators import changes, hybrid, keyword, metadata, normalize, prompt, report, snapshot, vector
+from folio.operators import changes, hybrid, keyword, lookup, metadata, normalize, prompt, report, snapshot, vector
 from folio.operators.chunking import chunk_documents
 from folio.operators.ingest import Options, ingest, summary
 from folio.plans import corpus
@@ -219,6 +219,16 @@ def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.inline(shown))
 
 
+@query
+def first_documents_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.first_by_hash(corpus.documents(spark, sf_dir).select("document_id", "path", "sha256"))
+
+
+@query
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.chunk_counts(corpus.headings(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir))
+
+
 @query
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = report.kb_stats(corpus.headings(spark, sf_dir), corpus.text_and_vectors(spark, sf_dir))

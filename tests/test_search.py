@@ -1,6 +1,6 @@
 import pytest
 
-from folio.operators import hybrid, keyword, metadata, vector
+from folio.operators import hybrid, keyword, lookup, metadata, vector
 from folio.operators.ranking import effective_k
 
 CHUNKS = [
@@ -95,6 +95,16 @@ def test_metadata(spark, kb):
     assert {(r["key"], r["value"]) for r in auto.collect()} == {("filename", "README.MD"), ("extension", "md"), ("mime", "text/markdown"), ("dir", "/d")}
 
 
+def test_lookup(spark, kb):
+    chunks = kb[0]
+    docs = spark.createDataFrame([(2, "/b.md", "x"), (1, "/a.md", "x"), (3, "/c.md", "y")], "document_id long, path string, sha256 string")
+    assert lookup.document_by_path(docs, "/b.md").first()["document_id"] == 2 and lookup.document_by_path(docs, "/z").count() == 0
+    assert lookup.document_by_hash(docs, "x").first()["document_id"] == 1
+    assert {(r["sha256"], r["document_id"]) for r in lookup.first_by_hash(docs).collect()} == {("x", 1), ("y", 3)}
+    assert [r["chunk_index"] for r in lookup.chunks_of(chunks, 1).collect()] == [0, 7]
+    assert {tuple(r) for r in lookup.chunk_counts(docs, chunks).collect()} == {(1, 2), (2, 2), (3, 0)}
+
+
 def test_embedding_errors(spark, kb):
     chunks = kb[0].select("chunk_id", "text")
     good = vector.embed_chunks(chunks, vector.hashed_embedder(8)).collect()
