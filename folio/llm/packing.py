@@ -31,8 +31,8 @@ from folio.llm.common import table
 
 SEQUENCE, END_ID, GROUP_DOCS = 2048, 0, 8192
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
-#: Words up to this many characters are remembered, up to this many of them in each Python worker. Both only save time.
-MEMO_CHARS, MEMO_WORDS = 48, 500_000
+#: Words up to this many characters are remembered, up to this many in each of two generations in each Python worker. Both only save time.
+MEMO_CHARS, MEMO_WORDS = 48, 200_000
 
 
 class WordIds(dict):
@@ -42,6 +42,7 @@ class WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self._elder: dict[str, bytes] = {}  # what the memo held when it was last full; what is met again moves on
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._merges = self._tokenizer.model.tokenize
@@ -54,20 +55,25 @@ class WordIds(dict):
         self._letters = {b: 256 + i for i, b in enumerate(hidden)}
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and self._ends_plain(word, len(word) - 2):  # a mark after a letter or digit is a token of its own
-            packed = self[word[:-1]] + self[word[-1]]
-        elif self._plain(word):  # one letter run that normalisation only lowers: it goes to the merges as it is
-            tokens = self._merges(word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self._letters))
-            packed = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        else:
-            ids = self._tokenizer.encode(word, add_special_tokens=False).ids
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self._elder.get(word)
+        if packed is None:
+            packed = self._encoded(word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
+                self._elder = dict(self)
                 self.clear()
             self[word] = packed
         return packed
 
+    def _encoded(self, word: str) -> bytes:
+        if word[-1:] in (".", ",") and self._ends_plain(word, len(word) - 2):  # a mark after a letter or digit is a token of its own
+            return self[word[:-1]] + self[word[-1]]
+        if self._plain(word):  # one letter run that normalisation only lowers: it goes to the merges as it is
+            tokens = self._merges(word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self._letters))
+            return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        ids = self._tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -86,8 +92,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
         ids_of, end = _word_ids(path), struct.pack("<I", END_ID)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = ids_of.text(text or "") + end
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time: a batch is large enough as it is
+                doc_id, data = doc_id.as_py(), ids_of.text(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))

@@ -31,7 +31,7 @@ MAX_LABELLED = 20_000
 #: The strongest words and beginnings that are kept, how many toxic documents must have one, and the least log-odds.
 MAX_CUES, LEAST_TOXIC, LEAST_ODDS = 20_000, 4, 2.0
 #: Tokens remembered in each Python worker; this only saves time.
-MEMO_TOKENS = 400_000
+MEMO_TOKENS = 150_000
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
 MARKS = ".-_*~^'`’·,"
