@@ -104,13 +104,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = _keyed(table(spark, sf_dir, "documents"))
     next_of = successors(keyed)
-    own = with_leaves(keyed, "text", "leaves")
     # what each document gets from its successor: at most a third of its own length, so little text moves for it
     own_size = keyed.select("k1", "k2", F.floor(F.char_length("text") / 3).cast("int").alias("taken")).distinct()
     wanted = next_of.join(own_size, ["k1", "k2"]).select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("t1"), F.col("k2").alias("t2"), "taken")
-    given = own.select("k1", "k2", "text", "leaves").join(wanted, ["k1", "k2"])
-    given = given.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.expr("left(text, taken)").alias("given"), F.col("leaves").alias("next_leaves")).dropDuplicates(["k1", "k2"])
-    both = own.select("k1", "k2", "doc_id", "text", "leaves").join(given, ["k1", "k2"])
+    # both joins read the same columns of the texts, so that one shuffle of them serves both; leaves are made after it
+    given = with_leaves(keyed.join(wanted, ["k1", "k2"]), "text", "leaves")
+    given = given.select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), F.expr("left(text, taken)").alias("given"), F.col("leaves").alias("next_leaves"), F.col("doc_id").alias("next_doc_id"))
+    both = with_leaves(keyed.join(given.dropDuplicates(["k1", "k2"]), ["k1", "k2"]), "text", "leaves")
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 3) AS int))"), "given"))
     both = with_leaves(both, "edited", "edited_leaves")
@@ -123,4 +123,5 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
         likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+        "next_doc_id",
     )
