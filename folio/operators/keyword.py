@@ -14,7 +14,7 @@ from folio.operators.ranking import effective_k, hydrated, top
 
 #: Constants of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-_BLANK = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -1,8 +1,7 @@
 """A knowledge base as versioned Parquet tables.
 
-Each write makes a new version folder of a table; the file ``CURRENT`` of a version manifest, itself a one-row table, names
-the versions that belong together and is written last. Readers see either the old or the new state, and nothing is
-overwritten while it is read.
+Each write makes a new version folder of a table. A manifest, itself a small table, says which versions belong together, and
+gets its rows last: readers see either the old or the new state, and nothing is overwritten while it is read.
 """
 
 from __future__ import annotations
