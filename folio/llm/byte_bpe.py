@@ -27,29 +27,39 @@ from pyspark.sql import functions as F
 from folio.llm.common import table
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces up to this many characters are remembered, up to this many of them in each Python worker. Both only save time.
-MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 300_000, 200_000
+#: Cuts up to this many characters are remembered, up to this many in each of two generations, and so many compatible pairs, in each Python worker. They only save time.
+MEMO_CHARS, MEMO_PIECES, MEMO_PAIRS = 48, 300_000, 400_000
 
 
 class _Memo(dict):
-    """Packed little-endian ids of cuts seen before; a cut not seen yet is encoded piece by piece."""
+    """Packed little-endian ids of cuts seen before; a cut not seen yet is encoded piece by piece.
+
+    When it is full, what it holds becomes the elder generation: of that, only what is met again moves on.
+    """
 
     def __init__(self, codec: ByteBpe):
-        self._codec = codec
+        self._codec, self._elder = codec, {}
 
     def __missing__(self, cut: str) -> bytes:
-        pieces = self._codec.pieces.findall(cut)
-        if len(pieces) == 1:
-            ids = self._codec.encode_piece(cut.encode("utf-8", "surrogatepass"))
-            packed = struct.pack(f"<{len(ids)}i", *ids)
-        else:
-            packed = b"".join(map(self.__getitem__, pieces))
+        if cut[-1:] in (".", ",") and cut[-2:-1].isalpha():  # a mark after a letter is a piece of its own
+            return self[cut[:-1]] + self[cut[-1]]
+        packed = self._elder.get(cut)
+        if packed is None:
+            packed = self._encoded(cut)
         if len(cut) <= MEMO_CHARS:
             if len(self) >= MEMO_PIECES:
+                self._elder = dict(self)
                 self.clear()
             self[cut] = packed
         return packed
 
+    def _encoded(self, cut: str) -> bytes:
+        pieces = self._codec.pieces.findall(cut)
+        if len(pieces) == 1:
+            ids = self._codec.encode_piece(cut.encode("utf-8", "surrogatepass"))
+            return struct.pack(f"<{len(ids)}i", *ids)
+        return b"".join(map(self.__getitem__, pieces))
+
 
 class ByteBpe:
     """Encoder and decoder for one rank file."""
@@ -61,7 +71,7 @@ class ByteBpe:
             self.vocabulary[rank] = token
         self.pieces = regex.compile(pattern)
         self._shorter: dict[int, int] = {}
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}  # by both ids in one number, which takes less room than a pair
         self._memo = _Memo(self)
 
     @cached_property
@@ -90,13 +100,13 @@ class ByteBpe:
         return [self.ranks[p] for p in parts]
 
     def _fits(self, left: int, right: int) -> bool:
-        known = self._compatible.get((left, right))
+        known = self._compatible.get(left << 32 | right)
         if known is None:
             data = self.vocabulary[left] + self.vocabulary[right]
             known = data not in self.ranks and self._merge(data) == [left, right]
             if len(self._compatible) > MEMO_PAIRS:
                 self._compatible.clear()
-            self._compatible[left, right] = known
+            self._compatible[left << 32 | right] = known
         return known
 
     def _next_shorter(self, token: int) -> int:
@@ -114,12 +124,14 @@ class ByteBpe:
             return [whole]
         vocabulary, compatible = self.vocabulary, self._compatible
         latin = data.decode("latin-1")
-        out = [rank for _, (_, rank) in self._automaton.iter_long(latin)]
-        for pair in zip(out, out[1:], strict=False):
-            if not (compatible.get(pair) or self._fits(*pair)):
+        found = [value for _, value in self._automaton.iter_long(latin)]
+        out = [rank for _, rank in found] if sum(n for n, _ in found) == len(data) else []
+        for left, right in zip(out, out[1:], strict=False):
+            if not (compatible.get(left << 32 | right) or self._fits(left, right)):
                 break
         else:  # the longest matches as they stand
-            return out
+            if out:
+                return out
         longest: list[int] = [-1] * len(data)
         size = [0] * len(data)
         for end, (length, rank) in self._automaton.iter(latin):
@@ -135,7 +147,7 @@ class ByteBpe:
                 if end not in dead:
                     if last < 0:
                         break
-                    fits = compatible.get((last, token))
+                    fits = compatible.get(last << 32 | token)
                     if fits or fits is None and self._fits(last, token):
                         break
                 token = self._next_shorter(token)
@@ -184,7 +196,7 @@ def encode(text: Column, path: str | None = None, pattern: str = public_tokenize
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         codec = _codec(path, pattern)
-        rows = [codec.encode(t or "") for t in texts.to_pylist()]
+        rows = [codec.encode(t.as_py() or "") for t in texts]  # one text at a time: a batch is large enough as it is
         ends = np.zeros(len(rows) + 1, "<i4")
         np.cumsum([len(r) for r in rows], out=ends[1:])
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, "<i4")))
@@ -205,12 +217,32 @@ def decode(ids: Column, path: str | None = None, pattern: str = public_tokenizer
     return data(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def round_trip(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """``struct<ids, decoded>``: what :func:`encode` gives and what :func:`decode` makes of it, in one Python worker."""
+    path = path or public_tokenizers.path(DEFAULT_RANKS)
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        codec, parts = _codec(path, pattern), []
+        for at in range(0, len(texts), 256):  # small parts: lists of numbers are not kept for a whole batch
+            rows = [codec.encode(t.as_py() or "") for t in texts[at : at + 256]]
+            ends = np.zeros(len(rows) + 1, "<i4")
+            np.cumsum([len(r) for r in rows], out=ends[1:])
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
+            decoded = pa.array([codec.decode(r.tolist()) for r in rows], pa.binary())
+            parts.append(pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"]))
+        kind = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return both(text)
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = docs.withColumn("ids", encode("text")).select("doc_id", "ids", decode(F.col("ids")).alias("data"))
+    both = docs.select("doc_id", round_trip(F.col("text")).alias("r"))
     return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("data", 256).alias("decoded_sha256"),
+        F.size("r.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("r.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("r.decoded", 256).alias("decoded_sha256"),
     )
