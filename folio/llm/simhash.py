@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm import near_copies
 from folio.llm.common import hash_sample, table, written
 from folio.llm.components import components
 
@@ -217,17 +218,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: of its documents that with the least (doc_id, text hash), ids before null.
+    """``docs`` with one row of each group of near copies (5-word shingles, similarity 0.8 or more; see ``near_copies``): of
+    its documents that with the least (doc_id, text hash), ids before null.
 
     Who stays is settled on narrow rows: the keys are joined to the texts once, at the end.
     """
     k1, k2 = F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
-    keys = written(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), fingerprint(F.col("text")).alias("fp")), "simhash")
-    nodes = written(keys.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("a", "fp")
+    keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
+    keys = written(near_copies.signed(keyed), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
-    # least of each fingerprint, then of each component: a hot one is one row a task before it moves
-    least = keys.groupBy("fp").agg(first).join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    # least of each set, then of each component: a hot one is one row a task before it moves
+    nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
+    roots = components(near_copies.links(keys, nodes, keyed)).withColumnRenamed("a", "sig")
+    least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     stay = least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
     met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
     return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
