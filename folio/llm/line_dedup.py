@@ -2,11 +2,12 @@
 
 Lines with words are the units; their places are counted in words. A gram is the shortest run of lines from a line on that
 has ``GRAM_WORDS`` words. In every window of ``RUN_WORDS`` words the gram with the least hash is a fingerprint, so two equal
-runs of that many words always share one. Each fingerprint is joined to first occurrences in the corpus (least doc_id, then
-place), never to all others: the first of the gram, and the first that also has the same lines before it, after it, or both,
-so that a run is followed to where it came from even if one of its grams stands elsewhere too. The match is extended line by
-line both ways, extensions on one diagonal are merged to runs, and later runs of ``RUN_WORDS`` words or more are deleted. The
-first occurrence of every line always stays.
+runs of that many words always share one. A fingerprint is keyed once for each line it may be the fingerprint of: by the
+shortest run of lines from that line on that has ``RUN_WORDS`` words (which holds the whole gram), and by its place there. Each
+key is joined to its first occurrence in the corpus (least doc_id, then place), never to all others; as every repeated run is
+covered by such shortest runs, each is found wherever its grams stand else. The match is extended line by line both ways,
+extensions on one diagonal are merged to runs, and later runs of ``RUN_WORDS`` words or more are deleted. The first occurrence
+of every line always stays.
 
 Cases: a null text counts as empty; texts without repeated runs stay as they are, to the character; a text that repeats
 earlier ones throughout becomes empty; rows equal in doc_id and text are one document and none is deleted for the other; rows
@@ -65,15 +66,25 @@ def _common(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)), n))
 
 
+def _run_keys(gram_words: int, run_words: int) -> Column:
+    """For each line a window with this gram may start at: a hash of its shortest run of ``run_words`` words; null past the end."""
+    near = F.filter("before", lambda x: x["s"] >= F.col("s") - (run_words - gram_words))
+    hashes = lambda rows: F.transform(rows, lambda x: x["line"])
+
+    def key(i: Column) -> Column:
+        end = F.coalesce(F.get("before", i - 1)["s"], F.col("s")) + run_words
+        n = F.size(F.filter("after", lambda x: x["e"] < end)) + 1
+        return F.when(n <= F.size("after"), F.xxhash64(i, F.col("gram"), hashes(F.slice("before", 1, i)), hashes(F.slice("after", 1, n))))
+
+    return F.transform(F.sequence(F.lit(0), F.size(near)), key)
+
+
 def repeated_runs(keyed: DataFrame, gram_words: int, run_words: int) -> DataFrame:
     """``k1, k2, runs``: for each document with later repeated runs, their first and last lines."""
     prints = written(_fingerprints(_lines(keyed), gram_words, run_words), "prints")
     often = prints.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     again = written(prints.join(often.select("gram"), "gram", "left_semi"), "again")
-    hashes = lambda rows: F.transform(rows, lambda x: x["line"])
-    alike = [("gram",), ("gram", hashes("before")), ("gram", hashes("after")), ("gram", hashes("before"), hashes("after"))]
-    keys = F.array(*[F.xxhash64(F.lit(i), *parts) for i, parts in enumerate(alike)])
-    places = again.select("k0", "k1", "k2", "s", F.explode(keys).alias("key"))
+    places = again.select("k0", "k1", "k2", "s", F.explode(_run_keys(gram_words, run_words)).alias("key")).where("key is not null")
     origin = places.groupBy("key").agg(F.min(F.struct("k0", "k1", "k2", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = places.join(origin.select("key", "first"), "key").where("k1 != first.k1 OR k2 != first.k2 OR s != first.s")
     pairs = pairs.select("k1", "k2", "s", F.col("first.k1").alias("c1"), F.col("first.k2").alias("c2"), F.col("first.s").alias("c")).distinct()

@@ -84,3 +84,36 @@ def test_odd_rows(spark, folder):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in dedup_lines(frame).collect())
     assert got == [(0, twice), (1, ""), (1, "")]
     assert op4_line_dedup(spark, folder()).count() == 0
+
+
+def test_runs_around_a_frequent_line(spark):
+    """A run is found wherever its lines first stand alone; what goes is just what a search over all pairs of places finds."""
+    docs, d = {}, 0
+    for k, (a, x, b) in enumerate([(10, 40, 10), (5, 45, 10), (25, 24, 20), (1, 48, 1)] * 8):
+        run = passage(f"a{k}", 1, a) + passage(f"x{k}", 1, x) + passage(f"b{k}", 1, b)
+        docs[d] = run[1]
+        docs[d + 1] = "\n".join(passage(f"m{k}", 2, 30) + run + passage(f"n{k}", 2, 30))
+        docs[d + 2] = "\n".join(passage(f"o{k}", 2, 30) + run + passage(f"p{k}", 2, 30))
+        docs[d + 3] = "\n".join(passage(f"q{k}", 2, 30) + run[:2] + passage(f"r{k}", 2, 30))  # 25 to 50 words of it
+        d += 4
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame).collect()}
+    assert got == {d: "\n".join(rest) for d, rest in brute(docs).items()}
+    assert all(len(got[d].split("\n")) == (4 if d % 4 == 2 else len(docs[d].split("\n"))) for d in docs if d % 4 != 3)
+
+
+def brute(docs):
+    """The lines that stay: without the later of any two equal runs of RUN_WORDS words or more."""
+    lines = {d: t.split("\n") for d, t in docs.items()}
+    places, gone = {}, set()
+    for d in sorted(docs):
+        for k, x in enumerate(lines[d]):
+            for c, q in places.setdefault(x, []):
+                n = words = 0
+                while k + n < len(lines[d]) and q + n < len(lines[c]) and lines[d][k + n] == lines[c][q + n]:
+                    words += len(WORD.findall(lines[d][k + n]))
+                    n += 1
+                if words >= RUN_WORDS:
+                    gone |= {(d, k + i) for i in range(n)}
+            places[x].append((d, k))
+    return {d: [x for k, x in enumerate(lines[d]) if (d, k) not in gone] for d in docs}
