@@ -1,6 +1,7 @@
 """Operator 5: license scans as an exact set-similarity join of text blocks with notice templates.
 
-A block is a line, as a set of words; it matches a template that has at least ``THRESHOLD`` of its words there. The words of
+A block is a line, or a window of consecutive words, over lines, as long as a template's word count / ``THRESHOLD``, so that
+wrapped notices are found too. As a set of words it matches a template that has at least ``THRESHOLD`` of its words there. The words of
 the templates are put in one global order, rarest in the corpus first (counted over all documents by Spark). A block can only
 reach the threshold if it holds one of a template's first ``size - need + 1`` words in that order (prefix filter), has at
 least ``need`` of the templates' words at all (length filter) and has enough of them left after the first common one
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +76,8 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(order)}
         self.labels = [label for label, _ in templates]
         self.words = [sorted(self.rank[w] for w in s) for s in sets]
+        self.sets = [frozenset(ranks) for ranks in self.words]
+        self.width = [math.floor(len(words_of(t)) / threshold + 1e-9) for _, t in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, ranks in enumerate(self.words):
@@ -98,11 +102,61 @@ class TemplateIndex:
                         found.append((self.labels[k], common / size))
         return found
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, float, frozenset[int]]]:
+        """Number of a template, containment and first places of its words, for each window of a text that meets it.
+
+        A window starts at a word of the template and is ``width`` words long; it must hold a prefix word, so only the
+        neighbourhoods of those are searched.
+        """
+        ranked = [(at, self.rank[w]) for at, w in enumerate(words) if w in self.rank]
+        anchors: dict[int, list[int]] = {}
+        for at, r in ranked:
+            for k, _ in self.prefix.get(r, ()):
+                anchors.setdefault(k, []).append(at)
+        present = {r for _, r in ranked}
+        found = []
+        for k, places in anchors.items():
+            own, need, width = self.sets[k], self.need[k], self.width[k]
+            if len(own & present) < need:
+                continue
+            done = -1
+            for anchor in places:
+                low, high = max(done + 1, anchor - width + 1), anchor
+                done = high
+                here = ranked[bisect_left(ranked, (low,)) : bisect_left(ranked, (high + width,))]
+                here = [x for x in here if x[1] in own]
+                for j, (start, _) in enumerate(here):
+                    if start > high or len(here) - j < need:
+                        break
+                    first: dict[int, int] = {}
+                    for at, r in here[j : j + width]:
+                        if at >= start + width:
+                            break
+                        first.setdefault(r, at)
+                    if len(first) >= need:
+                        found.append((k, len(first) / len(own), frozenset(first.values())))
+        return found
+
     def best(self, words: list[bytes]) -> list[tuple[str, float]]:
         found = self.matches(words)
         top = max((s for _, s in found), default=0)
         return [x for x in found if x[1] == top]
 
+    def settled(self, found: list[tuple[int, float, frozenset[int]]]) -> list[tuple[str, float]]:
+        """Label and score of matches, without those that a better template has more than half of the same words of, in place:
+        the two are variants."""
+        rows = sorted((min(places), k, score, places) for k, score, places in found)
+        long = max((max(places) - start for start, _, _, places in rows), default=0)
+        out: dict[str, float] = {}
+        for start, k, score, places in rows:
+            if score <= out.get(self.labels[k], 0):
+                continue
+            # what overlaps starts at most the longest match before this one and not after it
+            near = rows[bisect_left(rows, (start - long,)) : bisect_left(rows, (max(places) + 1,))]
+            if not any(j != k and more > score and 2 * len(places & others) > len(places) for _, j, more, others in near):
+                out[self.labels[k]] = score
+        return list(out.items())
+
 
 def word_frequency(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[bytes, int]:
     """In how many places of the corpus each word of the templates stands: as many rows as they have words."""
@@ -136,6 +190,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
             if not index.first.isdisjoint(words):
                 for line in text.split("\n"):
                     more += index.best(words_of(line))
+                more += index.settled(index.windows(words))
             starts = [at for at, _ in places]
             rows.append(
                 {

@@ -43,3 +43,36 @@ def test_query(spark, folder):
     assert (rows[11]["labels"], rows[12]["labels"]) == ("mit", "gpl,gpl-3.0")
     assert (rows[13]["labels"], rows[13]["score"], rows[13]["last_word"]) == ("", 0.0, None) and rows[21]["n_words"] == 0
     assert op5_licenses(spark, folder()).count() == 0
+
+
+def test_wrapped_notices(spark, folder):
+    """Each template is found when it is wrapped after every few words and stands among others."""
+    texts = {}
+    for k, (_, template) in enumerate(TEMPLATES):
+        parts = template.split()
+        for width in (3, 7):
+            lines = [" ".join(parts[i : i + width]) for i in range(0, len(parts), width)]
+            texts[10 * k + width] = "\n".join(["Other words stand here.", *lines, "and here too."])
+    texts[500] = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    texts[501] = "Permission is hereby granted.\n" + "other words here\n" * 20 + "free of charge, to any person obtaining a copy\n" + "more\n" * 20 + "of this software and associated documentation files"
+    rows = {r["doc_id"]: r for r in op5_licenses(spark, folder(list(texts.items()))).collect()}
+    for k, (label, _) in enumerate(TEMPLATES):
+        for width in (3, 7):
+            row = rows[10 * k + width]
+            assert label in row["labels"].split(",") and row["score"] == 1.0, (label, width, row)
+            assert not ({"gpl-2.0", "gpl-3.0", "lgpl"} - {label}) & set(row["labels"].split(",")), (label, row)
+    assert (rows[500]["labels"], rows[501]["labels"]) == ("mit", "")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(WORDS), max_size=80), st.integers(0, 10**6))
+def test_windows_are_exact(words, seed):
+    index = TemplateIndex({w.encode(): hash((seed, w)) % 100 for w in WORDS}, TEMPLATES, THRESHOLD)
+    coded, expected = [w.encode() for w in words], []
+    for k, (_, template) in enumerate(TEMPLATES):
+        own, width = set(words_of(template)), index.width[k]
+        for i, w in enumerate(coded):
+            common = own & set(coded[i : i + width])
+            if w in own and len(common) >= THRESHOLD * len(own) - 1e-9:
+                expected.append((k, len(common) / len(own), i))
+    assert sorted((k, s, min(p)) for k, s, p in index.windows(coded)) == sorted(expected)
