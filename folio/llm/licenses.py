@@ -6,7 +6,7 @@ the templates are put in one global order, rarest in the corpus first (counted o
 reach the threshold if it holds one of a template's first ``size - need + 1`` words in that order (prefix filter), has at
 least ``need`` of the templates' words at all (length filter) and has enough of them left after the first common one
 (positional filter); what passes is verified word by word. The templates are a small fixed list, so their index goes to every
-task. Each block is labelled by its best template. Phrases of the base rule are found apart from that.
+task. A block is labelled by all templates it matches, but of variants, which mostly share their words in place, by the best. Phrases of the base rule are found apart from that.
 
 Cases: a null text counts as empty and has no words; repeated rows get equal rows; several licenses in a text give several
 labels, of equally good templates both; columns of ``docs`` named like a result are replaced; an empty table stays empty.
@@ -87,6 +87,10 @@ class TemplateIndex:
 
     def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
         """Label and containment of all templates that a block's words meet."""
+        return [(self.labels[k], score) for k, score in self.met(words)]
+
+    def met(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """Number and containment of all templates that a block's words meet."""
         block = sorted({self.rank[w] for w in words if w in self.rank})
         seen: set[int] = set()
         found = []
@@ -99,7 +103,7 @@ class TemplateIndex:
                 if len(block) >= need and 1 + min(size - at - 1, len(block) - j - 1) >= need:
                     common = len(set(self.words[k]).intersection(block))
                     if common >= need:
-                        found.append((self.labels[k], common / size))
+                        found.append((k, common / size))
         return found
 
     def windows(self, words: list[bytes]) -> list[tuple[int, float, frozenset[int]]]:
@@ -137,10 +141,16 @@ class TemplateIndex:
                         found.append((k, len(first) / len(own), frozenset(first.values())))
         return found
 
-    def best(self, words: list[bytes]) -> list[tuple[str, float]]:
-        found = self.matches(words)
-        top = max((s for _, s in found), default=0)
-        return [x for x in found if x[1] == top]
+    def line(self, words: list[bytes]) -> list[tuple[int, float, frozenset[int]]]:
+        """Number of a template, containment and first places of its words, for each template that a line meets."""
+        met = self.met(words)
+        if not met:
+            return []
+        first: dict[int, int] = {}
+        for at, w in enumerate(words):
+            if w in self.rank:
+                first.setdefault(self.rank[w], at)
+        return [(k, score, frozenset(first[r] for r in self.sets[k] if r in first)) for k, score in met]
 
     def settled(self, found: list[tuple[int, float, frozenset[int]]]) -> list[tuple[str, float]]:
         """Label and score of matches, without those that a better template has more than half of the same words of, in place:
@@ -189,7 +199,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
             more: list[tuple[str, float]] = []
             if not index.first.isdisjoint(words):
                 for line in text.split("\n"):
-                    more += index.best(words_of(line))
+                    more += index.settled(index.line(words_of(line)))
                 more += index.settled(index.windows(words))
             starts = [at for at, _ in places]
             rows.append(

@@ -76,3 +76,15 @@ def test_windows_are_exact(words, seed):
             if w in own and len(common) >= THRESHOLD * len(own) - 1e-9:
                 expected.append((k, len(common) / len(own), i))
     assert sorted((k, s, min(p)) for k, s, p in index.windows(coded)) == sorted(expected)
+
+
+def test_two_notices_in_a_line(spark, folder):
+    apache, mit, filler = "Licensed under the Apache License 2.0", "Released under the MIT License", " some other words" * 50 + " "
+    both = [f"{mit}. {apache}.", f"{apache}; {mit}", mit + filler + apache, apache + filler + mit]
+    gpl = TEMPLATES[10][1]
+    docs = list(enumerate([*both, gpl, f"{gpl}. {TEMPLATES[11][1]}", f"{apache}.\n{gpl}."]))
+    rows = {r["doc_id"]: r["labels"].split(",") for r in op5_licenses(spark, folder(docs)).collect()}
+    for k in range(4):
+        assert {"apache-2.0", "mit"} <= set(rows[k]), rows[k]
+    assert rows[4] == ["gpl", "gpl-2.0"] and rows[5] == ["gpl", "gpl-2.0", "gpl-3.0"]
+    assert rows[6] == ["apache", "apache-2.0", "gpl", "gpl-2.0"]
