@@ -254,7 +254,7 @@ def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_json(rounded(_cited(spark, sf_dir, 3)).withColumn("text", X.preview(F.col("text"), 10)), report.SEARCH_KEYS, "query_id", "rank")
+    return report.as_json(rounded(_cited(spark, sf_dir, 3)), report.SEARCH_KEYS, "query_id", "rank")
 
 
 @query
