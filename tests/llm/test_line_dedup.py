@@ -91,7 +91,7 @@ def test_runs_around_a_frequent_line(spark):
     docs, d = {}, 0
     for k, (a, x, b) in enumerate([(10, 40, 10), (5, 45, 10), (25, 24, 20), (1, 48, 1)] * 8):
         run = passage(f"a{k}", 1, a) + passage(f"x{k}", 1, x) + passage(f"b{k}", 1, b)
-        docs[d] = run[1]
+        docs[d] = "\n".join(passage(f"u{k}", 2, 30) + run[1:2] + passage(f"v{k}", 2, 30))
         docs[d + 1] = "\n".join(passage(f"m{k}", 2, 30) + run + passage(f"n{k}", 2, 30))
         docs[d + 2] = "\n".join(passage(f"o{k}", 2, 30) + run + passage(f"p{k}", 2, 30))
         docs[d + 3] = "\n".join(passage(f"q{k}", 2, 30) + run[:2] + passage(f"r{k}", 2, 30))  # 25 to 50 words of it
