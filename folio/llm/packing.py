@@ -6,8 +6,9 @@ and each group is packed alone: the largest piece opens a bin, the largest piece
 tries to replace the bin's smallest piece by the two unpacked pieces that fill the widened gap most tightly. A group wastes
 at most one partly filled bin more than packing all at once would.
 
-Cases: a null or empty text is just the closing id; repeated rows are packed once each; a null doc_id is an id like any
-other; an empty table gives no rows; only the id and text columns are used, others may have any name.
+Cases: a null or empty text is just the closing id; repeated rows are packed once each and, as rows of one id are, spread over
+the groups; pieces of equal length are taken by doc_id and piece; a null doc_id is an id like any other; very long texts are cut
+into pieces; an empty table gives no rows; only the id and text columns are used, others may have any name.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ MEMO_CHARS, MEMO_WORDS = 48, 200_000
 
 
 class WordIds(dict):
-    """Packed little-endian ids by word. No token of this tokenizer spans white space, so a text's ids are its words' ids."""
+    """Packed little-endian ids by word. No token of this tokenizer spans white space, so a text's ids are its words' ids; the
+    vocabulary's added tokens, which stand for themselves wherever their text does, have no white space either."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,7 +48,6 @@ class WordIds(dict):
 
         self._elder: dict[str, bytes] = {}  # what the memo held when it was last full; what is met again moves on
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._merges = self._tokenizer.model.tokenize
         # other letters may become several characters when lowered
         self._ends_plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]").match
@@ -84,22 +87,29 @@ def _word_ids(path: str) -> WordIds:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32[, ids])``: the pieces of each document's ids, in order."""
+    """``(doc_id, piece, start, length, ids_crc32, copy[, ids])``: the pieces of each document's ids, in order.
+
+    ``copy`` tells rows of one id and text apart: it is the task and how many such rows it had before. Equal rows may change
+    places, so a task that is repeated gives the same rows.
+    """
     path = path or public_tokenizers.path(DEFAULT_TOKENIZER)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, copy long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _word_ids(path), struct.pack("<I", END_ID)
+        ids_of, end, seen = _word_ids(path), struct.pack("<I", END_ID), Counter()
+        task = TaskContext.get().partitionId() << 32
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time: a batch is large enough as it is
                 doc_id, data = doc_id.as_py(), ids_of.text(text.as_py() or "") + end
+                same = hash((doc_id, zlib.crc32(data)))
+                copy, seen[same] = task + seen[same], seen[same] + 1
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + with_ids]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), copy, np.frombuffer(part, "<i4") if with_ids else None))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 6 + with_ids]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "copy", "ids"][: 6 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
@@ -164,8 +174,8 @@ def best_two_fit(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray,
 
 
 def pack(pieces: DataFrame, groups: int, size: int = SEQUENCE) -> DataFrame:
-    """``pieces`` (any columns, ``length`` among them) with ``sequence_id`` and ``offset``, packed in ``groups`` groups."""
-    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "_group")]
+    """``pieces`` as :func:`token_pieces` gives them with ``sequence_id`` and ``offset``, packed in ``groups`` groups; ``copy`` goes."""
+    kept = [f for f in pieces.schema.fields if f.name != "copy"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
     names = [f.name for f in kept]
 
@@ -174,7 +184,7 @@ def pack(pieces: DataFrame, groups: int, size: int = SEQUENCE) -> DataFrame:
         bins, offsets = best_two_fit(rows["length"].to_numpy(), size)
         return rows[names].assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
-    grouped = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).alias("_group"))
+    grouped = pieces.select(*names, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(groups)).alias("_group"))
     return grouped.groupBy("_group").applyInPandas(packed, schema)
 
 

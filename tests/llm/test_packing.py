@@ -6,15 +6,15 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folio.llm.packing import WordIds, best_two_fit, op7_best_fit_packing, token_pieces
+from folio.llm.packing import WordIds, best_two_fit, op7_best_fit_packing, pack, token_pieces
 
 from .conftest import ODD
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 MINE, THEIRS = WordIds(PATH), Tokenizer.from_file(PATH)
-THEIRS.encode_special_tokens = True
 
 
 @settings(max_examples=300, deadline=None)
@@ -23,6 +23,23 @@ def test_ids(text):
     assert np.frombuffer(MINE.text(text), "<u4").tolist() == THEIRS.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", "see", "here.", " ", "\n", "É", ",", "endoftext"]), max_size=8))
+def test_added_tokens(parts):
+    text = "".join(parts)
+    assert np.frombuffer(MINE.text(text), "<u4").tolist() == THEIRS.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_spread(spark):
+    """Rows equal in everything, and rows of one id, do not end in one group."""
+    rows = [(1, "same text", 0)] * 400 + [(None, f"text {i}", 0) for i in range(400)]
+    pieces = token_pieces(spark.createDataFrame(rows, "doc_id long, text string, copy int").repartition(4))
+    found = pack(pieces, 8).withColumn("group", F.shiftright("sequence_id", 32))
+    sizes = {tuple(r)[:2]: r["count"] for r in found.groupBy("doc_id", "group").count().collect()}
+    assert len(sizes) == 16 and max(sizes.values()) < 100 and sum(sizes.values()) == 800
+    assert "copy" not in found.columns
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_bins(lengths):
