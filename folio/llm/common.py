@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key that a join leaves in one task, and the most keys with more that are broadcast.
+HOT_ROWS, MOST_HOT = 1_000, 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; Spark alone opens the path, so it may be in any store Spark can read."""
@@ -29,20 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder once, with its lineage cut; a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: like :func:`checkpointed`, but columnar and compressed."""
+    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
+    return out
+
+
+def removed(*frames: DataFrame) -> None:
+    """Delete tables that :func:`written` gave and nothing will read again; other frames are left alone."""
+    for frame in frames:
+        if path := frame.__dict__.get("_written_at"):
+            context = frame.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unskewed(rows: DataFrame, few: DataFrame, keys: list[str], spread: list[str], n: str = "n", counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``few``, which has one row for each of ``keys``; ``n``, in ``few`` or in ``counts``, says how
+    many ``rows`` have it.
+
+    A key of more than ``HOT_ROWS`` rows is dealt over as many tasks as it has times that many rows, by a hash of ``spread``,
+    and its row of ``few`` is repeated for each. Only the list of such keys is broadcast: the bound rises with the table, so that
+    there are at most ``MOST_HOT`` of them whatever the data.
+    """
+    counts = few if counts is None else counts
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = F.broadcast(counts.where(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("_salts")
+    repeated = few.drop(n).join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def hash_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import table, written
+from folio.llm.common import removed, table, unskewed, written
 
 GRAM_WORDS, RUN_WORDS = 20, 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,16 +80,24 @@ def _run_keys(gram_words: int, run_words: int) -> Column:
 
 
 def repeated_runs(keyed: DataFrame, gram_words: int, run_words: int) -> DataFrame:
-    """``k1, k2, runs``: for each document with later repeated runs, their first and last lines."""
+    """``k1, k2, runs``: for each document with later repeated runs, their first and last lines.
+
+    Every lookup is of rows by a key that may be that of a third of them, so all go through :func:`unskewed`.
+    """
+    place, first = ["k1", "k2", "s"], ["c1", "c2", "c"]
     prints = written(_fingerprints(_lines(keyed), gram_words, run_words), "prints")
-    often = prints.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    again = written(prints.join(often.select("gram"), "gram", "left_semi"), "again")
-    places = again.select("k0", "k1", "k2", "s", F.explode(_run_keys(gram_words, run_words)).alias("key")).where("key is not null")
-    origin = places.groupBy("key").agg(F.min(F.struct("k0", "k1", "k2", "s")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    pairs = places.join(origin.select("key", "first"), "key").where("k1 != first.k1 OR k2 != first.k2 OR s != first.s")
-    pairs = pairs.select("k1", "k2", "s", F.col("first.k1").alias("c1"), F.col("first.k2").alias("c2"), F.col("first.s").alias("c")).distinct()
-    theirs = again.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("s").alias("c"), F.col("before").alias("before2"), F.col("after").alias("after2"))
-    met = pairs.join(again.select("k1", "k2", "s", "p", "before", "after"), ["k1", "k2", "s"]).join(theirs, ["c1", "c2", "c"])
+    often = written(prints.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    again = written(unskewed(prints, often, ["gram"], place), "again")
+    places = again.select("k0", *place, F.explode(_run_keys(gram_words, run_words)).alias("key")).where("key is not null")
+    places = written(places, "places")
+    origin = places.groupBy("key").agg(F.min(F.struct("k0", *place)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    origin = written(origin.select("key", *[F.col(f"first.{x}").alias(y) for x, y in zip(place, first, strict=True)], "n"), "origins")
+    pairs = unskewed(places, origin, ["key"], place).where("k1 != c1 OR k2 != c2 OR s != c")
+    pairs = written(pairs.select(*place, *first).distinct(), "pairs")
+    own = again.select(*place, "p", "before", "after")
+    theirs = again.select(*[F.col(x).alias(y) for x, y in zip(place, first, strict=True)], F.col("before").alias("before2"), F.col("after").alias("after2"))
+    theirs = written(theirs.join(pairs.groupBy(*first).agg(F.count("*").alias("n")), first), "firsts")
+    met = unskewed(pairs.join(own, place), theirs, first, place)
     met = met.withColumn("back", _common(F.col("before"), F.col("before2"))).withColumn("on", _common(F.col("after"), F.col("after2"))).where("on > 0")
     start, stop = F.get("before", F.col("back") - 1), F.get("after", F.col("on") - 1)
     spans = met.select(
@@ -106,7 +114,10 @@ def repeated_runs(keyed: DataFrame, gram_words: int, run_words: int) -> DataFram
     spans = spans.withColumn("new", F.when(F.col("s") <= reached, 0).otherwise(1))
     spans = spans.withColumn("run", F.sum("new").over(line_up.rowsBetween(Window.unboundedPreceding, 0)))
     runs = spans.groupBy("k1", "k2", "diagonal", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("p").alias("p"), F.max("q").alias("q"))
-    return runs.where(F.col("e") - F.col("s") >= run_words).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "q")).alias("runs"))
+    runs = runs.where(F.col("e") - F.col("s") >= run_words).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "q")).alias("runs"))
+    runs = written(runs, "runs")
+    removed(prints, often, again, places, origin, pairs, theirs)
+    return runs
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
