@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import near_copies
-from folio.llm.common import hash_sample, table, written
+from folio.llm.common import hash_sample, table, unskewed, written
 from folio.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -209,12 +209,14 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``."""
     fps = written(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "simhash")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"))).withColumnRenamed("a", "fp")
-    rooted = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    of_fp = unskewed(rooted, least, ["root"], ["fp"], "members").select("fp", "component_id", "n")
+    of_fp = written(of_fp, "components")
+    # equal texts share a fingerprint: any number of rows may have one
+    return unskewed(fps, of_fp, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -5,19 +5,23 @@ header bytes of every record with the digest of its payload. A record is its hea
 that a join on the digest finds; reading checks every payload against its digest and every header's length against it.
 Of the records with equal payloads the one with the largest page_id is the response, the others are revisits of it.
 
+Limits: the tables have no capture time, so ``WARC-Date`` is the time of writing, one for the archive; payloads are bare HTML
+without an HTTP head, and so are the record blocks.
+
 Cases: a null html counts as empty bytes; a null url leaves the target line out; a null page_id is smaller than all others
-and gives no record id; of repeated rows, or of equal page_ids with equal payloads, one is the response and the rest
-revisit it; an empty table gives an empty archive; only page_id, url and html are used, other columns may have any name.
+and has the record id ``urn:page:null``; of repeated rows, or of equal page_ids with equal payloads, one is the response and the rest
+revisit it; an empty table gives an empty archive; very long pages are single payloads like others; only page_id, url and html are used, other columns may have any name.
 """
 
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import shared_dir, table
+from folio.llm.common import removed, shared_dir, table, unskewed, written
 
 #: Digits of the two base-32 alphabets, and WARC's fixed header lines.
 BASE32_NUMBERS, BASE32_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -37,16 +41,20 @@ def write_archive(pages: DataFrame, path: str) -> None:
     rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     facts = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size"), sha1_base32(F.col("payload")).alias("sha1"))
     records = facts.groupBy("page_id", "url", "digest", "size", "sha1").agg(F.count("*").alias("copies"))
-    response = records.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("response"))
-    records = records.join(response, "digest").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    response = written(records.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("response"), F.count("*").alias("n")), "responses")
+    # one digest may be that of a third of the pages
+    records = unskewed(records, response, ["digest"], ["page_id", "url"]).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
     first = (F.col("copy") == 1) & F.struct("page_id", "url").eqNullSafe(F.col("response"))
+    # a literal, so that a task that is repeated writes the same bytes
+    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     line = lambda name, *value: F.concat(F.lit(f"{name}: "), *value, F.lit("\r\n"))
     maybe = lambda text: F.coalesce(text, F.lit(""))  # noqa: E731  concat is null if a part is
     urn = lambda page: (F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
     header = F.concat(
         F.lit(f"{VERSION}\r\n"),
         line("WARC-Type", F.when(first, "response").otherwise("revisit")),
-        maybe(line("WARC-Record-ID", *urn(F.col("page_id")))),
+        line("WARC-Record-ID", *urn(F.coalesce(F.col("page_id").cast("string"), F.lit("null")))),
+        line("WARC-Date", F.lit(stamp)),
         maybe(line("WARC-Target-URI", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))),
         F.when(first, "").otherwise(F.concat(maybe(line("WARC-Refers-To", *urn(F.col("response.page_id")))), line("WARC-Profile", F.lit(PROFILE)))),
         line("WARC-Payload-Digest", F.lit("sha1:"), F.col("sha1")),
@@ -55,6 +63,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"),
     )
     records.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
+    removed(response)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +86,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.nullif(field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>"), F.lit("")).cast("long").alias("refers_to"),
         field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("stated"),
     )
-    joined = parsed.join(payloads, "digest")
+    joined = unskewed(parsed, payloads, ["digest"], ["page_id", "header"], counts=headers.groupBy("digest").agg(F.count("*").alias("n")))
     agreed = F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest"))
     tail = F.encode(F.lit("\r\n\r\n"), "UTF-8")
     return joined.select(
