@@ -9,7 +9,8 @@ least ``need`` of the templates' words at all (length filter) and has enough of
 task. A block is labelled by all templates it matches, but of variants, which mostly share their words in place, by the best. Phrases of the base rule are found apart from that.
 
 Cases: a null text counts as empty and has no words; repeated rows get equal rows; several licenses in a text give several
-labels, of equally good templates both; columns of ``docs`` named like a result are replaced; an empty table stays empty.
+labels, of equally good templates both; very long texts are scanned word by word, and windows only near a template's rarest
+words; columns of ``docs`` named like a result are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -48,6 +49,45 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced or transmitted without prior written permission"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone "
+        "to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ),
+    (
+        "mpl-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
 ]
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # UTF-8 bytes, after bytes.lower(), which changes A-Z only
 
@@ -61,9 +101,10 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     places = []
     for phrase, label in PHRASES.items():
-        wanted, at = b" " + phrase.encode() + b" ", -1
+        wanted, at, word, counted = b" " + phrase.encode() + b" ", -1, 0, 0
         while (at := joined.find(wanted, at + 1)) >= 0:
-            places.append((joined.count(b" ", 0, at), label))
+            word, counted = word + joined.count(b" ", counted, at), at  # on from the last place: linear in the text
+            places.append((word, label))
     return places
 
 

@@ -1,9 +1,10 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folio.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, TemplateIndex, op5_licenses, phrase_places, words_of
+from folio.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, TemplateIndex, op5_licenses, phrase_places, scan, words_of
 
 from .conftest import ODD
 
@@ -36,6 +37,12 @@ def test_places():
     assert sorted(phrase_places(words)) == naive and len(naive) == 5
 
 
+def test_many_places_are_found_in_linear_time():
+    words = words_of("MIT license, " * 60_000)
+    began = time.process_time()
+    assert [at for at, _ in phrase_places(words)] == list(range(0, 120_000, 2)) and time.process_time() - began < 5
+
+
 def test_query(spark, folder):
     docs = [(10, "Some text.\nLicensed under CC BY-NC 4.0.\nmore"), (11, "Released under the MIT License"), (12, "This work is licensed under the GNU General Public License, version 3."), (13, "no licence here, by the way")]
     rows = {r["doc_id"]: r for r in op5_licenses(spark, folder(docs + [(20 + i, t) for i, (_, t) in enumerate(ODD)])).collect()}
@@ -78,6 +85,30 @@ def test_windows_are_exact(words, seed):
     assert sorted((k, s, min(p)) for k, s, p in index.windows(coded)) == sorted(expected)
 
 
+def test_whole_documents_against_brute_force(spark, small, small_docs):
+    """Each label of the given texts is one that some line or some window of some template's words gives, and the other way round."""
+    got = {r["doc_id"]: r for r in op5_licenses(spark, small).collect()}
+    for d, text in small_docs.items():
+        found, words = {}, words_of(text)
+        for k, (label, template) in enumerate(TEMPLATES):
+            own, width = set(words_of(template)), int(len(words_of(template)) / THRESHOLD + 1e-9)
+            blocks = [words_of(x) for x in text.split("\n")] + [words[i : i + width] for i, w in enumerate(words) if w in own]
+            best = max((len(own & set(b)) for b in blocks), default=0)
+            if best >= THRESHOLD * len(own) - 1e-9:
+                found[k] = (label, best / len(own))
+        labels = set(got[d]["labels"].split(",")) - {""}
+        base = {label for _, label in phrase_places(words)}
+        # of variants in one place the best counts, so a template of equal or less containment may be left out, and no other
+        assert base <= labels <= base | {label for label, _ in found.values()}
+        assert not found or labels & {label for label, s in found.values() if s == max(x for _, x in found.values())}
+
+
+def test_extra_columns(spark):
+    frame = spark.createDataFrame([(1, "Released under the MIT License", 5, "x")], "doc_id long, text string, n_words int, labels string")
+    row = scan(frame).first()
+    assert (row["n_words"], row["labels"]) == (5, "mit")
+
+
 def test_two_notices_in_a_line(spark, folder):
     apache, mit, filler = "Licensed under the Apache License 2.0", "Released under the MIT License", " some other words" * 50 + " "
     both = [f"{mit}. {apache}.", f"{apache}; {mit}", mit + filler + apache, apache + filler + mit]
