@@ -11,7 +11,7 @@ value ``c`` within one bit of fingerprint ``a`` links ``a`` to every fingerprint
 bits have such a ``c``, and no value has more than 65 + 2016 fingerprints near it. Equal fingerprints are one node throughout.
 
 Cases: texts without words (null, empty, blank) have fingerprint zero; fewer than three words are one shingle; repeated rows
-and ties are linked like other equal texts; null doc_ids are not used as component ids unless a component has no other; only
+and ties are linked like other equal texts; very long texts are hashed whole, in linear time; null doc_ids are not used as component ids unless a component has no other; only
 doc_id and text are read, so other columns may have any name; an empty table stays empty.
 """
 
@@ -34,8 +34,8 @@ from folio.llm.components import components
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
 #: About so many fingerprints at most, those with the smallest hashes; they only steer the parts and thresholds.
 SAMPLE = 2048
-#: Largest bucket that is verified pair by pair.
-HOT = 256
+#: Largest bucket that is verified pair by pair, and the values within two bits of a fingerprint, that a member of a larger one takes.
+HOT, NEIGHBOURS = 256, 1 + 64 + 64 * 63 // 2
 
 
 def text_fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -92,19 +92,23 @@ def correlated_parts(sample: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def allocate(sample: np.ndarray, groups: list[list[int]], n: int) -> tuple[float, list[int]]:
-    """Thresholds with the least estimated work (rows probed, and candidate pairs at their lesser price), by dynamic programming."""
+    """Thresholds with the least estimated work, by dynamic programming: rows probed, candidate pairs at their lesser price, and
+    the rows that members of hot buckets take."""
     b = _bits(sample) if len(sample) else np.zeros((1, BITS), "u1")
     pairs = max(1, len(b) * (len(b) - 1) // 2)
     work = []
     for group in groups:
         part = b[:, group].astype("float32")
         apart = part.sum(axis=1)[:, None] + part.sum(axis=1)[None, :] - 2 * part @ part.T
-        near = [float((apart[np.triu_indices(len(b), 1)] < t + 0.5).sum()) for t in range(DISTANCE + 1)]
         row = [0.0]
         for t in range(DISTANCE + 1):
             probes = sum(math.comb(len(group), k) for k in range(t + 1))
-            chance = max(near[t] / pairs, probes / 2.0 ** len(group))
-            row.append(n * (1.0 + (probes - 1) * 1.0) + 0.1 * chance * n * n / 2)
+            near = (apart < t + 0.5).sum(axis=1) - 1.0  # of each fingerprint of the sample, without itself
+            chance = probes / 2.0 ** len(group)
+            # members of a bucket that is too large to be paired take NEIGHBOURS rows each instead
+            size = n * np.maximum(near / max(1, len(b) - 1), chance)
+            hot = float((size > HOT).mean())
+            row.append(n * probes + 0.1 * max(near.sum() / 2 / pairs, chance) * n * min(n, HOT) / 2 + hot * n * NEIGHBOURS)
         work.append(row)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in work:

@@ -65,6 +65,23 @@ def test_allocations_cover_all_links():
     assert len(S.plan_probes(sample[:0], 0)) >= 1
 
 
+def test_hot_buckets_are_in_the_price():
+    """With skewed bits and very many fingerprints the parts are so chosen that few of them lie in buckets too large to be paired."""
+    rng = np.random.default_rng(6)
+    bits = (rng.random((1500, 64)) < np.where(np.arange(64) < 24, 0.08, 0.5)).astype("u1")  # a third of the bits says little
+    bits[:, 8:16] = bits[:, :8]  # and a part of those says it twice
+    sample = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+    n = 10**9
+    probes = S.plan_probes(sample, n)
+    assert sum(t + 1 for _, t in probes) == S.DISTANCE + 1
+    for group, t in probes:
+        part = bits[:, group].astype(int)
+        apart = part.sum(axis=1)[:, None] + part.sum(axis=1)[None, :] - 2 * part @ part.T
+        assert ((apart <= t).sum(axis=1) > 1).mean() < 0.2  # at this size one other in the sample is a hot bucket
+    few = S.plan_probes(sample, 10**4)
+    assert sum(t + 1 for _, t in few) == S.DISTANCE + 1
+
+
 def test_query(spark, small, small_docs):
     rows = S.op8_simhash(spark, small).collect()
     prints = {d: brute_fingerprint(t) for d, t in small_docs.items()}
