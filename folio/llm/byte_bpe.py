@@ -7,7 +7,9 @@ BPE result exactly if all neighbours are compatible, so the encoder backtracks t
 last one) until they are. Compatibility is memoised, dead ends are marked, and each byte is left at most once per token
 length, so the time is linear in the piece.
 
-Cases: a null text counts as empty; an empty text has no ids; very long pieces are encoded whole, without recursion.
+Cases: a null text counts as empty; an empty text has no ids; very long pieces are encoded whole, without recursion; repeated
+rows get equal ids; null doc_ids stay; only doc_id and text are read, so other columns may have any name; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ class _Memo(dict):
         self._codec, self._elder = codec, {}
 
     def __missing__(self, cut: str) -> bytes:
-        if cut[-1:] in (".", ",") and cut[-2:-1].isalpha():  # a mark after a letter is a piece of its own
+        if self._codec._blank_cuts and cut[-1:] in (".", ",") and cut[-2:-1].isalpha():  # a mark after a letter is a piece of its own
             return self[cut[:-1]] + self[cut[-1]]
         packed = self._elder.get(cut)
         if packed is None:
@@ -70,6 +72,9 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.vocabulary[rank] = token
         self.pieces = regex.compile(pattern)
+        # cutting at blanks before the pattern needs what this pattern and vocabulary have: a blank goes with what follows, and
+        # no token has one after its first byte
+        self._blank_cuts = pattern == public_tokenizers.PATTERN and not any(b" " in token[1:].lstrip(b" ") for token in ranks)
         self._shorter: dict[int, int] = {}
         self._compatible: dict[int, bool] = {}  # by both ids in one number, which takes less room than a pair
         self._memo = _Memo(self)
@@ -168,12 +173,13 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text.
 
-        A single blank between two other characters can only start a match, so texts without double blanks are cut there
-        first: the cuts come from fast string splitting and the memo then also saves the pattern's work.
+        Where the pattern and the vocabulary allow it (checked at load), a single blank between two other characters can only
+        start a match, so texts without double blanks are cut there first: the cuts come from fast string splitting and the
+        memo then also saves the pattern's work.
         """
         if not text:
             return np.empty(0, "<i4")
-        if "  " in text:
+        if "  " in text or not self._blank_cuts:
             cuts = self.pieces.findall(text)
         else:
             first, *rest = text.split(" ")

@@ -5,7 +5,8 @@ trees are trained on labelled documents, are monotone in the statistics that onl
 as flat numpy arrays on whole Arrow batches. The threshold is set from out-of-fold scores so that at most ``SPARE`` of the
 labelled good documents fall under it.
 
-Cases: a null text has no words; so have empty and blank ones: they fail the base rule; repeated rows get equal verdicts;
+Cases: a null text has no words; so have empty and blank ones: they fail the base rule; repeated rows, and other ties, get equal verdicts;
+very long texts are counted whole;
 without labels of both kinds the base rules alone decide; a column that has the name of a statistic is replaced by it; an
 empty table stays empty.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.boosting import Boosted, fit
-from folio.llm.common import hash_sample, table
+from folio.llm.common import hash_sample, removed, table, written
 
 #: About so many labelled rows at most train the trees, those with the smallest hash of their id. Everything else covers all rows.
 MAX_LABELLED = 20_000
@@ -108,11 +109,14 @@ class QualityModel:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> QualityModel:
     """Trees from about ``most`` labelled documents at most."""
-    sample = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
-    # about MAX_LABELLED rows of two numbers: broadcast by that bound
-    sample = F.broadcast(hash_sample(sample, most, "doc_id"))
+    sample = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").distinct()
+    # about MAX_LABELLED rows of two numbers, whatever ids are repeated: broadcast by that bound
+    sample = F.broadcast(hash_sample(sample, most, "doc_id", "quality"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s"))
-    data = rows.select("doc_id", "quality", "s.*").orderBy("doc_id", "quality", *STATS).toPandas()
+    # one id may have any number of rows: equal ones are one here, and of the others no more than the bound are taken
+    rows = written(rows.select("doc_id", "quality", "s.*").distinct(), "labelled")
+    data = hash_sample(rows, most, "doc_id", "quality", *STATS).orderBy("doc_id", "quality", *STATS).toPandas()
+    removed(rows)
     monotone = {FEATURES.index(f): -1 for f in FALLING}
     x, y = features(data[STATS].to_numpy().reshape(-1, len(STATS))), data["quality"].to_numpy()
     trees = fit(x, y, monotone)

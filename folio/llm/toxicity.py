@@ -7,7 +7,8 @@ is scored by words and word beginnings that labelled toxic documents have far mo
 function of the strongest of them gives the score. Labels are used only from rows that are not held out.
 
 Cases: a null text counts as empty; empty texts, and all texts while no labels of both kinds are there, get the base rate;
-repeated rows get equal scores; labels without a document, and nulls among them, are not used; only doc_id and text of
+repeated rows and ties get equal scores; very long texts are read
+whole, token by token; labels without a document, and nulls among them, are not used; only doc_id and text of
 documents are read, so other columns may have any name; an empty table stays empty.
 """
 
@@ -28,8 +29,10 @@ from folio.llm.common import hash_sample, table
 
 #: About so many labelled rows at most, those with the smallest hash of their id, train the word weights and the logistic function.
 MAX_LABELLED = 20_000
-#: The strongest words and beginnings that are kept, how many toxic documents must have one, and the least log-odds.
-MAX_CUES, LEAST_TOXIC, LEAST_ODDS = 20_000, 4, 2.0
+#: How many of the toxic documents among them must have a word or beginning, and the least log-odds, for it to be a cue.
+LEAST_TOXIC, LEAST_ODDS = 4, 2.0
+#: Strengths are told apart to this fraction when the logistic function is fitted.
+STRENGTH_STEPS = 1000
 #: Tokens remembered in each Python worker; this only saves time.
 MEMO_TOKENS = 150_000
 #: Letters that a sign may stand for.
@@ -200,12 +203,12 @@ class ToxicityModel:
         return sum(w / 2**i for i, w in enumerate(top))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 0.01) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column of ``x`` is 1 and is not shrunk."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 30, ridge: float = 0.01) -> np.ndarray:
+    """Ridge logistic regression of rows that stand for ``n`` each, by Newton steps; the last column of ``x`` is 1 and is not shrunk."""
     w, shrink = np.zeros(x.shape[1]), ridge * np.diag([1.0] * (x.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + shrink * len(y) / 100, x.T @ (y - p) - shrink @ w * len(y) / 100)
+        w += np.linalg.solve(x.T @ (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]) + shrink * n.sum() / 100, x.T @ (n * (y - p)) - shrink @ w * n.sum() / 100)
     return w
 
 
@@ -217,9 +220,9 @@ def fold_of(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> ToxicityModel:
     """Character model from all texts; weights and logistic function from labelled rows that are not held out."""
     language = language_model(trigram_counts(docs))
-    sample = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold")).where("fold != 0")
-    # about MAX_LABELLED rows of three numbers: broadcast by that bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(sample, most, "doc_id")), "doc_id").select("text", "toxic", "fold")
+    sample = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", fold_of(F.col("doc_id")).alias("fold")).where("fold != 0").distinct()
+    # about MAX_LABELLED rows of three numbers, whatever ids are repeated: broadcast by that bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(hash_sample(sample, most, "doc_id", "toxic")), "doc_id").select("text", "toxic", "fold")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, found, size = Restorer(language), [Counter(), Counter()], [0, 0]
@@ -234,16 +237,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Toxic
 
     counts = rows.where("fold != 4").select("text", "toxic").mapInArrow(counted, "cue string, toxic long, clean long").groupBy("cue").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     strong = counts.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") * 2 > F.col("clean")) | (F.col("cue") == ""))
-    top = strong.orderBy(F.col("cue") != "", F.desc(F.col("toxic") / (F.col("clean") + 1)), "cue").limit(MAX_CUES + 1).collect()
+    # a cue is in LEAST_TOXIC of at most MAX_LABELLED documents' distinct words
+    top = strong.orderBy("cue").collect()
     total = next(((r["toxic"], r["clean"]) for r in top if r["cue"] == ""), (0, 0))
     # the counts of clean documents are smoothed more, so that a rare cue never weighs like a frequent one
     odds = {r["cue"]: float(np.log((r["toxic"] + 0.5) / (total[0] + 1)) - np.log((r["clean"] + 2) / (total[1] + 4))) for r in top if r["cue"]}
     model = ToxicityModel(language, {c: w for c, w in odds.items() if w >= LEAST_ODDS}, np.array([0.0, -2.0]))
-    seen = add_strength(rows.where("fold = 4"), model).select("toxic", "strength").toPandas()
-    y = seen["toxic"].to_numpy("float64")
+    # a histogram of strengths, whose size does not depend on the number of documents
+    step = F.round(F.col("strength") * STRENGTH_STEPS).cast("int").alias("step")
+    seen = add_strength(rows.where("fold = 4"), model).groupBy("toxic", step).agg(F.count("*").alias("n")).orderBy("toxic", "step").toPandas()
+    y, n = seen["toxic"].to_numpy("float64"), seen["n"].to_numpy("float64")
     if total[0] and total[1] and len(y) and 0 < y.mean() < 1:
-        x = np.column_stack([seen["strength"].to_numpy("float64"), np.ones(len(y))])
-        model.logistic = _logistic(x, y)
+        x = np.column_stack([seen["step"].to_numpy("float64") / STRENGTH_STEPS, np.ones(len(y))])
+        model.logistic = _logistic(x, y, n)
     elif sum(total):
         rate = (total[0] + 0.5) / (sum(total) + 1)
         model.logistic = np.array([0.0, np.log(rate / (1 - rate))])

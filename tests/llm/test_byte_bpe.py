@@ -22,6 +22,15 @@ def test_like_the_library(text):
     assert ids == THEIRS.encode_ordinary(text) and CODEC.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r"[\s\S]+", r"\S+ ?|\s+", r"[^,]+|,"])
+def test_other_patterns(pattern):
+    """A pattern that does not start a match at every blank: texts are not cut there."""
+    codec = ByteBpe(CODEC.ranks, pattern)
+    theirs = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=CODEC.ranks, special_tokens={})
+    for text in ("the rain in spain, and so on.", "a b", " x  y. z,", "one.", "being there. again"):
+        assert codec.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
 def test_long_piece():
     text = "ab" * 30_000
     assert CODEC.encode(text).tolist() == THEIRS.encode_ordinary(text)

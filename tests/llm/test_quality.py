@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folio.llm.boosting import fit
-from folio.llm.quality import STATS, op2_quality, text_stats
+from folio.llm.quality import STATS, features, op2_quality, score_quality, text_stats, train
 
 from .conftest import ODD
 
@@ -56,3 +56,30 @@ def test_odd_rows(spark, folder):
     rows = op2_quality(spark, folder(ODD, [(4, 1, 0), (None, 0, 0), (99, None, 1)])).collect()
     assert len(rows) == len(ODD) and not any(r["kept"] for r in rows)
     assert op2_quality(spark, folder()).count() == 0
+
+
+def test_clashing_columns_and_a_frequent_id(spark):
+    """Columns named like results are replaced; an id of many rows does not swell the sample."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, f"{good} {i % 300}", 7, "x") for i in range(900)] + [(2, "#### " * 60 + good, 8, "y"), (2, "#### " * 60 + good, 8, "y"), (3, good, 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = score_quality(docs, train(docs, labels, 50)).collect()
+    assert len(got) == len(rows) and {type(r["kept"]) for r in got} == {bool} and {r["n_words"] for r in got if r["doc_id"] == 3} == {80}
+
+
+def test_verdict_is_that_of_the_trees_one_by_one(spark, small, small_docs):
+    """The flat arrays give what walking each tree from its root gives, and the verdict is its threshold."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = train(docs, labels)
+    rows = {r["doc_id"]: r for r in score_quality(docs, model).collect()}
+    for d, text in list(small_docs.items()):
+        x, margin = features(np.array([text_stats(text)], "int64"))[0], model.trees.base
+        for feature, split, leaf in zip(model.trees.feature, model.trees.split, model.trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (1 if x[feature[node]] <= split[node] else 2)
+            margin += leaf[node - len(feature)]
+        score = 1 / (1 + np.exp(-margin))
+        assert abs(rows[d]["quality_score"] - score) < 1e-12
+        assert rows[d]["kept"] == (not rows[d]["base_failed"] and rows[d]["quality_score"] >= model.threshold)

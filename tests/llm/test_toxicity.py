@@ -1,9 +1,10 @@
+import itertools
 import random
 import zlib
 
 import numpy as np
 
-from folio.llm.toxicity import Restorer, fold, language_model, op6_toxicity, trigram_counts
+from folio.llm.toxicity import AS_LETTER, Restorer, fold, language_model, lattice, op6_toxicity, score_toxicity, train, trigram_counts, viterbi
 
 from .conftest import ODD
 
@@ -54,3 +55,29 @@ def test_odd_rows(spark, folder):
     rows = op6_toxicity(spark, folder(ODD, [(4, 1, 1), (None, 1, 1), (77, 0, None)])).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
     assert op6_toxicity(spark, folder()).count() == 0
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(9)
+    model = language_model(rng.integers(0, 50, (27, 27, 27)).astype(float))
+    costs = model.tolist()
+    for token in ("1d0t", "st.p", "b00k", "a55", "h3!!", "$o", "aabb"):
+        best = None
+        for path in itertools.product(*lattice(token)):
+            letters = [0, 0, *[x for x, _ in path if x], 0]
+            cost = sum(p for _, p in path) + sum(model[a, b, c] for a, b, c in zip(letters, letters[1:], letters[2:]))
+            word = "".join(chr(96 + x) for x in letters if x)
+            best = min(best, (cost, word)) if best else (cost, word)
+        found = viterbi(token, costs)
+        letters = [0, 0, *[ord(x) - 96 for x in best[1]], 0]
+        assert found == best[1], (token, found, best)
+    assert AS_LETTER > 0
+
+
+def test_clashing_columns_and_a_frequent_id(spark):
+    docs, labels = corpus(200)
+    rows = [(i, t, 5, "x") for i, t in docs] + [(3, docs[3][1], 5, "x")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score int, strength string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in labels] * 2, "doc_id long, toxic int")
+    got = score_toxicity(frame, train(frame, marks, 100)).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and "strength" not in got[0].asDict()
