@@ -1,5 +1,6 @@
 import re
 
+from folio.llm import common
 from folio.llm.line_dedup import RUN_WORDS, dedup_lines, op4_line_dedup
 
 from .conftest import ODD
@@ -46,6 +47,9 @@ def test_query(spark, small, small_docs):
     rows = op4_line_dedup(spark, small).collect()
     got = {r["doc_id"]: r["text"] for r in rows}
     check(small_docs, got)
+    # complete: just what a search over all pairs of places finds goes, and nothing else
+    rest = {d: "\n".join(x) for d, x in brute({d: t or "" for d, t in small_docs.items()}).items()}
+    assert got == rest
     seen = set()
     for d in sorted(small_docs):  # a whole later copy goes
         if small_docs[d] in seen and len(WORD.findall(small_docs[d])) >= RUN_WORDS:
@@ -117,3 +121,25 @@ def brute(docs):
                     gone |= {(d, k + i) for i in range(n)}
             places[x].append((d, k))
     return {d: [x for k, x in enumerate(lines[d]) if (d, k) not in gone] for d in docs}
+
+
+def test_complete_on_more_documents(spark):
+    """On the next larger table every line of a repeated run of RUN_WORDS words goes."""
+    path = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_deleted"], r["text"]) for r in op4_line_dedup(spark, path).collect()}
+    rest = brute(docs)
+    worded = lambda xs: [x for x in xs if WORD.search(x)]
+    assert sum(len(worded(docs[d].split("\n"))) - len(worded(rest[d])) for d in docs) > 500
+    assert {d: worded(t.split("\n")) for d, (_, t) in got.items()} == {d: worded(rest[d]) for d in docs}
+
+
+def test_frequent_keys_and_long_texts(spark, monkeypatch):
+    """Keys of many rows are dealt over tasks with the same result; a text of many lines is whole."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    run = passage("p", 6, 12)
+    docs = {d: "\n".join(passage(f"a{d}", 2, 20) + run + passage(f"b{d}", 1, 30)) for d in range(60)}
+    docs[60] = "\n".join(passage("long", 4_000, 6) + run + passage("z", 2_000, 3))
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame).collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if d == 0 or x not in run) for d, t in docs.items()}
