@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import removed, written
 
 
 def _tighter(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,18 @@ def _tighter(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(a, root)``: for every node of ``edges(a long, b long)`` that is not itself a root, its component's least node.
 
-    Each round's edges are written to the shared folder, so a lost executor repeats one round at most.
+    Each round's edges are written to the shared folder, so a lost executor repeats one round at most; those of the round
+    before are then removed. What is returned is such a table.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state or found[0] == 0:
-            return now.select("a", F.col("b").alias("root"))
-        state, now = found, written(_tighter(now), "edges")
+            out = now.select("a", F.col("b").alias("root"))
+            out.__dict__["_written_at"] = now.__dict__["_written_at"]
+            return out
+        state, before = found, now
+        now = written(_tighter(before), "edges")
+        removed(before)
     raise RuntimeError("the components did not settle")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import near_copies
-from folio.llm.common import hash_sample, table, unskewed, written
+from folio.llm.common import hash_sample, removed, table, unskewed, written
 from folio.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -235,9 +235,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
     # least of each set, then of each component: a hot one is one row a task before it moves
     nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    roots = components(near_copies.links(keys, nodes, keyed)).withColumnRenamed("a", "sig")
+    edges = near_copies.links(keys, nodes, keyed)
+    roots = components(edges).withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
-    stay = least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2"))
+    stay = written(least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")), "stay")
+    removed(keys, nodes, edges)
     met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
     return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
 
