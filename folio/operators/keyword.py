@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.metadata import restricted
-from folio.operators.ranking import effective_k, hydrated, top
+from folio.operators.ranking import bounded, effective_k, hydrated, top
 
 #: Constants of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Distinct query terms up to this many are a filter of the scan of the postings.
+MOST_TERMS = 4096
+_MARKS = regex.compile(r"\p{M}+")
 _BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -23,7 +32,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
+    return _MARKS.sub("", unicodedata.normalize("NFD", text))
 
 
 def words(text: str) -> list[str]:
@@ -36,37 +45,76 @@ def query_phrases(text: str) -> list[list[str]]:
     return [p for p in map(words, _BLANK.split(text)) if p]
 
 
-def _postings(text: Column) -> Column:
-    kind = pa.struct([("dl", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))])))])
+POSTINGS = "term string, chunk_id long, document_id long, positions array<int>, dl int"
 
-    @F.arrow_udf("struct<dl: int, terms: array<struct<term: string, positions: array<int>>>>")
-    def rows(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            places: dict[str, list[int]] = {}
-            found = words(text or "")
-            for i, w in enumerate(found):
-                places.setdefault(w, []).append(i)
-            out.append({"dl": len(found), "terms": [{"term": t, "positions": p} for t, p in places.items()]})
-        return pa.array(out, kind)
 
-    return rows(text)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of ``(chunk_id, document_id, text)`` rows, some rows at a time: their words are sorted as numbers by row and term."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [words(t.as_py() or "") for t in part.column(2)]
+            lengths = np.array([len(f) for f in found], "int64")
+            row, start = np.repeat(np.arange(len(found)), lengths), np.cumsum(lengths) - lengths
+            coded = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+            key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.diff(key[order], prepend=-1))
+            positions = (np.arange(len(key)) - start[row])[order].astype("int32")
+            terms = pc.take(coded.dictionary, coded.indices.take(pa.array(order[new])))
+            rows = row[order[new]]
+            # and of every chunk one posting of the empty term, which no query has: it carries the length
+            rows, terms = np.concatenate([rows, np.arange(len(found))]), pa.concat_arrays([terms, pa.array([""] * len(found), pa.string())])
+            ends = np.concatenate([new, np.full(len(found) + 1, len(key))]).astype("int32")
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([terms, part.column(0).take(take), part.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), pa.array(positions)), pa.array(lengths[rows].astype("int32"))], ["term", "chunk_id", "document_id", "positions", "dl"])
 
 
 def build_index(chunks: DataFrame) -> DataFrame:
     """Postings ``(term, chunk_id, document_id, positions, dl)``. A chunk is one row, so nothing is shuffled.
 
-    A chunk without words has one posting of the empty term, which no query has, so that it counts as a chunk.
+    Each chunk also has one posting of the empty term, so that it counts as a chunk whatever its text.
     """
-    rows = chunks.select("chunk_id", "document_id", _postings(F.col("text")).alias("p"))
-    none = F.array(F.struct(F.lit("").alias("term"), F.array().cast("array<int>").alias("positions")))
-    terms = F.when(F.size("p.terms") > 0, F.col("p.terms")).otherwise(none)
-    return rows.select("chunk_id", "document_id", F.col("p.dl").alias("dl"), F.inline(terms)).select("term", "chunk_id", "document_id", "positions", "dl")
+    return chunks.select("chunk_id", "document_id", "text").mapInArrow(_postings, POSTINGS)
 
 
-def write_index(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Keep an index as a table bucketed by term: searches then join without moving it."""
-    index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """A written index: postings in folders by a hash of their term and sorted within, and what is counted over all of them."""
+
+    postings: DataFrame
+    buckets: int
+    chunks: int
+    words: int
+
+
+def write_index(index: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Write postings below ``folder``. Searches read the folders of their terms alone, and of those the row groups.
+
+    Postings are dealt by bucket and then balanced by size, so that a frequent term is written by several tasks.
+    """
+    spark = index.sparkSession
+    dealt = index.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket")
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    size = corpus_statistics(spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{folder}/postings").where(F.col("bucket") == bucket_of(F.lit(""), buckets)))
+    size.select(F.lit(buckets).alias("buckets"), "chunks", "words").coalesce(1).write.parquet(f"{folder}/size")
+
+
+def read_index(spark: SparkSession, folder: str) -> StoredIndex:
+    size = spark.read.schema("buckets int, chunks long, words long").parquet(f"{folder}/size").first()
+    return StoredIndex(spark.read.schema(f"{POSTINGS}, bucket int").parquet(f"{folder}/postings"), size["buckets"], size["chunks"], size["words"])
+
+
+def stored(index: DataFrame | StoredIndex) -> StoredIndex:
+    """An index as it is searched; one that is not written is counted first, and read as a whole."""
+    if isinstance(index, StoredIndex):
+        return index
+    size = corpus_statistics(index).first()
+    return StoredIndex(index.withColumn("bucket", F.lit(0)), 1, size["chunks"], size["words"])
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -75,9 +123,8 @@ def term_statistics(index: DataFrame) -> DataFrame:
 
 
 def corpus_statistics(index: DataFrame) -> DataFrame:
-    """One row ``chunks, words``: every chunk counts once, by the posting that has its first word."""
-    first = (F.get("positions", F.lit(0)) == 0) | (F.col("term") == "")
-    return index.where(first).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+    """One row ``chunks, words``, from the postings of the empty term."""
+    return index.where("term = ''").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
@@ -92,40 +139,59 @@ def phrases_of(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "n_phrases", "phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
 
 
-def phrase_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
+def postings_of(index: StoredIndex, wanted: DataFrame) -> DataFrame:
+    """The postings of the terms of ``wanted(term, ...)``, joined with it.
+
+    The queries' side is broadcast while it is small, so that postings stay where they are; the terms, if few, and their buckets
+    are filters of the scan. A larger one is joined by a shuffle.
+    """
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    buckets = [r[0] for r in wanted.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]  # no more than there are
+    postings = index.postings.where(F.col("bucket").isin(buckets)).drop("bucket")
+    if len(terms) <= MOST_TERMS:
+        postings = postings.where(F.col("term").isin(terms))
+    return postings.join(bounded(wanted, wanted.count()), "term")
+
+
+def phrase_hits(index: StoredIndex, queries: DataFrame) -> DataFrame:
     """``query_id, n_phrases, phrase, chunk_id, document_id, dl, f``: chunks with a phrase and how often they have it.
 
-    A word's positions, less its place in the phrase, are where the phrase may start; the starts that all words share count.
+    A word's positions, less its place in the phrase, are where the phrase may start; the starts that all words share count. The
+    postings of a query and a chunk are brought together once; all that follows by query and chunk is where it is.
     """
-    wanted = phrases_of(queries)
-    met = index.join(wanted, "term").select("query_id", "n_phrases", "phrase", "length", "place", "chunk_id", "document_id", "dl", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-    keys = ["query_id", "n_phrases", "phrase", "length", "chunk_id", "document_id", "dl"]
-    single = met.where("length = 1").select(*keys, F.size("starts").alias("f"))
-    longer = met.where("length > 1").groupBy(*keys).agg(F.collect_list("starts").alias("all"))
+    met = postings_of(index, phrases_of(queries))
+    starts = F.when(F.col("length") > 1, F.transform("positions", lambda p: p - F.col("place"))).otherwise(F.array().cast("array<int>"))
+    met = met.select("query_id", "n_phrases", "phrase", "length", "chunk_id", "document_id", "dl", F.size("positions").alias("n"), starts.alias("starts"))
+    keys = ["query_id", "chunk_id", "n_phrases", "phrase", "length", "document_id", "dl"]
+    whole = met.repartition("query_id", "chunk_id").groupBy(*keys).agg(F.collect_list("starts").alias("all"), F.max("n").alias("n"))
     shared = F.aggregate(F.slice("all", 2, F.col("length")), F.get("all", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))
-    longer = longer.where(F.size("all") == F.col("length")).select(*keys, F.size(shared).alias("f"))
-    return single.unionByName(longer).where("f > 0").drop("length")
+    f = F.when(F.col("length") == 1, F.col("n")).when(F.size("all") == F.col("length"), F.size(shared)).otherwise(0)
+    return whole.withColumn("f", f).where("f > 0").drop("length", "all", "n")
 
 
-def scored(index: DataFrame, queries: DataFrame) -> DataFrame:
+def scored(index: DataFrame | StoredIndex, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, document_id, score`` of the chunks that hold all phrases of a query."""
-    size = corpus_statistics(index).first()
-    n, average = size["chunks"], size["words"] / max(1, size["chunks"])
+    index = stored(index)
+    average = index.words / max(1, index.chunks)
     hits = phrase_hits(index, queries)
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
+    idf = F.greatest(F.log((F.lit(float(index.chunks)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     f, dl = F.col("f").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (average or 1.0)))
-    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n")).withColumn("idf", idf)
-    rows = hits.join(df.select("query_id", "phrase", "idf"), ["query_id", "phrase"]).withColumn("part", part)
-    all_of = rows.groupBy("query_id", "chunk_id", "document_id", "n_phrases").agg(F.count("*").alias("met"), F.sum("part").alias("score"))
+    # a row a phrase: no more than the queries have terms
+    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n")).select("query_id", "phrase", idf.alias("idf"))
+    rows = hits.join(bounded(df, phrases_of(queries).count()), ["query_id", "phrase"]).withColumn("part", part)
+    # parts are added in any order: what is left of that is rounded away, so that equal chunks are ties
+    score = F.round(F.sum("part"), 9).alias("score")
+    all_of = rows.groupBy("query_id", "chunk_id", "document_id", "n_phrases").agg(F.count("*").alias("met"), score)
     return all_of.where("met = n_phrases").select("query_id", "chunk_id", "document_id", "score")
 
 
-def keyword_ranks(index: DataFrame, queries: DataFrame, k: int, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+def keyword_ranks(index: DataFrame | StoredIndex, queries: DataFrame, k: int, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """``query_id, rank, chunk_id, document_id, score``; frequencies are of the whole index, filtered or not."""
     return top(restricted(scored(index, queries), metadata, filters), k)
 
 
-def keyword_search(index: DataFrame, chunks: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int = 5, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+def keyword_search(index: DataFrame | StoredIndex, chunks: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int = 5, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """The ``top_k`` chunks of each query with text, path and title. There is no least score here."""
-    return hydrated(keyword_ranks(index, queries, effective_k(top_k), metadata, filters), chunks, documents, "keyword")
+    k = effective_k(top_k)
+    return hydrated(keyword_ranks(index, queries, k, metadata, filters), chunks, documents, "keyword", k * queries.count())

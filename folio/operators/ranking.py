@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_K = 5
+#: Rows of a few numbers and short strings up to which a side that is known to be no larger is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def effective_k(*wanted: int | None) -> int:
@@ -19,7 +21,16 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "document_id", "score")
 
 
-def hydrated(ranks: DataFrame, chunks: DataFrame, documents: DataFrame, source: str) -> DataFrame:
-    """Results with text, path and title; ids that have gone are dropped. The corpus side is joined only after the top-k."""
-    rows = ranks.join(chunks.select("chunk_id", "chunk_index", "text"), "chunk_id").join(documents.select("document_id", "path", "title"), "document_id")
+def bounded(few: DataFrame, most: int | None) -> DataFrame:
+    """``few`` with a broadcast hint if it has at most ``most`` rows, and those are few enough; else the join shuffles."""
+    return F.broadcast(few) if most is not None and most <= BROADCAST_ROWS else few
+
+
+def hydrated(ranks: DataFrame, chunks: DataFrame, documents: DataFrame, source: str, most: int | None = None) -> DataFrame:
+    """Results with text, path and title; ids that have gone are dropped. ``most`` bounds the rows of ``ranks``.
+
+    The corpus is joined only after the top-k, first for the short columns; a bounded number of results goes to it, and no text moves.
+    """
+    rows = documents.select("document_id", "path", "title").join(bounded(ranks, most), "document_id")
+    rows = chunks.select("chunk_id", "chunk_index", "text").join(bounded(rows, most), "chunk_id")
     return rows.select("query_id", "rank", "chunk_id", "document_id", "path", "title", "chunk_index", "text", "score", F.lit(source).alias("source"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folio.operators.keyword import words
 from folio.operators.metadata import restricted
 from folio.operators.ranking import effective_k, hydrated, top
+from folio.sources.scratch import scratch_folder
 
 #: Queries scored against a chunk batch at once; larger query tables are searched in such blocks.
 QUERY_BLOCK = 2048
@@ -47,8 +48,20 @@ def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
 
+def _best(scores: np.ndarray, chunk: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of the best ``k`` of a query's candidates, equal ones by chunk."""
+    if len(scores) > k:  # keep all ties of the k-th, the order by id is settled below
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= kth)
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((chunk[some], -scores[some]))][:k]
+
+
 def _block_scores(chunks: DataFrame, ids: list[int], matrix: np.ndarray, k: int, least: float) -> DataFrame:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.empty(0), np.empty(0, "int64"), np.empty(0, "int64"))
+        held = [none] * len(ids)  # of each query the best k so far: score, chunk, document
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -56,50 +69,54 @@ def _block_scores(chunks: DataFrame, ids: list[int], matrix: np.ndarray, k: int,
             rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             chunk, doc = batch.column("chunk_id").to_numpy(), batch.column("document_id").to_numpy()
             scores = cosines(rows, matrix)
-            out: list[tuple[np.ndarray, ...]] = []
             for q in range(len(ids)):
-                some = np.flatnonzero(scores[:, q] >= least)
-                if len(some) > k:  # keep all ties of the k-th, the order by id is settled below
-                    kth = np.partition(scores[some, q], len(some) - k)[len(some) - k]
-                    some = some[scores[some, q] >= kth]
-                some = some[np.lexsort((chunk[some], -scores[some, q]))][:k]
-                out.append((np.full(len(some), ids[q], "int64"), chunk[some], doc[some], scores[some, q]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "chunk_id", "document_id", "score"])
+                mine = held[q]
+                bar = max(least, mine[0][-1]) if len(mine[0]) == k else least
+                some = np.flatnonzero(scores[:, q] >= bar)
+                if len(some):
+                    joined = [np.concatenate(x) for x in zip(mine, (scores[some, q], chunk[some], doc[some]), strict=True)]
+                    keep = _best(*joined, k)
+                    held[q] = tuple(x[keep] for x in joined)
+        sizes = [len(h[0]) for h in held]
+        score, chunk, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, "int64"), sizes)), pa.array(chunk), pa.array(doc), pa.array(score)], ["query_id", "chunk_id", "document_id", "score"])
 
     return chunks.select("chunk_id", "document_id", "embedding").mapInArrow(best, "query_id long, chunk_id long, document_id long, score double")
 
 
 def vector_ranks(chunks: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
-    """``query_id, rank, chunk_id, document_id, score`` for ``queries(query_id, vec)``.
+    """``query_id, rank, chunk_id, document_id, score`` for ``queries(query_id, vec)``; null vectors find nothing.
 
-    Chunks stay where they are: each task scores its batches against a block of queries and passes on its best ``k``.
+    Chunks stay where they are: each task scores its batches against a block of queries and passes on its best ``k``. With more
+    queries than one block holds, each block's result is written before the next block comes to the driver.
     """
     candidates = restricted(chunks.where("embedding IS NOT NULL"), metadata, filters)
-    blocks, ids, vectors = [], [], []
-
-    def add() -> None:
-        blocks.append(_block_scores(candidates, list(ids), np.array(vectors, "float32").reshape(len(ids), -1), k, min_score))
-
+    queries = queries.where("vec IS NOT NULL")
     lengths = {r[0] for r in queries.select(F.size("vec")).distinct().collect()}
     stored = dimensions(candidates)
     if stored and lengths and (len(stored) > 1 or len(lengths) > 1 or stored != sorted(lengths)):
         raise DimensionError(f"stored dimensions {stored}, query dimensions {sorted(lengths)}")
-    for row in queries.select("query_id", "vec").toLocalIterator():
-        ids.append(row["query_id"])
-        vectors.append(row["vec"])
-        if len(ids) == QUERY_BLOCK:
-            add()
-            ids, vectors = [], []
-    if ids or not blocks:
-        if not ids:
-            return top(candidates.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "document_id", F.lit(0.0).alias("score")).where("false"), k)
-        add()
-    return top(reduce(DataFrame.unionByName, blocks), k)
+    empty = candidates.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "document_id", F.lit(0.0).alias("score")).where("false")
+    rows = ((r["query_id"], r["vec"]) for r in queries.select("query_id", "vec").toLocalIterator())
+    block = list(islice(rows, QUERY_BLOCK))
+    scored = lambda b: top(_block_scores(candidates, [i for i, _ in b], np.array([v for _, v in b], "float32"), k, min_score), k)
+    if not block:
+        return top(empty, k)
+    first, block = block, list(islice(rows, QUERY_BLOCK))
+    if not block:
+        return scored(first)
+    folder = scratch_folder(candidates.sparkSession, "ranks")
+    scored(first).write.parquet(folder)
+    while block:
+        scored(block).write.mode("append").parquet(folder)
+        block = list(islice(rows, QUERY_BLOCK))
+    return candidates.sparkSession.read.parquet(folder)
 
 
 def vector_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int = 5, min_score: float = 0.0, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """The ``top_k`` chunks of each query by cosine, none under ``min_score`` (0 by default: negative cosines go)."""
-    return hydrated(vector_ranks(chunks, queries, effective_k(top_k), min_score, metadata, filters), chunks, documents, "vector")
+    k = effective_k(top_k)
+    return hydrated(vector_ranks(chunks, queries, k, min_score, metadata, filters), chunks, documents, "vector", k * queries.count())
 
 
 def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:

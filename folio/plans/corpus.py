@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
-from folio.operators.keyword import build_index
+from folio.operators.keyword import StoredIndex, build_index, read_index, write_index
 from folio.operators.metadata import automatic, upsert
+from folio.sources.scratch import scratch_folder
 
 STAMP = "2026-01-01 00:00:00"
 
@@ -58,17 +59,39 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(automatic(docs.select("document_id", "path")), own, marks)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files make fewer tasks than there are; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_index(whole_chunks(spark, sf_dir))
+    return build_index(spread(whole_chunks(spark, sf_dir).select("chunk_id", "document_id", "text")))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The index written once, as searches use it."""
+    folder = scratch_folder(spark, "index")
+    write_index(index(spark, sf_dir), folder, 16)
+    return read_index(spark, folder)
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each benchmark passage: its first word, and its next two as a phrase."""
-    words = F.split("text", " ")
-    asked = F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1)), F.lit("-"), F.get(words, F.lit(2)))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked(F.col("text")).alias("text"))
+
+
+def asked(text: F.Column) -> F.Column:
+    words = F.split(text, " ")
+    return F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1)), F.lit("-"), F.get(words, F.lit(2)))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors with the numbers of the benchmark passages."""
-    return table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
+    """The vectors whose number is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose number is divisible by 20 and that have a vector: their first words, and the vector."""
+    words = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), asked(F.col("text")).alias("text"))
+    return words.join(vector_queries(spark, sf_dir), "query_id")

@@ -18,11 +18,13 @@ def _preview(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
 
 
+#: Where keyword queries come from: all benchmark passages; for hybrid search the documents divisible by 20 that have a vector.
+PASSAGES = f"asked AS (SELECT item_id AS query_id, {ASKED} AS q FROM (SELECT item_id, string_split(text, ' ') AS s FROM benchmark))"
+TWENTIETH = f"asked AS (SELECT doc_id AS query_id, {ASKED} AS q FROM (SELECT doc_id, string_split(text, ' ') AS s FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)))"
 #: Named parts of WITH: tokens, query phrases, hits and BM25 scores; ranks of all queries.
-KEYWORD = f"""
+BM25 = f"""
 tok AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p, len(w) AS dl FROM tok),
-asked AS (SELECT item_id AS query_id, {ASKED} AS q FROM (SELECT item_id, string_split(text, ' ') AS s FROM benchmark)),
 term AS (SELECT query_id, unnest(regexp_split_to_array(q, '\\s+')) AS t, generate_subscripts(regexp_split_to_array(q, '\\s+'), 1) AS phrase FROM asked),
 ph AS (SELECT query_id, phrase, {WORDS.format("t")} AS ws FROM term),
 np AS (SELECT query_id, count(*) AS n_phrases FROM ph WHERE len(ws) > 0 GROUP BY query_id),
@@ -34,28 +36,29 @@ df AS (SELECT query_id, phrase, count(*) AS n FROM hit GROUP BY ALL),
 size AS (SELECT count(*)::DOUBLE AS n_all, sum(len(w))::DOUBLE / count(*) AS avgdl FROM tok),
 score AS (
   SELECT query_id, doc_id AS chunk_id,
-    sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f::DOUBLE * 2.2 / (f::DOUBLE + 1.2 * (0.25 + 0.75 * dl::DOUBLE / avgdl))) AS score
+    round(sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * f::DOUBLE * 2.2 / (f::DOUBLE + 1.2 * (0.25 + 0.75 * dl::DOUBLE / avgdl))), 9) AS score
   FROM hit JOIN df USING (query_id, phrase) JOIN np USING (query_id), size GROUP BY query_id, doc_id, n_phrases HAVING count(*) = n_phrases
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM score),
 cited AS (
   SELECT query_id, rank, chunk_id, {PATH} AS path, doc_id::VARCHAR AS title, text, score, {PATH} || ' §0' AS citation FROM ranked JOIN documents ON doc_id = chunk_id
 )"""
+KEYWORD = f"{PASSAGES}, {BM25}"
 
 VECTOR = """
-vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
+vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
 near AS (SELECT query_id, vec_id AS chunk_id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, vq)"""
 
 HYBRID = f"""
 {VECTOR},
-{KEYWORD},
+{TWENTIETH}, {BM25},
 v AS (
   SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
-  FROM near WHERE score >= 0 AND chunk_id IN (SELECT doc_id FROM documents)
+  FROM near WHERE score >= 0 AND chunk_id IN (SELECT doc_id FROM documents) AND query_id IN (SELECT query_id FROM asked)
 ),
 legs AS (
   SELECT query_id, chunk_id, rank FROM v WHERE rank <= 10
-  UNION ALL SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 10 AND query_id IN (SELECT query_id FROM vq)
+  UNION ALL SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 10
 ),
 fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM legs GROUP BY ALL)"""
 

@@ -105,14 +105,14 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = keyword.keyword_search(corpus.index(spark, sf_dir), corpus.whole_chunks(spark, sf_dir), corpus.headings(spark, sf_dir), corpus.text_queries(spark, sf_dir), 10)
+    found = keyword.keyword_search(corpus.stored_index(spark, sf_dir), corpus.whole_chunks(spark, sf_dir), corpus.headings(spark, sf_dir), corpus.text_queries(spark, sf_dir), 10)
     return rounded(found).select("query_id", "rank", "chunk_id", "path", "score", "source")
 
 
 @query
 def keyword_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = {"lang": "en", "extension": "md", "mime": "text/markdown"}
-    found = keyword.keyword_ranks(corpus.index(spark, sf_dir), corpus.text_queries(spark, sf_dir), 5, corpus.metadata(spark, sf_dir), filters)
+    found = keyword.keyword_ranks(corpus.stored_index(spark, sf_dir), corpus.text_queries(spark, sf_dir), 5, corpus.metadata(spark, sf_dir), filters)
     return rounded(found).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -162,21 +162,19 @@ def metadata_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus.text_and_vectors(spark, sf_dir)
-    asked = corpus.text_queries(spark, sf_dir).join(corpus.vector_queries(spark, sf_dir), "query_id")
-    found = hybrid.hybrid_search(chunks, corpus.headings(spark, sf_dir), keyword.build_index(chunks), asked, 5)
+    found = hybrid.hybrid_search(chunks, corpus.headings(spark, sf_dir), corpus.stored_index(spark, sf_dir), corpus.hybrid_queries(spark, sf_dir), 5)
     return rounded(found).select("query_id", "rank", "chunk_id", "score", "source")
 
 
 @query
 def hybrid_search_least_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus.text_and_vectors(spark, sf_dir)
-    asked = corpus.text_queries(spark, sf_dir).join(corpus.vector_queries(spark, sf_dir), "query_id")
-    found = hybrid.hybrid_search(chunks, corpus.headings(spark, sf_dir), keyword.build_index(chunks), asked, 5, 0.016)
+    found = hybrid.hybrid_search(chunks, corpus.headings(spark, sf_dir), corpus.stored_index(spark, sf_dir), corpus.hybrid_queries(spark, sf_dir), 5, 0.016)
     return rounded(found).select("query_id", "rank", "chunk_id", "score")
 
 
 def _cited(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    found = keyword.keyword_search(corpus.index(spark, sf_dir), corpus.whole_chunks(spark, sf_dir), corpus.headings(spark, sf_dir), corpus.text_queries(spark, sf_dir), k)
+    found = keyword.keyword_search(corpus.stored_index(spark, sf_dir), corpus.whole_chunks(spark, sf_dir), corpus.headings(spark, sf_dir), corpus.text_queries(spark, sf_dir), k)
     return found.withColumn("citation", X.citation(F.col("path"), F.col("chunk_index")))
 
 
@@ -260,7 +258,7 @@ def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def health_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = corpus.text_and_vectors(spark, sf_dir)
-    return report.health(corpus.headings(spark, sf_dir), chunks, corpus.metadata(spark, sf_dir), keyword.build_index(chunks), 64)
+    return report.health(corpus.headings(spark, sf_dir), chunks, corpus.metadata(spark, sf_dir), corpus.stored_index(spark, sf_dir).postings, 64)
 
 
 @query
