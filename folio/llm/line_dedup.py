@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int =
         F.xxhash64(F.col("doc_id").isNull(), text).alias("k2"),
     )
     runs = repeated_runs(keyed.select("k0", "k1", "k2", "_text"), gram_words, run_words)
-    joined = keyed.join(runs, ["k1", "k2"], "left")
+    # the runs grow with the corpus: never a broadcast, whatever their size now
+    joined = keyed.join(runs.hint("merge"), ["k1", "k2"], "left")
     size = F.size(F.split("_text", "\n", -1))
     cut = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["p"], r["q"]))))
     joined = joined.withColumn("_cut", F.when(F.col("runs").isNotNull(), cut))
