@@ -36,14 +36,15 @@ def delete_documents(tables: dict[str, DataFrame], paths: DataFrame) -> tuple[di
     """
     documents = tables["documents"]
     asked = paths.select("path").distinct()
-    gone = documents.join(asked, "path", "left_semi").select("document_id", "path", "sha256")
+    gone = documents.join(asked, "path", "left_semi").select("document_id", "path", "sha256", "mime_type")
     out = dict(tables)
     for name in ("documents", "chunks", "metadata", "postings"):
         if name in tables:
             out[name] = tables[name].join(gone.select("document_id"), "document_id", "left_anti")
     if "extracted" in tables:
-        unused = gone.select("sha256").join(out["documents"].select("sha256"), "sha256", "left_anti").distinct()
-        out["extracted"] = tables["extracted"].join(unused, "sha256", "left_anti")
+        keys = ["sha256", "mime_type"]
+        unused = gone.select(*keys).join(out["documents"].select(*keys), keys, "left_anti").distinct()
+        out["extracted"] = tables["extracted"].join(unused, keys, "left_anti")
     removed = tables["chunks"].join(gone.select("document_id"), "document_id", "left_semi").groupBy("document_id").agg(F.count("*").alias("chunks"))
     report = asked.join(gone.select("path", "document_id"), "path", "left").join(removed, "document_id", "left")
     status = F.when(F.col("document_id").isNull(), "not found").otherwise("deleted")

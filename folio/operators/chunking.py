@@ -64,8 +64,8 @@ def chunk(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 
 def chunk_key(document_id: Column, chunk_index: Column) -> Column:
-    """A chunk's id: ordered like its document and place."""
-    return document_id * 1_000_000 + chunk_index
+    """A chunk's id: a hash of its document and place, whatever range the documents' ids have."""
+    return F.xxhash64(document_id, chunk_index)
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

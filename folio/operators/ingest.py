@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import chunking
-from folio.operators.changes import classify, replaced
+from folio.operators.changes import classify, delete_documents, replaced
 from folio.operators.keyword import build_index
 from folio.operators.metadata import automatic, upsert
 from folio.operators.vector import check_dimension, embed_chunks, hashed_embedder
@@ -33,43 +33,72 @@ def ingest(store: Store, files: DataFrame, options: Options = Options()) -> Data
     """Bring ``files(path, length, content, ...)`` into ``store``; returns ``path, status, chunks, error``.
 
     Unchanged files are skipped by their hash, so running again is safe. A file that fails keeps its old chunks and its old
-    hash, and is tried again next time. What is extracted and embedded is written once before it is used several times.
+    hash, and is tried again next time. What is extracted and embedded is written once before it is used several times. Only the
+    buckets of the documents that change are read and rewritten; texts and raw copies are appended.
     """
     chunking.validate(options.size, options.overlap)
-    spark, old = store.spark, store.read_all()
-    seen = classify(described(files), old["documents"], options.force)
-    todo = seen.where("change != 'unchanged'")
-    texts, fresh = texts_with_store(todo, old["extracted"], options.extractors)
+    spark = store.spark
     scratch = f"{store.folder}/scratch/v{store.number() + 1}"
-    texts.write.mode("overwrite").parquet(f"{scratch}/texts")
-    texts = spark.read.parquet(f"{scratch}/texts")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{scratch}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
+
+    seen = classify(described(files), store.read("documents"), options.force)
+    todo = seen.where("change != 'unchanged'")
+    texts, fresh = texts_with_store(todo, store.read("extracted"), options.extractors)
+    texts = kept(texts, "texts")
     good = texts.where("error IS NULL")
     chunks = chunking.chunk_documents(good.select("document_id", "text"), options.size, options.overlap)
-    # ids of documents are hashes of paths: a chunk's id hashes both its parts
-    chunks = chunks.withColumn("chunk_id", F.xxhash64("document_id", "chunk_index"))
-    embed_chunks(chunks, options.embed, options.batch).write.mode("overwrite").parquet(f"{scratch}/chunks")
-    embedded = spark.read.parquet(f"{scratch}/chunks")
+    embedded = kept(embed_chunks(chunks, options.embed, options.batch), "chunks")
     failed = embedded.where("error IS NOT NULL").groupBy("document_id").agg(F.min("error").alias("problem"))
     done = good.join(failed, "document_id", "left_anti")
     new = embedded.drop("error")
+    touched = store.buckets_of(done)
+    old = {name: store.read(name, touched) for name in ("documents", "chunks", "metadata", "postings")}
     state = replaced(old["chunks"], new, done)
-    check_dimension(state)
+    # the dimension is known from the runs before; only where it changes are all chunks looked at
+    dimension = check_dimension(new.join(done.select("document_id"), "document_id", "left_semi"))
+    if dimension is not None and store.fact("dimension") not in (None, str(dimension)):
+        check_dimension(store.read("chunks"), dimension, done)
     documents = old["documents"]
     now = F.date_trunc("second", F.current_timestamp())
     before = documents.select("document_id", F.col("created_at").alias("was"), F.col("title").alias("had"))
     rows = done.join(before, "document_id", "left").select("document_id", "path", "sha256", F.coalesce("had", "title").alias("title"), "mime_type", F.coalesce("was", now).alias("created_at"), now.alias("updated_at"))
     metadata = upsert(old["metadata"], automatic(done.select("document_id", "path")))
     postings = replaced(old["postings"], build_index(new), done)
-    kept_raw = old["raw"].unionByName(raw_to_keep(todo.where("error IS NULL"), old["raw"], options.no_raw))
-    store.publish({"extracted": old["extracted"].unionByName(fresh), "raw": kept_raw, "chunks": state, "metadata": metadata, "postings": postings, "documents": replaced(documents, rows, done)})
+    raw = raw_to_keep(todo.where("error IS NULL"), store.read("raw"), options.no_raw)
+    states = {"chunks": state, "metadata": metadata, "postings": postings, "documents": replaced(documents, rows, done)}
     counts = new.groupBy("document_id").agg(F.count("*").alias("n"))
     result = seen.where("change = 'unchanged'").select("path", F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("chunks"), F.lit(None).cast("string").alias("error"))
     tried = texts.join(failed, "document_id", "left").join(counts, "document_id", "left")
     error = F.coalesce("error", "problem")
     tried = tried.select("path", F.when(error.isNull(), "ingested").otherwise("error").alias("status"), F.when(error.isNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("chunks"), error.alias("error"))
-    # the skipped rows depend on the state before this run: they are written with the rest
-    tried.unionByName(result).write.mode("overwrite").parquet(f"{scratch}/result")
-    return spark.read.parquet(f"{scratch}/result")
+    # the skipped rows depend on the state before this run: they are written before the new one is current
+    report = kept(tried.unionByName(result), "result")
+    if report.where("status != 'skipped'").isEmpty():
+        return report
+    store.publish({"extracted": fresh, "raw": raw, **states}, touched, {"dimension": str(dimension)} if dimension is not None else None)
+    return report
+
+
+def remove(store: Store, paths: DataFrame) -> DataFrame:
+    """Delete the documents of ``paths(path)`` from ``store`` with all that belongs to them; ``path, status, chunks``.
+
+    Only the buckets of these documents are rewritten; their texts go too, unless others have the same.
+    """
+    documents = store.read("documents")
+    touched = store.buckets_of(documents.join(paths.select("path").distinct(), "path", "left_semi"))
+    tables = {name: store.read(name, touched) for name in ("chunks", "metadata", "postings")}
+    left, report = delete_documents({**tables, "documents": documents, "extracted": store.read("extracted")}, paths)
+    scratch = f"{store.folder}/scratch/v{store.number() + 1}/removed"
+    report.write.mode("overwrite").parquet(scratch)
+    if touched:
+        extracted = left.pop("extracted")
+        extracted.write.mode("overwrite").parquet(f"{scratch}-texts")
+        store.publish(left, touched)
+        store.rewrite("extracted", store.spark.read.schema(extracted.schema).parquet(f"{scratch}-texts"))
+    return store.spark.read.schema(report.schema).parquet(scratch)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -60,10 +60,11 @@ def restricted(rows: DataFrame, metadata: DataFrame | None, filters: dict[str, s
 
 
 def metadata_search(chunks: DataFrame, documents: DataFrame, metadata: DataFrame, filters: dict[str, str], limit: int = 20) -> DataFrame:
-    """Chunks of matching documents by document and place; nothing without filters; ``limit <= 0`` is all."""
+    """Chunks of matching documents by document and place; nothing without filters; ``limit <= 0`` is all. The semi-join keeps each
+    chunk once, so no texts are compared."""
     rows = chunks.select("chunk_id", "document_id", "chunk_index", "text")
     rows = restricted(rows, metadata, filters) if filters else rows.where("false")
-    rows = rows.join(documents.select("document_id", "path", "title"), "document_id").distinct()
+    rows = rows.join(documents.select("document_id", "path", "title"), "document_id")
     rows = rows.select("chunk_id", "document_id", "path", "title", "chunk_index", "text", F.lit(0.0).alias("score"), F.lit("metadata").alias("source"))
     rows = rows.orderBy("document_id", "chunk_index", "chunk_id")
     return rows.limit(limit) if limit > 0 else rows

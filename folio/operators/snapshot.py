@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from folio.schemas import KEYS, TABLES
 
 MANIFEST = "name string, rows long, checksum decimal(38,0)"
+LOG = "number int, folder string"
 
 
 class SnapshotError(ValueError):
@@ -21,42 +22,50 @@ def fingerprint(name: str, rows: DataFrame) -> DataFrame:
     return sums.select(F.lit(name).alias("name"), "rows", "checksum")
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def _current(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest whole snapshot at ``path``: that of the newest line of its log, which is written last."""
     try:
-        spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        lines = spark.read.schema(LOG).parquet(f"{path}/log").orderBy(F.desc("number")).limit(1).collect()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
-            return False
+            return None
         raise
-    return True
+    return f"{path}/{lines[0]['folder']}" if lines else None
 
 
 def export_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False) -> DataFrame:
-    """Write all tables below ``path``, read them back, and only if they agree publish the manifest, which is returned."""
+    """Write all tables into a new folder below ``path``, read them back, and only if they agree make it the current one.
+
+    Returns its manifest. With ``force`` a snapshot that is there is superseded, and stays whole until the new one is.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if _there(spark, path) and not force:
+    before = _current(spark, path)
+    if before and not force:
         raise SnapshotError(f"there is a snapshot at {path}")
-    lines = []
+    number = int(before.rsplit("v", 1)[1]) + 1 if before else 1
+    folder, lines = f"{path}/v{number}", []
     for name, rows in tables.items():
         schema = TABLES[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        before = fingerprint(name, rows).first()
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
-        after = fingerprint(name, spark.read.schema(schema).parquet(f"{path}/{name}")).first()
-        if before != after:
+        wanted = fingerprint(name, rows).first()
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+        found = fingerprint(name, spark.read.schema(schema).parquet(f"{folder}/{name}")).first()
+        if wanted != found:
             raise SnapshotError(f"{name} differs from what was written")
-        lines.append(tuple(after))
-    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        lines.append(tuple(found))
+    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    spark.createDataFrame([(number, f"v{number}")], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def open_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of a whole snapshot; anything that is missing or differs is an error before anything is changed."""
-    if not _there(spark, path):
+    folder = _current(spark, path)
+    if folder is None:
         raise SnapshotError(f"there is no whole snapshot at {path}")
     out = {}
-    for line in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect():
-        rows = spark.read.schema(TABLES[line["name"]]).parquet(f"{path}/{line['name']}")
+    for line in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect():
+        rows = spark.read.schema(TABLES[line["name"]]).parquet(f"{folder}/{line['name']}")
         if fingerprint(line["name"], rows).first() != line:
             raise SnapshotError(f"{line['name']} differs from its manifest")
         out[line["name"]] = rows

@@ -288,7 +288,7 @@ def replaced_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    texts = corpus.table(spark, sf_dir, "documents").select(X.text_hash(F.col("text")).alias("sha256"), "text").dropDuplicates(["sha256"])
+    texts = corpus.table(spark, sf_dir, "documents").select(X.text_hash(F.col("text")).alias("sha256"), F.lit("text/markdown").alias("mime_type"), "text").dropDuplicates(["sha256"])
     chunks = corpus.text_and_vectors(spark, sf_dir).withColumn("start_byte", F.lit(0)).withColumn("end_byte", F.octet_length("text"))
     return {"documents": corpus.documents(spark, sf_dir), "chunks": chunks, "metadata": corpus.metadata(spark, sf_dir), "extracted": texts}
 

@@ -85,13 +85,15 @@ def missing_from(rows: DataFrame, store: DataFrame, keys: list[str]) -> DataFram
 def texts_with_store(files: DataFrame, store: DataFrame, extractors: dict[str, Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
     """Texts for all described ``files``, and the rows to append to the store.
 
-    Only contents that the store does not have are extracted. Texts come back to the files by a join on the hash.
+    Only contents that the store does not have are extracted, once for each MIME type they are seen as: the same bytes have one
+    text as Markdown and another as plain text. Texts come back to the files by a join on both.
     """
-    fresh = extract(missing_from(files.where("error IS NULL"), store, ["sha256"]), extractors)
-    known = store.select("sha256", "text", F.lit(None).cast("string").alias("problem")).unionByName(fresh.select("sha256", "text", F.col("error").alias("problem")))
-    joined = files.drop("content", "text").join(known, "sha256", "left")
+    keys = ["sha256", "mime_type"]
+    fresh = extract(missing_from(files.where("error IS NULL"), store, keys), extractors)
+    known = store.select(*keys, "text", F.lit(None).cast("string").alias("problem")).unionByName(fresh.select(*keys, "text", F.col("error").alias("problem")))
+    joined = files.drop("content", "text").join(known, keys, "left")
     texts = joined.withColumn("error", F.coalesce("error", "problem")).drop("problem")
-    return texts, fresh.where("error IS NULL").select("sha256", "text")
+    return texts, fresh.where("error IS NULL").select(*keys, "text")
 
 
 def raw_to_keep(files: DataFrame, store: DataFrame, no_raw: bool = False) -> DataFrame:

@@ -1,62 +1,126 @@
-"""A knowledge base as versioned Parquet tables.
+"""A knowledge base as Parquet tables in parts, with a manifest of the current ones.
 
-Each write makes a new version folder of a table. A manifest, itself a small table, says which versions belong together, and
-gets its rows last: readers see either the old or the new state, and nothing is overwritten while it is read.
+Tables that belong to documents lie in buckets by a hash of ``document_id``; a write replaces only the buckets it touches.
+Content-addressed tables are only ever appended to. The manifest, itself a small table, says which folder is current for each
+part of each table, and gets its rows last: readers see either the old or the new state, and nothing is overwritten while it is
+read. What no longer is current is removed by :meth:`Store.clean`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from folio.schemas import TABLES
+from folio.schemas import APPENDED, TABLES
+
+BUCKETS = 64
+MANIFEST = "version long, name string, part string, path string"
 
 
 class Store:
     """The tables below one folder, by any path that Spark can open."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, folder.rstrip("/")
+        made_with = self.fact("buckets")
+        self.buckets = int(made_with) if made_with else buckets
 
     def _manifest(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version long, name string, path string").parquet(f"{self.folder}/manifest")
+            return self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
-    def versions(self) -> dict[str, str]:
-        """Folder of each table in the newest version: a row a table."""
+    def parts(self) -> dict[str, dict[str, str]]:
+        """Folder of each current part of each table, '' for an empty one: at most a row a bucket or append, not a row a document."""
         rows = self._manifest()
-        if rows is None:
-            return {}
-        newest = rows.groupBy("name").agg(F.max_by("path", "version").alias("path"))
-        return {r["name"]: r["path"] for r in newest.collect()}
+        out: dict[str, dict[str, str]] = {}
+        if rows is not None:
+            for r in rows.groupBy("name", "part").agg(F.max_by("path", "version").alias("path")).collect():
+                out.setdefault(r["name"], {})[r["part"]] = r["path"]
+        return out
+
+    def fact(self, name: str) -> str | None:
+        """A fact of the whole store, such as the dimension of its embeddings, kept in the manifest."""
+        return self.parts().get("fact", {}).get(name)
 
     def number(self) -> int:
         rows = self._manifest()
         return 0 if rows is None else rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def read(self, name: str) -> DataFrame:
-        """A table, empty if it was never written."""
-        path = self.versions().get(name)
-        if path is None:
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table, or some buckets of one; empty if it was never written."""
+        parts = self.parts().get(name, {})
+        paths = [path for part, path in sorted(parts.items()) if path and (buckets is None or part in set(map(str, buckets)))]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
     def read_all(self) -> dict[str, DataFrame]:
         return {name: self.read(name) for name in TABLES}
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        """Write new states of some tables, documents last, and then the manifest that makes them current."""
+    def bucket(self, document_id: Column) -> Column:
+        return F.pmod(F.xxhash64(document_id), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets that ``rows(document_id)`` touch: no more than there are."""
+        return sorted(r[0] for r in rows.select(self.bucket(F.col("document_id"))).distinct().collect())
+
+    def publish(self, tables: dict[str, DataFrame], touched: list[int] | None = None, facts: dict[str, str] | None = None) -> int:
+        """Write new states of the ``touched`` buckets (None: all) of some tables, and rows to append to the content-addressed
+        ones, documents last; and then the manifest rows that make them current."""
         version = self.number() + 1
-        rows = []
+        touched = list(range(self.buckets)) if touched is None else touched
+        rows = [(version, "fact", "buckets", str(self.buckets)), *[(version, "fact", k, v) for k, v in (facts or {}).items()]]
         for name in sorted(tables, key=lambda n: n == "documents"):
             path = f"{self.folder}/{name}/v{version}"
             frame = tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
-            frame.write.mode("overwrite").parquet(path)
-            rows.append((version, name, path))
-        self.spark.createDataFrame(rows, "version long, name string, path string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+            if name in APPENDED:
+                frame.write.mode("overwrite").parquet(path)
+                rows.append((version, name, f"v{version}", path))
+                continue
+            # balanced by size: a bucket with much text is written by several tasks
+            dealt = frame.withColumn("bucket", self.bucket(F.col("document_id"))).where(F.col("bucket").isin(touched)).hint("rebalance", "bucket")
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+            made = {r[0] for r in self.spark.read.schema("bucket int").parquet(path).distinct().collect()}
+            rows += [(version, name, str(b), f"{path}/bucket={b}" if b in made else "") for b in touched]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
         return version
+
+    def rewrite(self, name: str, rows: DataFrame) -> None:
+        """Make ``rows`` the one part of a content-addressed table."""
+        version, parts = self.number() + 1, self.parts().get(name, {})
+        path = f"{self.folder}/{name}/v{version}"
+        rows.write.mode("overwrite").parquet(path)
+        lines = [(version, name, part, "") for part in parts] + [(version, name, f"v{version}", path)]
+        self.spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+
+    def compact(self, name: str) -> None:
+        """Make one part of all the appends of a content-addressed table."""
+        self.rewrite(name, self.read(name))
+
+    def clean(self) -> int:
+        """Remove the folders that are not current any more, and scratch; returns how many. Not while others still read them."""
+        current = {path for parts in self.parts().values() for path in parts.values()}
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(self.folder).getFileSystem(context._jsc.hadoopConfiguration())
+
+        def below(path: str) -> list[str]:
+            place = hadoop.Path(path)
+            return [f"{path}/{s.getPath().getName()}" for s in files.listStatus(place) if s.isDirectory()] if files.exists(place) else []
+
+        gone = below(f"{self.folder}/scratch")
+        for name in TABLES:
+            for version in below(f"{self.folder}/{name}"):
+                inner = [] if name in APPENDED else below(version)
+                if not inner or not current.intersection(inner):
+                    gone += [] if version in current else [version]
+                else:
+                    gone += [b for b in inner if b not in current]
+        for path in gone:
+            files.delete(hadoop.Path(path), True)
+        return len(gone)

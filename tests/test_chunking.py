@@ -40,7 +40,9 @@ def test_rows(spark):
     rows = chunk_documents(spark.createDataFrame([(7, "one. two. three. " * 10), (8, ""), (9, " \n\t　"), (10, None)], "document_id long, text string"), 10, 2).collect()
     assert {r["document_id"] for r in rows} == {7}
     assert [r["chunk_index"] for r in rows] == list(range(len(rows)))
-    assert all(r["token_count"] == len(r["text"].encode()) // 4 and r["chunk_id"] == 7_000_000 + r["chunk_index"] for r in rows)
+    assert all(r["token_count"] == len(r["text"].encode()) // 4 for r in rows) and len({r["chunk_id"] for r in rows}) == len(rows)
+    wide = chunk_documents(spark.createDataFrame([((1 << 63) - 1, "x"), (-(1 << 63), "x")], "document_id long, text string"))
+    assert len({r["chunk_id"] for r in wide.collect()}) == 2  # ids of the whole range
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(0, 0), (10, 10), (10, -1)])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import changes, snapshot
-from folio.operators.ingest import Options, ingest, summary
+from folio.operators.ingest import Options, ingest, remove, summary
 from folio.sources import files as sources
 from folio.sources.store import Store
 from folio.streaming.incremental import ingest_stream
@@ -89,6 +89,50 @@ def test_delete_and_snapshot(spark, tmp_path):
     assert forced["documents"].count() == 3
     with pytest.raises(snapshot.SnapshotError):
         snapshot.open_snapshot(spark, str(tmp_path / "nothing"))
+    # a forced export that fails leaves the snapshot that is there whole
+    bad = {**state, "metadata": state["metadata"].withColumn("value", F.when(F.rand() < 2, F.raise_error(F.lit("lost")).cast("string")))}
+    with pytest.raises(Exception, match="lost"):
+        snapshot.export_snapshot(bad, path, force=True)
+    assert snapshot.open_snapshot(spark, path)["documents"].count() == 3
+    snapshot.export_snapshot({k: left[k] for k in ("documents", "chunks")}, path, force=True)
+    assert snapshot.open_snapshot(spark, path)["documents"].count() == 1
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"), 8)
+    put(src, **{f"f{i}__md": f"text number {i}" for i in range(30)})
+    read = lambda: sources.read_files(spark, str(src))
+    ingest(store, read())
+    before = store.parts()
+    put(src, f7__md="other text")
+    assert status(ingest(store, read()))["f7.md"] == ("ingested", 1)
+    after = store.parts()
+    for name in ("documents", "chunks", "metadata", "postings"):
+        changed = [b for b in after[name] if after[name][b] != before[name].get(b)]
+        assert len(changed) == 1, (name, changed)
+    assert all(after[name].items() >= before[name].items() and len(after[name]) == len(before[name]) + 1 for name in ("extracted", "raw"))
+    again = Store(spark, store.folder, 99)
+    assert again.buckets == 8 and again.fact("dimension") == "64"
+    version = store.number()
+    assert {s for s, _ in status(ingest(store, read())).values()} == {"skipped"} and store.number() == version
+    texts = lambda: sorted(r["text"] for r in store.read("chunks").collect())
+    expected = sorted(["other text", *(f"text number {i}" for i in range(30) if i != 7)])
+    assert texts() == expected and store.clean() > 0 and texts() == expected and store.read("documents").count() == 30
+    store.compact("extracted")
+    assert store.read("extracted").count() == 31 and len([p for p in store.parts()["extracted"].values() if p]) == 1
+    gone = remove(store, spark.createDataFrame([(str(src / "f7.md"),), (str(src / "f9.md"),), ("/none",)], "path string"))
+    assert sorted((r["status"], r["chunks"]) for r in gone.collect()) == [("deleted", 1), ("deleted", 1), ("not found", 0)]
+    assert store.read("documents").count() == 28 and store.read("chunks").count() == 28 and store.read("extracted").count() == 29
+    store.clean()
+    assert store.read("chunks").count() == 28 and store.read("raw").count() == 31
+
+
+def test_one_content_as_two_types(spark, tmp_path):
+    src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"))
+    put(src, a__md="**bold** text", b__txt="**bold** text", c__pdf="**bold** text")
+    rows = {r["path"].rsplit("/", 1)[1]: (r["status"], r["error"]) for r in ingest(store, sources.read_files(spark, str(src))).collect()}
+    assert rows["a.md"] == rows["b.txt"] == ("ingested", None) and rows["c.pdf"][0] == "error"
+    assert sorted(r["text"] for r in store.read("chunks").collect()) == ["**bold** text", "bold text"]
 
 
 def test_changes(spark):
