@@ -40,7 +40,7 @@ BRIEF = Template(
     system="Answer from the context alone, in at most 280 characters and without filler. If it has no answer, reply: Not in notes.\n",
     head="Question: {question}\n\nContext:\n",
     each="\nSource: {citation}\n{text}\n",
-    tail="\n\nAnswer in ≤280 chars, telegraphic style:\n",
+    tail="\n\nYour reply, 280 characters at most and in note form:\n",
     max_tokens=280,
 )
 ANKI = Template(

@@ -118,7 +118,7 @@ ORACLES: dict[str, str] = {
         FROM asked LEFT JOIN g USING (query_id)""",
     "answered_prompts": f"""WITH {KEYWORD}, g AS (SELECT query_id, string_agg({NL} || 'Source: ' || citation || {NL} || text || {NL}, '' ORDER BY rank) AS body, {_SOURCES} AS sources FROM cited WHERE rank <= 3 GROUP BY query_id)
         SELECT query_id, CASE WHEN body IS NULL THEN 'error' ELSE 'ready' END AS status,
-          length('Question: ' || q || {NL} || {NL} || 'Context:' || {NL} || body || {NL} || {NL} || 'Answer in ≤280 chars, telegraphic style:' || {NL}) || ' characters' || {NL} || sources AS output, NULL::VARCHAR AS error
+          length('Question: ' || q || {NL} || {NL} || 'Context:' || {NL} || body || {NL} || {NL} || 'Your reply, 280 characters at most and in note form:' || {NL}) || ' characters' || {NL} || sources AS output, NULL::VARCHAR AS error
         FROM asked LEFT JOIN g USING (query_id)""",
     "repaired_answers": f"SELECT conv_id, turn, CASE WHEN len({_LINES}) > 0 THEN array_to_string({_LINES}, {NL} || {NL}) || {NL} ELSE '' END AS text FROM conversations WHERE role = 'assistant'",
     "first_documents_by_hash": f"""SELECT sha256, document_id, path FROM (SELECT sha256(text) AS sha256, doc_id AS document_id, {PATH} AS path, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1""",
