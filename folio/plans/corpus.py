@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.operators.chunking import chunk_documents
 from folio.operators.keyword import StoredIndex, build_index, read_index, write_index
 from folio.operators.metadata import automatic, upsert
 from folio.sources.scratch import scratch_folder
@@ -39,6 +40,12 @@ def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), "text", X.count_tokens(F.col("text")).alias("token_count"))
 
 
+def real_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the texts, numbered so that SQL can give the same ids."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return chunk_documents(spread(docs)).withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("chunk_index"))
+
+
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors as chunks of the document with their number."""
     rows = table(spark, sf_dir, "embeddings")

@@ -74,7 +74,62 @@ UNION ALL SELECT doc_id, 'dir', '/kb/' || source || '/' || lang FROM documents
 UNION ALL SELECT doc_id, 'lang', lang FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents
 UNION ALL SELECT doc_id, 'quality', quality::VARCHAR FROM labels UNION ALL SELECT doc_id, 'toxic', toxic::VARCHAR FROM labels"""
 
+# The chunker's rule on a text of as many ASCII characters as the original has bytes, where '~' stands for all but the first byte of a character.
+_SNAP = "{0} - CASE WHEN substr(m, {0} + 1, 1) != '~' THEN 0 WHEN substr(m, {0}, 1) != '~' THEN 1 WHEN substr(m, {0} - 1, 1) != '~' THEN 2 ELSE 3 END"
+_LAST = "CASE WHEN contains({w}, {s}) THEN length({w}) - strpos(reverse({w}), reverse({s})) + 1 ELSE 0 END"
+_ENDS = ", ".join(_LAST.format(w="w", s=s) for s in ("'. '", f"{NL} || {NL}", "'! '", "'? '"))
+CHUNKS = f"""
+masked AS (
+  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(replace(text, '~', 'x'), '[\\x{{80}}-\\x{{7FF}}]', 'x~', 'g'), '[\\x{{800}}-\\x{{FFFF}}]', 'x~~', 'g'), '[\\x{{10000}}-\\x{{10FFFF}}]', 'x~~~', 'g') AS m
+  FROM documents WHERE NOT regexp_full_match(text, '{BLANK}*')
+),
+cut AS (
+  SELECT doc_id, 0 AS i, 0::BIGINT AS a, NULL::BIGINT AS b, m FROM masked
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN again > a THEN again ELSE e END, e, m FROM (
+    SELECT *, {_SNAP.format("(e - 200)")} AS again FROM (
+      SELECT doc_id, i, a, m, {_SNAP.format("(CASE WHEN top > 0 THEN a + top ELSE a + 1600 END)")} AS e FROM (
+        SELECT doc_id, i, a, m, greatest({_ENDS}) AS top FROM (SELECT doc_id, i, a, m, substr(m, a + 1, 1600) AS w FROM cut WHERE a + 1600 < length(m))
+      )
+    )
+  )
+),
+spans AS (SELECT doc_id, i, a, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY i), length(m)) AS b, m FROM cut),
+chunk AS (
+  SELECT s.doc_id, i, a, s.b, substr(text, length(replace(substr(s.m, 1, a), '~', '')) + 1, length(replace(substr(s.m, a + 1, s.b - a), '~', ''))) AS text FROM spans s JOIN masked USING (doc_id)
+)"""
+_JSON_ROW = """'{"ChunkID":' || chunk_id || ',"DocumentID":' || chunk_id || ',"Path":' || to_json(path) || ',"Title":' || to_json(title) || ',"ChunkIndex":0,"Text":' || to_json(text) || ',"Score":' || round(score, 6) || ',"Source":"keyword"}'"""
+_LINES_OF = f"SELECT line, count(*) AS n FROM (SELECT string_split(text, {NL})[1] AS line FROM conversations) WHERE line != '' GROUP BY line"
+
 ORACLES: dict[str, str] = {
+    "chunked": f"WITH RECURSIVE {CHUNKS} SELECT doc_id AS document_id, i::INT AS chunk_index, text, ((b - a) // 4)::INT AS token_count, a::INT AS start_byte, b::INT AS end_byte FROM chunk",
+    "chunk_search": f"""WITH RECURSIVE {CHUNKS}, {PASSAGES}, {BM25.replace("FROM documents)", "FROM (SELECT doc_id * 1000000 + i AS doc_id, text FROM chunk))", 1).split("cited AS")[0].rstrip().rstrip(",")}
+        SELECT query_id, rank::INT AS rank, (SELECT {PATH} FROM documents d WHERE d.doc_id = chunk_id // 1000000) || ' §' || (chunk_id % 1000000) AS citation, sha256(chunk.text) AS sha256, round(score, 6) AS score
+        FROM ranked JOIN chunk ON chunk.doc_id * 1000000 + i = chunk_id WHERE rank <= 5""",
+    "search_json": f"WITH {KEYWORD} SELECT query_id, rank::INT AS rank, {_JSON_ROW} AS json FROM cited WHERE rank <= 3",
+    "retrieved_context": f"""WITH {HYBRID.replace("rank <= 10", "rank <= 20")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused)
+        SELECT query_id, rank::INT AS rank, {PATH} || ' §0' AS citation, round(score, 6) AS score FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10""",
+    "prompt_variables": f"""WITH {KEYWORD}, g AS (SELECT query_id, count(*) AS n, string_agg(citation || ': ' || text || {NL}, '' ORDER BY rank) AS body FROM cited WHERE rank <= 2 GROUP BY query_id)
+        SELECT query_id, CASE WHEN n IS NULL THEN 'empty' ELSE 'ready' END AS status, coalesce(n, 0)::INT AS n_chunks, 'In few words.' || {NL} AS system,
+          sha256(q || ' (few)' || {NL} || coalesce(body, '') || 'End.' || {NL}) AS user_sha256 FROM asked LEFT JOIN g USING (query_id)""",
+    "metadata_layers": """SELECT doc_id AS document_id, 'filename' AS key, doc_id || '.md' AS value FROM documents UNION ALL SELECT doc_id, 'extension', 'md' FROM documents
+        UNION ALL SELECT doc_id, 'mime', 'text/markdown' FROM documents UNION ALL SELECT doc_id, 'dir', '/new/kb/' || source || '/' || lang FROM documents UNION ALL SELECT doc_id, 'topic', source FROM documents""",
+    "metadata_entries": f"""WITH m AS ({_METADATA}), x AS (SELECT max(doc_id) AS last FROM documents)
+        SELECT 'entry' AS what, key, value FROM m, x WHERE document_id = last AND key != 'mime' UNION ALL SELECT 'value', key, value FROM m, x WHERE document_id = last AND key = 'lang'""",
+    "document_lookup": f"""WITH RECURSIVE {CHUNKS}, l AS (SELECT doc_id, text FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 1)
+        SELECT 'by path' AS what, doc_id AS document_id, 0 AS place FROM l UNION ALL SELECT 'by hash', min(doc_id), 0 FROM documents WHERE text = (SELECT text FROM l)
+        UNION ALL SELECT 'chunk', doc_id, i::INT FROM chunk WHERE doc_id = (SELECT doc_id FROM l)""",
+    "size_guard": "SELECT '/web/' || page_id || '.txt' AS path, CASE WHEN strlen(html) * 30720 <= 104857600 THEN strlen(html)::INT END AS bytes, strlen(html) * 30720 > 104857600 AS refused FROM pages",
+    "plugged_extractor": """WITH f AS (SELECT page_id, url, page_id % 2 = 0 AS marked, CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.bin' ELSE '.txt' END AS ending FROM pages)
+        SELECT '/web/' || page_id || ending AS path, CASE ending WHEN '.pdf' THEN 'application/pdf' WHEN '.bin' THEN 'application/octet-stream' ELSE 'text/plain' END AS mime_type,
+          CASE WHEN ending = '.txt' THEN CASE WHEN marked THEN '%PDF' ELSE '' END || url WHEN ending = '.pdf' AND marked THEN 'pdf ' || url END AS text,
+          CASE WHEN ending = '.bin' THEN 'no extractor for application/octet-stream' WHEN ending = '.pdf' AND NOT marked THEN 'ValueError: no PDF' END AS error FROM f""",
+    "folder_files": _LINES_OF,
+    "streamed_ingest": _LINES_OF,
+    "question_cards": r"""WITH a AS (SELECT conv_id, turn, regexp_split_to_array(text, '\s+') AS w, regexp_replace(text, '\s+', ' ', 'g') AS line FROM conversations WHERE role = 'assistant')
+        SELECT conv_id, turn, 0 AS card, 'What is ' || w[1] || '?' AS lead, '(' || w[2] || ')' AS note, line || '.|and more' AS body FROM a
+        UNION ALL SELECT conv_id, turn, 1, 'How?', '', 'by ' || w[1] || '.' FROM a""",
+
     "document_table": f"SELECT doc_id AS document_id, {PATH} AS path, sha256(text) AS sha256, doc_id::VARCHAR AS title, 'text/markdown' AS mime_type, {PATH} || ' §0' AS citation FROM documents",
     "path_parts": """SELECT doc_id, '/kb/' || source || '/' || lang || '/' || doc_id || '.tar.MD' AS path, doc_id || '.tar.MD' AS base, '.MD' AS ext,
         doc_id || '.tar' AS title, '/kb/' || source || '/' || lang AS dir, 'text/markdown' AS mime FROM documents""",

@@ -11,11 +11,13 @@ from folio.functions import text as X
 from folio.functions.html import html_text
 from folio.functions.vectors import cosine, from_bytes, to_bytes
 from folio.operators import changes, hybrid, keyword, lookup, metadata, normalize, prompt, report, snapshot, vector
-from folio.operators.chunking import chunk_documents
 from folio.operators.ingest import Options, ingest, summary
+from folio.operators.ranking import effective_k
 from folio.plans import corpus
+from folio.sources import files as sources
 from folio.sources.scratch import scratch_folder
 from folio.sources.store import Store
+from folio.streaming.incremental import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,8 +74,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return chunk_documents(docs)
+    return corpus.real_chunks(spark, sf_dir).drop("chunk_id")
 
 
 @query
@@ -148,6 +149,124 @@ def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("norm"), F.col("error").isNull().alias("ok"))
 
 
+@query
+def chunk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into chunks, the chunks indexed, searched and cited."""
+    chunks = corpus.real_chunks(spark, sf_dir)
+    folder = scratch_folder(spark, "index")
+    keyword.write_index(keyword.build_index(chunks), folder, 16)
+    found = keyword.keyword_search(keyword.read_index(spark, folder), chunks, corpus.headings(spark, sf_dir), corpus.text_queries(spark, sf_dir), 5)
+    return rounded(found.withColumn("citation", X.citation(F.col("path"), F.col("chunk_index")))).select("query_id", "rank", "citation", X.text_hash(F.col("text")).alias("sha256"), "score")
+
+
+@query
+def retrieved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval with citations; no k was asked for, so the template's counts."""
+    k = effective_k(0, prompt.ANKI.top_k)
+    found = hybrid.retrieve(corpus.text_and_vectors(spark, sf_dir), corpus.headings(spark, sf_dir), corpus.stored_index(spark, sf_dir), corpus.hybrid_queries(spark, sf_dir), k)
+    return rounded(found).select("query_id", "rank", "citation", "score")
+
+
+@query
+def prompt_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables of a template: one has its default, one the caller's value."""
+    template = prompt.Template("own", "In {tone} words.\n", "{question} ({tone})\n", "{citation}: {text}\n", "{close}\n", variables={"tone": "plain", "close": "End."})
+    rows = prompt.render_prompts(corpus.text_queries(spark, sf_dir), _cited(spark, sf_dir, 2), template, {"tone": "few"})
+    return rows.select("query_id", "status", "n_chunks", "system", X.text_hash(F.col("user")).alias("user_sha256"))
+
+
+@query
+def metadata_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's values survive, and automatic keys are refreshed: the last layer with a key counts."""
+    docs = corpus.headings(spark, sf_dir)
+    moved = docs.select("document_id", F.concat(F.lit("/new"), "path").alias("path"))
+    user = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.struct(F.lit("dir").alias("key"), F.lit("mine").alias("value")), F.struct(F.lit("topic").alias("key"), F.col("source").alias("value")))).alias("p")).select("document_id", "p.*")
+    return metadata.upsert(metadata.automatic(docs), user, metadata.automatic(moved))
+
+
+@query
+def metadata_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the last document: its entries by key, without the one that is deleted, and the value of one key."""
+    table = corpus.metadata(spark, sf_dir)
+    last = corpus.table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0]
+    rows = metadata.entries(metadata.without(table, last, "mime"), last).select(F.lit("entry").alias("what"), "key", "value")
+    return rows.unionByName(metadata.value_of(table, last, "lang").select(F.lit("value").alias("what"), F.lit("lang").alias("key"), "value"))
+
+
+@query
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest text's document by its path and by its hash, and its chunks in order."""
+    docs = corpus.documents(spark, sf_dir)
+    longest = corpus.table(spark, sf_dir, "documents").agg(F.max_by(F.struct(corpus.path_of().alias("path"), "text", "doc_id"), F.struct("n_chars", "doc_id")).alias("d")).select("d.*", X.text_hash(F.col("d.text")).alias("sha256")).first()
+    found = lookup.document_by_path(docs, longest["path"]).select(F.lit("by path").alias("what"), "document_id", F.lit(0).alias("place"))
+    found = found.unionByName(lookup.document_by_hash(docs, longest["sha256"]).select(F.lit("by hash").alias("what"), "document_id", F.lit(0).alias("place")))
+    chunks = lookup.chunks_of(corpus.real_chunks(spark, sf_dir), longest["doc_id"])
+    return found.unionByName(chunks.select(F.lit("chunk").alias("what"), "document_id", F.col("chunk_index").alias("place")))
+
+
+@query
+def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files over the limit are errors; lengths are those of the pages in units of 30 KiB."""
+    pages = corpus.table(spark, sf_dir, "pages")
+    content = F.encode("html", "UTF-8")
+    files = pages.select(F.concat(F.lit("/web/"), F.col("page_id").cast("string"), F.lit(".txt")).alias("path"), (F.octet_length(content).cast("long") * 30 * 1024).alias("length"), content.alias("content"))
+    rows = sources.extract(sources.described(files))
+    return rows.select("path", F.octet_length("text").alias("bytes"), F.col("error").isNotNull().alias("refused"))
+
+
+@query
+def plugged_extractor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDF files have text only by an extractor that is given; one that fails, and a type nobody knows, are errors of their rows."""
+    pages = corpus.table(spark, sf_dir, "pages")
+    ending = F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, ".bin").otherwise(".txt")
+    content = F.encode(F.concat(F.when(F.col("page_id") % 2 == 0, "%PDF").otherwise(""), "url"), "UTF-8")
+    files = pages.select(F.concat(F.lit("/web/"), F.col("page_id").cast("string"), ending).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+    def of_pdf(data: bytes) -> str:
+        if not data.startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        return "pdf " + data[4:].decode()
+
+    rows = sources.extract(sources.described(files), {"application/pdf": of_pdf})
+    return rows.select("path", "mime_type", "text", "error")
+
+
+def _lines_of(texts: DataFrame) -> DataFrame:
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where("line != ''")
+    return lines.groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query
+def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all files of a folder tree, to which the first lines of all turns were written as text files by role."""
+    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.substring_index("text", "\n", 1).alias("value"))
+    folder = scratch_folder(spark, "folder")
+    turns.write.partitionBy("role").option("maxRecordsPerFile", 1000).text(folder)
+    return _lines_of(sources.extract(sources.described(sources.read_files(spark, folder))))
+
+
+@query
+def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder that grows is ingested as a stream in two runs; the lines of what the knowledge base then holds."""
+    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.substring_index("text", "\n", 1).alias("value"))
+    folder, store = scratch_folder(spark, "folder"), Store(spark, scratch_folder(spark, "kb"), 8)
+    for run, some in enumerate((F.col("role") == "user", F.col("role") != "user")):
+        turns.where(some).select("value").write.option("maxRecordsPerFile", 1000).text(f"{folder}/{run}")
+        ingest_stream(store, folder, f"{store.folder}-offsets").awaitTermination()
+    store.clean()
+    return _lines_of(store.read("extracted"))
+
+
+@query
+def question_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of answers that ask questions: chatter before them goes, a line in brackets is a note, a block without a question goes on."""
+    rows = corpus.table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    words, line = F.split("text", "\\s+"), F.regexp_replace("text", "\\s+", " ")
+    answer = F.concat(F.lit("Sure, here:\n\nWhat is "), F.get(words, F.lit(0)), F.lit("?\n("), F.get(words, F.lit(1)), F.lit(")\n- "), line, F.lit(".\n\nand more\n\nHow?\n* by "), F.get(words, F.lit(0)), F.lit(".\n-----\nalone\n"))
+    found = rows.select("conv_id", "turn", normalize.cards(answer, prompt.ANKI.repair).alias("cards"))
+    return found.select("conv_id", "turn", F.inline(F.transform("cards", lambda c, i: F.struct(i.alias("card"), c["lead"].alias("lead"), c["note"].alias("note"), F.array_join(c["body"], "|").alias("body")))))
+
+
 @query
 def metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.metadata(spark, sf_dir)
@@ -322,7 +441,7 @@ def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = corpus.table(spark, sf_dir, "pages")
     place = F.concat(F.lit("/web/"), F.col("page_id").cast("string"), F.lit(".html"))
     files = lambda html: pages.select(place.alias("path"), F.octet_length(html).cast("long").alias("length"), F.encode(html, "UTF-8").alias("content"))
-    store = Store(spark, scratch_folder(spark, "kb"))
+    store = Store(spark, scratch_folder(spark, "kb"), 8)
     first = summary(ingest(store, files(F.col("html")), Options())).withColumn("run", F.lit(1))
     changed = F.when(F.col("url").startswith("https"), F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html"))
     second = summary(ingest(store, files(changed), Options())).withColumn("run", F.lit(2))

@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from folio.operators import hybrid, keyword, lookup, metadata, vector
+from folio.operators import hybrid, keyword, lookup, metadata, ranking, vector
 from folio.operators.ranking import effective_k
 
 CHUNKS = [
@@ -51,6 +52,42 @@ def test_index(spark, kb):
     assert keyword.keyword_ranks(empty, asked(spark, "x"), 5).count() == 0
 
 
+def test_stored_index(spark, kb, tmp_path, monkeypatch):
+    """A written index gives what one that is not written gives, whether its queries are broadcast and its terms pushed down or not."""
+    chunks, docs, _, index = kb
+    keyword.write_index(keyword.build_index(chunks), f"{tmp_path}/index", 4)
+    written = keyword.read_index(spark, f"{tmp_path}/index")
+    assert (written.buckets, written.chunks, written.words) == (4, 4, 17)
+    queries = asked(spark, "JWT", "foo-bar", "text cars", "no such", "", "café bar")
+    expected = found(keyword.keyword_ranks(index, queries, 5), "query_id", "chunk_id", "score")
+    assert found(keyword.keyword_ranks(written, queries, 5), "query_id", "chunk_id", "score") == expected and len(expected) == 5
+    monkeypatch.setattr(keyword, "MOST_TERMS", 1)
+    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 0)
+    assert found(keyword.keyword_ranks(written, queries, 5), "query_id", "chunk_id", "score") == expected
+    plan = keyword.keyword_ranks(written, queries, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 0
+
+
+def test_vector_blocks(spark, kb, monkeypatch):
+    """Queries in several blocks, chunks in several batches, and ties give what one block gives; null vectors find nothing."""
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float).tolist()  # many ties
+    chunks = spark.createDataFrame([(i, i, v) for i, v in enumerate(vectors)], "chunk_id long, document_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(vectors[:25])] + [(99, None)], "query_id long, vec array<float>")
+    whole = found(vector.vector_ranks(chunks, queries, 7), "query_id", "rank", "chunk_id")
+    scores = vector.cosines(np.array(vectors, "float32"), np.array(vectors[:25], "float32"))
+    for q in range(25):
+        order = sorted((-scores[c, q], c) for c in range(300) if scores[c, q] >= 0)[:7]
+        assert [c for i, _, c in whole if i == q] == [c for _, c in order]
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        assert found(vector.vector_ranks(chunks, queries, 7), "query_id", "rank", "chunk_id") == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert vector.vector_ranks(chunks, queries.where("vec IS NULL"), 7).count() == 0
+
+
 def test_vector(spark, kb):
     chunks, docs, marks, _ = kb
     one = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, vec array<float>")
