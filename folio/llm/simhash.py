@@ -214,11 +214,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``."""
     fps = written(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "simhash")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("a", "fp")
+    found = components(links(nodes.select("fp")))
+    roots = found.withColumnRenamed("a", "fp")
     rooted = nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
     of_fp = unskewed(rooted, least, ["root"], ["fp"], "members").select("fp", "component_id", "n")
     of_fp = written(of_fp, "components")
+    removed(nodes, found)
     # equal texts share a fingerprint: any number of rows may have one
     return unskewed(fps, of_fp, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
@@ -236,10 +238,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # least of each set, then of each component: a hot one is one row a task before it moves
     nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
     edges = near_copies.links(keys, nodes, keyed)
-    roots = components(edges).withColumnRenamed("a", "sig")
+    found = components(edges)
+    roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     stay = written(least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")), "stay")
-    removed(keys, nodes, edges)
+    removed(keys, nodes, edges, found)
     met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
     return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
 
