@@ -225,6 +225,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return unskewed(fps, of_fp, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
+def proposed(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(sig, fp)``: each with the first node of its fingerprint, and those of linked fingerprints."""
+    first = written(nodes.groupBy("fp").agg(F.min("sig").alias("rep"), F.count("*").alias("n")), "fingerprints")
+    same = unskewed(nodes.select("sig", "fp"), first, ["fp"], ["sig"]).where("sig != rep").select(F.col("sig").alias("a"), F.col("rep").alias("b"))
+    rep = lambda x: first.select(F.col("fp").alias(f"fp_{x}"), F.col("rep").alias(x))
+    near = links(first.select("fp")).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.union(near.join(rep("a"), "fp_a").join(rep("b"), "fp_b").select("a", "b"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies (5-word shingles, similarity 0.8 or more; see ``near_copies``): of
     its documents that with the least (doc_id, text hash), ids before null.
@@ -236,8 +245,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = written(near_copies.signed(keyed), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
     # least of each set, then of each component: a hot one is one row a task before it moves
-    nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch")), "nodes")
-    edges = near_copies.links(keys, nodes, keyed)
+    nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "nodes")
+    edges = near_copies.links(keys, nodes, keyed, proposed(nodes))
     found = components(edges)
     roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))

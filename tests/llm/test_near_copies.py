@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from folio.llm import near_copies as N
-from folio.llm.simhash import keep_one
+from folio.llm.simhash import keep_one, proposed
 
 
 def brute_set(text):
@@ -56,3 +56,26 @@ def test_near_copies(spark, monkeypatch, common):
 def test_given_table(spark, small, small_docs):
     got = keep_one(spark.read.parquet(f"{small}/documents.parquet"))
     assert {r["doc_id"] for r in got.collect()} == brute_kept(small_docs)
+
+
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 9, 20_000):
+        own = rng.integers(-(2**63), 2**63 - 1, n)
+        bits = [(own.view("u8") >> np.uint64(b) & np.uint64(1)).sum() for b in range(64)]
+        wanted = sum(1 << b for b in range(64) if 2 * int(bits[b]) > n)
+        assert N.set_fingerprint(own) % (1 << 64) == wanted
+
+
+def test_simhash_proposes_close_copies(spark):
+    """Of copies with one changed word in long texts SimHash proposes most; what it proposes is compared like all else."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
+        texts += [base, changed(rng, base, 1)]
+    frame = spark.createDataFrame([(i, i, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, k1 long, k2 long, text string")
+    keys = N.signed(frame)
+    pairs = {frozenset(r) for r in proposed(keys.select("sig", "fp")).collect()}
+    sig = {r["doc_id"]: r["sig"] for r in keys.collect()}
+    assert sum(frozenset((sig[2 * k], sig[2 * k + 1])) in pairs for k in range(30)) >= 24
