@@ -51,6 +51,7 @@ class WordIds(dict):
         self._merges = self._tokenizer.model.tokenize
         # other letters may become several characters when lowered
         self._ends_plain = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]").match
+        self._odd_mark = re.compile("(?:^|[^A-Za-z0-9À-ÖØ-öø-ÿ])[.,] ").search
         self._plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         # bytes 0x80-0xFF as the letters that stand for them in a byte-level vocabulary
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -78,7 +79,10 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ") + " "
+        if not self._odd_mark(text):  # all marks follow a letter or digit: they are words of their own, and the memo holds words without them
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 @lru_cache(maxsize=2)
