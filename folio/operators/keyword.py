@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.operators.metadata import restricted
@@ -139,47 +139,49 @@ def phrases_of(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "n_phrases", "phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
 
 
-def postings_of(index: StoredIndex, wanted: DataFrame) -> DataFrame:
-    """The postings of the terms of ``wanted(term, ...)``, joined with it.
+def postings_of(index: StoredIndex, wanted: DataFrame) -> tuple[DataFrame, int | None]:
+    """The postings of the terms of ``wanted(term, ...)``, joined with it, and the rows of ``wanted`` if its terms are few.
 
-    The queries' side is broadcast while it is small, so that postings stay where they are; the terms, if few, and their buckets
-    are filters of the scan. A larger one is joined by a shuffle.
+    Few terms, and their buckets, are filters of the scan, and the queries' side is broadcast while its rows are few too, so that
+    postings stay where they are. Other query tables are joined by a shuffle.
     """
-    terms = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
-    buckets = [r[0] for r in wanted.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]  # no more than there are
-    postings = index.postings.where(F.col("bucket").isin(buckets)).drop("bucket")
-    if len(terms) <= MOST_TERMS:
-        postings = postings.where(F.col("term").isin(terms))
-    return postings.join(bounded(wanted, wanted.count()), "term")
+    counted = wanted.groupBy("term").agg(F.count("*").alias("n")).select("term", "n", bucket_of(F.col("term"), index.buckets).alias("bucket"))
+    terms = counted.limit(MOST_TERMS + 1).collect()
+    if len(terms) > MOST_TERMS:
+        return index.postings.drop("bucket").join(wanted, "term"), None
+    here = F.col("bucket").isin(sorted({r["bucket"] for r in terms})) & F.col("term").isin(sorted(r["term"] for r in terms))
+    rows = sum(r["n"] for r in terms)
+    return index.postings.where(here).drop("bucket").join(bounded(wanted, rows), "term"), rows
 
 
-def phrase_hits(index: StoredIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, n_phrases, phrase, chunk_id, document_id, dl, f``: chunks with a phrase and how often they have it.
+def phrase_hits(index: StoredIndex, queries: DataFrame) -> tuple[DataFrame, int | None]:
+    """``query_id, n_phrases, phrase, chunk_id, document_id, dl, f``: chunks with a phrase and how often they have it; and a bound
+    of the number of phrases, if one is known.
 
     A word's positions, less its place in the phrase, are where the phrase may start; the starts that all words share count. The
     postings of a query and a chunk are brought together once; all that follows by query and chunk is where it is.
     """
-    met = postings_of(index, phrases_of(queries))
+    met, most = postings_of(index, phrases_of(queries))
     starts = F.when(F.col("length") > 1, F.transform("positions", lambda p: p - F.col("place"))).otherwise(F.array().cast("array<int>"))
-    met = met.select("query_id", "n_phrases", "phrase", "length", "chunk_id", "document_id", "dl", F.size("positions").alias("n"), starts.alias("starts"))
-    keys = ["query_id", "chunk_id", "n_phrases", "phrase", "length", "document_id", "dl"]
-    whole = met.repartition("query_id", "chunk_id").groupBy(*keys).agg(F.collect_list("starts").alias("all"), F.max("n").alias("n"))
+    met = met.select("query_id", "n_phrases", "phrase", "length", "place", "chunk_id", "document_id", "dl", F.size("positions").alias("n"), starts.alias("starts"))
+    words_of = Window.partitionBy("query_id", "chunk_id", "phrase")
+    whole = met.repartition("query_id", "chunk_id").withColumn("all", F.collect_list("starts").over(words_of)).where("place = 0").drop("place", "starts")
     shared = F.aggregate(F.slice("all", 2, F.col("length")), F.get("all", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))
     f = F.when(F.col("length") == 1, F.col("n")).when(F.size("all") == F.col("length"), F.size(shared)).otherwise(0)
-    return whole.withColumn("f", f).where("f > 0").drop("length", "all", "n")
+    return whole.withColumn("f", f).where("f > 0").drop("length", "all", "n"), most
 
 
 def scored(index: DataFrame | StoredIndex, queries: DataFrame) -> DataFrame:
     """``query_id, chunk_id, document_id, score`` of the chunks that hold all phrases of a query."""
     index = stored(index)
     average = index.words / max(1, index.chunks)
-    hits = phrase_hits(index, queries)
+    hits, most = phrase_hits(index, queries)
     idf = F.greatest(F.log((F.lit(float(index.chunks)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     f, dl = F.col("f").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (average or 1.0)))
-    # a row a phrase: no more than the queries have terms
+    # a row a phrase
     df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n")).select("query_id", "phrase", idf.alias("idf"))
-    rows = hits.join(bounded(df, phrases_of(queries).count()), ["query_id", "phrase"]).withColumn("part", part)
+    rows = hits.join(bounded(df, most), ["query_id", "phrase"]).withColumn("part", part)
     # parts are added in any order: what is left of that is rounded away, so that equal chunks are ties
     score = F.round(F.sum("part"), 9).alias("score")
     all_of = rows.groupBy("query_id", "chunk_id", "document_id", "n_phrases").agg(F.count("*").alias("met"), score)
