@@ -21,7 +21,7 @@ document is itself; only doc_id and text are read, so other columns may have any
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import table, text_or_empty, written
