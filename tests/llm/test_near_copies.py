@@ -67,15 +67,18 @@ def test_fingerprints_of_sets():
         assert N.set_fingerprint(own) % (1 << 64) == wanted
 
 
-def test_simhash_proposes_close_copies(spark):
-    """Of copies with one changed word in long texts SimHash proposes most; what it proposes is compared like all else."""
+def test_simhash_proposes_equal_fingerprints(spark):
+    """All sets of one fingerprint are proposed with the first of them, and nothing else."""
     rng = np.random.default_rng(11)
     texts = []
     for _ in range(30):
         base = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
-        texts += [base, changed(rng, base, 1)]
+        texts += [base, changed(rng, base, 1), changed(rng, base, 1)]
     frame = spark.createDataFrame([(i, i, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, k1 long, k2 long, text string")
-    keys = N.signed(frame)
-    pairs = {frozenset(r) for r in proposed(keys.select("sig", "fp")).collect()}
-    sig = {r["doc_id"]: r["sig"] for r in keys.collect()}
-    assert sum(frozenset((sig[2 * k], sig[2 * k + 1])) in pairs for k in range(30)) >= 24
+    keys = N.signed(frame).collect()
+    groups = {}
+    for r in keys:
+        groups.setdefault(r["fp"], set()).add(r["sig"])
+    wanted = {(s, min(g)) for g in groups.values() for s in g if s != min(g)}
+    nodes = spark.createDataFrame([(r["sig"], r["fp"]) for r in keys], "sig long, fp long")
+    assert {tuple(r) for r in proposed(nodes).collect()} == wanted and wanted
