@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one key that a join leaves in one task, and the most keys with more that are broadcast.
@@ -95,3 +95,22 @@ def hidden(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def few_or_shuffled(few: DataFrame, n: int) -> DataFrame:
+    """``few``, of ``n`` counted rows, with a broadcast hint if these are at most ``MOST_HOT``; else the join shuffles."""
+    return F.broadcast(few) if n <= MOST_HOT else few
+
+
+def numbered(rows: DataFrame, name: str, *by: Column) -> DataFrame:
+    """``rows`` with ``name``: their numbers from 0 in the order ``by``. Rows should differ in it, or their order is any.
+
+    Rows are dealt by ranges and written with the number of their range, which is fixed from then on; a row a range is summed up.
+    """
+    part = hidden(rows, "range")
+    dealt = written(rows.repartitionByRange(*by).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    start = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(part, start.alias(name))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*by)) - 1
+    return dealt.withColumn(name, place).alias("r").join(F.broadcast(sizes).alias("s"), part).select(*[f"r.`{c}`" for c in rows.columns], (F.col(f"r.{name}") + F.col(f"s.{name}")).alias(name))
