@@ -15,8 +15,8 @@ the work is that of the stated anchors against all rows.
 
 Cases: rows with a null label, a null vector, or a null or non-finite component take no part; vectors meet those of their
 length only, and empty ones score 0; rows of one vec_id are rows of their own, each an anchor or candidate, but no row is its
-own positive; a null vec_id is no anchor and comes last among equal scores; components and scores are whole numbers of any size
-within a cell, and what is returned ends at the limits of a long; other columns are not read; an empty table gives no rows.
+own positive; a null vec_id is no anchor and comes last among equal scores; components are long numbers, and so are scores: what is larger counts as
+the largest; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,6 +56,13 @@ def _exact(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if most(a) * most(b) * max(1, a.shape[1]) < 1 << 53 else object
 
 
+def _limited(scores: object) -> object:
+    """Scores within the limits of a long; those of floats are."""
+    if isinstance(scores, np.floating) or getattr(scores, "dtype", None) == np.float64:
+        return scores
+    return np.minimum(np.maximum(np.asarray(scores, object), -LONG), LONG - 1)
+
+
 class Lists:
     """The candidates of a cell: their vectors and, for each dimension, their numbers by rising component."""
 
@@ -79,10 +86,10 @@ class Lists:
             turned = [self.order[d, self.rows - to : self.rows - at] if p else self.order[d, at:to] for d, p in zip(used, up, strict=True)]
             new = np.unique(np.concatenate(turned))
             new = new[~seen[new]]
-            score[new] = self.vectors[new] @ anchor
+            score[new] = _limited(self.vectors[new] @ anchor)
             seen[new] = True
             last = np.array([self.sorted[d, self.rows - to] if p else self.sorted[d, to - 1] for d, p in zip(used, up, strict=True)], self.vectors.dtype)
-            threshold = (signed * last).sum()
+            threshold = _limited((signed * last).sum())
             at, step = to, step * 2
             if all(threshold < max(lo, self._kth(score, seen & fits, lo, hi, k)) for lo, hi in zip(low, high, strict=True)):
                 break
@@ -99,10 +106,6 @@ class Lists:
         return np.partition(found, len(found) - k)[len(found) - k] if len(found) >= k else -np.inf
 
 
-def _limited(score: object) -> int:
-    return max(-LONG, min(LONG - 1, int(score)))
-
-
 def _cell(windows: Callable[[dict, int], tuple[list[int], list[int], list[object]]], same_label: bool, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Search of one cell: ``(row, of, found, vec_id, score)``, the best of each window of each anchor."""
 
@@ -116,7 +119,7 @@ def _cell(windows: Callable[[dict, int], tuple[list[int], list[int], list[object
             label, mine = (t.column("label").to_numpy() for t in (candidates, anchors))
             row, own = (t.column("row").to_numpy() for t in (candidates, anchors))
             vec_id = candidates.column("vec_id").to_pylist()
-            ids = np.array([LONG if v is None else v + LONG for v in vec_id], object) if None in vec_id else np.array(vec_id, "int64")
+            ids = np.array([LONG if v is None else v for v in vec_id], object) if None in vec_id else np.array(vec_id, "int64")
             ids = np.argsort(np.argsort(ids, kind="stable"), kind="stable") if ids.dtype == object else ids
             details = {name: anchors.column(name).to_pylist() for name in anchors.column_names if name not in ("vec", "label", "row", "vec_id")}
             everything = None if same_label else Lists(c)
@@ -140,7 +143,7 @@ def _cell(windows: Callable[[dict, int], tuple[list[int], list[int], list[object
                         out["of"].append(what)
                         out["found"].append(row[numbers[j]])
                         out["vec_id"].append(vec_id[numbers[j]])
-                        out["score"].append(_limited(s))
+                        out["score"].append(int(s))
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     return run

@@ -8,8 +8,8 @@ over the table of sources, whatever its size.
 A source then repeats each document a whole number of times, and some once more. Which ones is seeded: documents have an order
 by a hash of seed, id and text, and those come once more that lie before the place where the words missing to the target are
 reached; the one at that place too, if its middle lies before it. So a source misses its target by half a document at most, a
-rerun agrees, and no source is sorted as a whole: words are summed by the first 16 bits of the hash, and only the documents of
-the one range that holds the place are looked at one by one.
+rerun agrees, and no source is sorted as a whole: words are summed by the first 8 bits of the hash, those of the one range that
+holds the place by the next 8, and only the documents of the one range of these are looked at one by one.
 
 Cases: a null text has no words; null is a source of its own, and so is an empty one; a source without words, or without a
 positive weight, has target 0; if no source with a weight has words left the budget is not used up; equal rows count each for itself, and if the place falls among them the right
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from folio.llm.common import MOST_HOT, few_or_shuffled, hidden, numbered, removed, table, unskewed, written
 
 EPOCHS, SEED = 3, 42
-#: Bits of the hash that order documents, and those by which words are summed first.
-KEY_BITS, RANGE_BITS = 60, 16
+#: Bits of the hash that orders documents, and those that divide it into ranges, and each range again.
+KEY_BITS, RANGE_BITS = 60, 8
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ("size", "source_size", "target", "repeats", "taken")
 
@@ -80,11 +80,19 @@ def cuts(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
     sources = sources.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     wanted = sources.where("missing > 0").select("tag", "missing")
     before = lambda order: F.coalesce(F.sum("size").over(Window.partitionBy("tag").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    head = F.shiftright("key", KEY_BITS - RANGE_BITS).alias("head")
-    ranges = rows.groupBy("tag", head).agg(F.sum("size").alias("size")).withColumn("base", before("head"))
-    ranges = ranges.join(few_or_shuffled(wanted, n_sources), "tag").where((F.col("base") <= F.col("missing")) & (F.col("base") + F.col("size") > F.col("missing")))
-    # documents of one range of each source
-    near = rows.select("tag", "key", "size", head).join(few_or_shuffled(ranges.select("tag", "head", "base", "missing"), n_sources), ["tag", "head"])
+    head = lambda bits: F.shiftright("key", KEY_BITS - bits).alias("head")
+
+    def holding(ranges: DataFrame) -> DataFrame:
+        """The range of each source in which the missing words are reached; ``base`` are the words before it."""
+        met = ranges.withColumn("base", F.col("base") + before("head"))
+        return met.where((F.col("base") <= F.col("missing")) & (F.col("base") + F.col("size") > F.col("missing"))).select("tag", "head", "base", "missing")
+
+    coarse = rows.groupBy("tag", head(RANGE_BITS)).agg(F.sum("size").alias("size"))
+    coarse = holding(coarse.join(few_or_shuffled(wanted, n_sources), "tag").withColumn("base", F.lit(0).cast("long")))
+    inside = rows.select("tag", "key", "size", head(RANGE_BITS)).join(few_or_shuffled(coarse, n_sources), ["tag", "head"]).drop("head")
+    fine = inside.groupBy("tag", "base", "missing", head(2 * RANGE_BITS)).agg(F.sum("size").alias("size"))
+    fine = holding(fine).select("tag", "head", F.col("base").alias("fine_base"))
+    near = inside.select("tag", "key", "size", "missing", head(2 * RANGE_BITS)).join(few_or_shuffled(fine, n_sources), ["tag", "head"]).withColumnRenamed("fine_base", "base")
     alike = near.groupBy("tag", "key", "base", "missing").agg(F.sum("size").alias("size"), F.max("size").alias("one"), F.count("*").alias("same"))
     alike = alike.withColumn("start", F.col("base") + before("key"))
     at = alike.where((F.col("start") <= F.col("missing")) & (F.col("start") + F.col("size") > F.col("missing")))
