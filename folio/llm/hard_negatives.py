@@ -58,9 +58,9 @@ def _exact(a: np.ndarray, b: np.ndarray) -> type:
 
 def _limited(scores: object) -> object:
     """Scores within the limits of a long; those of floats are."""
-    if isinstance(scores, np.floating) or getattr(scores, "dtype", None) == np.float64:
-        return scores
-    return np.minimum(np.maximum(np.asarray(scores, object), -LONG), LONG - 1)
+    if isinstance(scores, int):
+        return max(-LONG, min(LONG - 1, scores))
+    return np.clip(scores, -LONG, LONG - 1) if scores.dtype == object else scores
 
 
 class Lists:
