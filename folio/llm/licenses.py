@@ -1,7 +1,7 @@
 """Operator 5: license scans as an exact set-similarity join of text blocks with notice templates.
 
-A block is a line, or a window of consecutive words, over lines, as long as a template's word count / ``THRESHOLD``, so that
-wrapped notices are found too. As a set of words it matches a template that has at least ``THRESHOLD`` of its words there. The words of
+A block is a window of consecutive words, over lines, as long as a template's word count / ``THRESHOLD``, so that
+wrapped notices are found too, or a line that is no longer than that. As a set of words it matches a template that has at least ``THRESHOLD`` of its words there. The words of
 the templates are put in one global order, rarest in the corpus first (counted over all documents by Spark). A block can only
 reach the threshold if it holds one of a template's first ``size - need + 1`` words in that order (prefix filter), has at
 least ``need`` of the templates' words at all (length filter) and has enough of them left after the first common one
@@ -183,8 +183,11 @@ class TemplateIndex:
         return found
 
     def line(self, words: list[bytes]) -> list[tuple[int, float, frozenset[int]]]:
-        """Number of a template, containment and first places of its words, for each template that a line meets."""
-        met = self.met(words)
+        """Number of a template, containment and first places of its words, for each template that a line meets.
+
+        A line longer than the template's ``width`` is no block of it: its windows are.
+        """
+        met = [(k, score) for k, score in self.met(words) if len(words) <= self.width[k]]
         if not met:
             return []
         first: dict[int, int] = {}

@@ -201,9 +201,12 @@ def links(fps: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints whose closure is that of all links of at most 3 bits."""
     n = fps.count()
     sample = np.sort(np.array([r[0] for r in hash_sample(fps.select("fp"), SAMPLE, "fp").collect()], "<i8"))
-    signatures = _signatures(fps.select("fp"), plan_probes(sample, n))
+    signatures = written(_signatures(fps.select("fp"), plan_probes(sample, n)), "signatures")
     sizes = signatures.groupBy("part", "key").agg(F.count("*").alias("size"), F.max("own").alias("owned")).where("size > 1 and owned")
-    members = signatures.join(sizes.select("part", "key", "size"), ["part", "key"])
+    sizes = written(sizes.select("part", "key", "size", F.col("size").alias("n")), "buckets")
+    # one key may be that of a third of the fingerprints
+    members = written(unskewed(signatures, sizes, ["part", "key"], ["fp"]), "members")
+    removed(signatures, sizes)
     buckets = members.where(F.col("size") <= HOT).groupBy("part", "key").agg(F.collect_list("fp").alias("fps"))
     cold = buckets.select(F.explode(F.arrow_udf(_bucket_links, "array<struct<a: long, b: long>>")("fps")).alias("e")).select("e.a", "e.b").distinct()
     hot = members.where(F.col("size") > HOT).select("fp").distinct()
@@ -243,16 +246,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     k1, k2 = F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
-    keys = written(near_copies.signed(keyed), "signed")
+    keys, shared, members = near_copies.placed(keyed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
     # least of each set, then of each component: a hot one is one row a task before it moves
     nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "nodes")
-    edges = near_copies.links(keys, nodes, keyed, proposed(nodes))
+    edges = near_copies.links(nodes, shared, members, keyed, proposed(nodes))
     found = components(edges)
     roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     stay = written(least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")), "stay")
-    removed(keys, nodes, edges, found)
+    removed(keys, shared, members, nodes, edges, found)
     met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
     return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
 

@@ -92,7 +92,7 @@ def test_whole_documents_against_brute_force(spark, small, small_docs):
         found, words = {}, words_of(text)
         for k, (label, template) in enumerate(TEMPLATES):
             own, width = set(words_of(template)), int(len(words_of(template)) / THRESHOLD + 1e-9)
-            blocks = [words_of(x) for x in text.split("\n")] + [words[i : i + width] for i, w in enumerate(words) if w in own]
+            blocks = [line for line in map(words_of, text.split("\n")) if len(line) <= width] + [words[i : i + width] for i, w in enumerate(words) if w in own]
             best = max((len(own & set(b)) for b in blocks), default=0)
             if best >= THRESHOLD * len(own) - 1e-9:
                 found[k] = (label, best / len(own))
@@ -119,3 +119,11 @@ def test_two_notices_in_a_line(spark, folder):
         assert {"apache-2.0", "mit"} <= set(rows[k]), rows[k]
     assert rows[4] == ["gpl", "gpl-2.0"] and rows[5] == ["gpl", "gpl-2.0", "gpl-3.0"]
     assert rows[6] == ["apache", "apache-2.0", "gpl", "gpl-2.0"]
+
+
+def test_words_scattered_over_a_long_line_are_no_notice(spark, folder):
+    filler = " ".join(f"w{k}" for k in range(400))
+    scattered = f"it was released {filler} under the bridge {filler} a fishing license"
+    near = f"{filler} released under the fine mit license {filler}"
+    rows = {r["doc_id"]: (r["labels"], r["score"]) for r in op5_licenses(spark, folder([(1, scattered), (2, near), (3, scattered.replace(" ", "\n"))])).collect()}
+    assert rows[1] == rows[3] == ("", 0.0) and rows[2][0] == "mit"

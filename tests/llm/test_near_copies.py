@@ -75,10 +75,26 @@ def test_simhash_proposes_equal_fingerprints(spark):
         base = [f"w{x}" for x in rng.integers(0, 10**6, 600)]
         texts += [base, changed(rng, base, 1), changed(rng, base, 1)]
     frame = spark.createDataFrame([(i, i, i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, k1 long, k2 long, text string")
-    keys = N.signed(frame).collect()
+    keys = N.signed(frame, *N.common_shingles(frame)).collect()
     groups = {}
     for r in keys:
         groups.setdefault(r["fp"], set()).add(r["sig"])
     wanted = {(s, min(g)) for g in groups.values() for s in g if s != min(g)}
     nodes = spark.createDataFrame([(r["sig"], r["fp"]) for r in keys], "sig long, fp long")
     assert {tuple(r) for r in proposed(nodes).collect()} == wanted and wanted
+
+
+def test_boilerplate_that_a_sample_misses(spark, monkeypatch):
+    """Shingles of large buckets are counted over all texts and put last, round by round; the kept rows are those of brute force."""
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    monkeypatch.setattr(N, "BUCKET", 20)
+    rng = np.random.default_rng(13)
+    passage = [f"p{x}" for x in range(60)]
+    texts = [[f"u{x}" for x in rng.integers(0, 10**6, 12)] + passage + [f"v{x}" for x in rng.integers(0, 10**6, 13)] for _ in range(150)]
+    texts += [changed(rng, t, 1) for t in texts[:10]] + [passage] * 3
+    docs = {i: " ".join(t) for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    keyed = frame.select("doc_id", frame["doc_id"].alias("k1"), frame["doc_id"].alias("k2"), "text")
+    _, _, members = N.placed(keyed)
+    assert members.groupBy("h").count().agg({"count": "max"}).first()[0] <= 20
+    assert {r["doc_id"] for r in keep_one(frame).collect()} == brute_kept(docs)
