@@ -246,16 +246,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     k1, k2 = F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
-    keys, shared, members = near_copies.placed(keyed)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
-    # least of each set, then of each component: a hot one is one row a task before it moves
-    nodes = written(keys.groupBy("sig").agg(first, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "nodes")
-    edges = near_copies.links(nodes, shared, members, keyed, proposed(nodes))
+    nodes = near_copies.nodes_of(keyed)
+    edges = near_copies.links(nodes, keyed, proposed(nodes))
     found = components(edges)
     roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
     stay = written(least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")), "stay")
-    removed(keys, shared, members, nodes, edges, found)
+    removed(nodes, edges, found)
     met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
     return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
 
