@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.operators import chunking
-from folio.operators.changes import classify, delete_documents, replaced
+from folio.operators.changes import classify
 from folio.operators.keyword import build_index
 from folio.operators.metadata import automatic, upsert
 from folio.operators.vector import check_dimension, embed_chunks, hashed_embedder
-from folio.sources.files import Extractor, described, raw_to_keep, texts_with_store
-from folio.sources.store import Store
+from folio.sources.files import Extractor, described, missing_from, raw_rows, read_files, texts_with_store
+from folio.sources.log import ConflictError
+from folio.sources.store import NUMBERS, Store
 
 
 @dataclass(frozen=True)
@@ -29,76 +32,136 @@ class Options:
     extractors: dict[str, Extractor] = field(default_factory=dict)
 
 
-def ingest(store: Store, files: DataFrame, options: Options = Options()) -> DataFrame:
+#: Times an ingest starts again because another writer was there first.
+ATTEMPTS = 5
+
+
+def _attempts(work: Callable[[], DataFrame]) -> DataFrame:
+    for left in range(ATTEMPTS - 1, -1, -1):
+        try:
+            return work()
+        except ConflictError:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def ingest(store: Store, files: DataFrame, options: Options = Options(), run: tuple[str, int] | None = None) -> DataFrame:
     """Bring ``files(path, length, content, ...)`` into ``store``; returns ``path, status, chunks, error``.
 
     Unchanged files are skipped by their hash, so running again is safe. A file that fails keeps its old chunks and its old
-    hash, and is tried again next time. What is extracted and embedded is written once before it is used several times. Only the
-    buckets of the documents that change are read and rewritten; texts and raw copies are appended.
+    hash, and is tried again next time. Files are read once; of the store only the buckets of their paths, and of their digests,
+    are read, and a segment is added to those of what is new. If another writer has changed the same meanwhile, all is done again
+    from the new state. ``run``, the name of a stream and the number of its batch, is committed with the state.
     """
     chunking.validate(options.size, options.overlap)
-    spark = store.spark
-    scratch = f"{store.folder}/scratch/v{store.number() + 1}"
+    out = _attempts(lambda: _ingest(store, files, options, run))
+    store.merge()
+    return out
 
-    def kept(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{scratch}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{scratch}/{name}")
 
-    seen = classify(described(files), store.read("documents"), options.force)
+def _ingest(store: Store, files: DataFrame, options: Options, run: tuple[str, int] | None) -> DataFrame:
+    spark, state, generation = store.spark, store.state(), uuid.uuid4()
+    gen = F.lit(generation.int >> 65).alias("gen")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{store.folder}/scratch/{generation.hex}/{name}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    # one bucket of documents for a path
+    places = store.buckets_of("documents", files)
+    documents = store.read("documents", places, state, stored=True)
+    seen = classify(described(files), documents, options.force)
+    seen = kept(seen.withColumn("content", F.when(F.col("change") != "unchanged", F.col("content"))), "files")
     todo = seen.where("change != 'unchanged'")
-    texts, fresh = texts_with_store(todo, store.read("extracted"), options.extractors)
-    texts = kept(texts, "texts")
+    keys, raw_keys = ["sha256", "mime_type"], ["sha256", "ext"]
+    asked = todo.where("error IS NULL").select(*keys).distinct()
+    n_asked = asked.count()
+    known = store.contents("extracted", asked, keys, n_asked, state)
+    texts, fresh = texts_with_store(todo, known, options.extractors)
+    texts, fresh = kept(texts, "texts"), kept(fresh, "fresh")
     good = texts.where("error IS NULL")
     chunks = chunking.chunk_documents(good.select("document_id", "text"), options.size, options.overlap)
     embedded = kept(embed_chunks(chunks, options.embed, options.batch), "chunks")
     failed = embedded.where("error IS NOT NULL").groupBy("document_id").agg(F.min("error").alias("problem"))
     done = good.join(failed, "document_id", "left_anti")
-    new = embedded.drop("error")
-    touched = store.buckets_of(done)
-    old = {name: store.read(name, touched) for name in ("documents", "chunks", "metadata", "postings")}
-    state = replaced(old["chunks"], new, done)
+    new = embedded.drop("error").join(done.select("document_id"), "document_id", "left_semi")
     # the dimension is known from the runs before; only where it changes are all chunks looked at
-    dimension = check_dimension(new.join(done.select("document_id"), "document_id", "left_semi"))
-    if dimension is not None and store.fact("dimension") not in (None, str(dimension)):
-        check_dimension(store.read("chunks"), dimension, done)
-    documents = old["documents"]
+    dimension = check_dimension(new)
+    if dimension is not None and state["facts"].get("dimension") not in (None, str(dimension)):
+        check_dimension(store.read("chunks", state=state), dimension, done)
+    # what a document has is counted before it is written, and goes with it
+    postings = kept(build_index(new), "postings")
+    counts = new.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.char_length("text")).alias("chars"), F.count("embedding").alias("embedded"))
+    words = postings.where("term = ''").groupBy("document_id").agg(F.sum("dl").alias("words"))
+    old = documents.join(done.select("document_id"), "document_id", "left_semi")
+    was = old.select("document_id", F.col("created_at").alias("was"), F.col("title").alias("had"))
     now = F.date_trunc("second", F.current_timestamp())
-    before = documents.select("document_id", F.col("created_at").alias("was"), F.col("title").alias("had"))
-    rows = done.join(before, "document_id", "left").select("document_id", "path", "sha256", F.coalesce("had", "title").alias("title"), "mime_type", F.coalesce("was", now).alias("created_at"), now.alias("updated_at"))
-    metadata = upsert(old["metadata"], automatic(done.select("document_id", "path")))
-    postings = replaced(old["postings"], build_index(new), done)
-    raw = raw_to_keep(todo.where("error IS NULL"), store.read("raw"), options.no_raw)
-    states = {"chunks": state, "metadata": metadata, "postings": postings, "documents": replaced(documents, rows, done)}
-    counts = new.groupBy("document_id").agg(F.count("*").alias("n"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = done.join(was, "document_id", "left").join(counts, "document_id", "left").join(words, "document_id", "left")
+    rows = rows.select("document_id", "path", "sha256", F.coalesce("had", "title").alias("title"), "mime_type", F.coalesce("was", now).alias("created_at"), now.alias("updated_at"), gen, *map(count, NUMBERS))
+    rows = kept(rows, "documents")
     result = seen.where("change = 'unchanged'").select("path", F.lit("skipped").alias("status"), F.lit(0).cast("long").alias("chunks"), F.lit(None).cast("string").alias("error"))
-    tried = texts.join(failed, "document_id", "left").join(counts, "document_id", "left")
+    tried = texts.join(failed, "document_id", "left").join(rows.select("document_id", "chunks"), "document_id", "left")
     error = F.coalesce("error", "problem")
-    tried = tried.select("path", F.when(error.isNull(), "ingested").otherwise("error").alias("status"), F.when(error.isNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("chunks"), error.alias("error"))
-    # the skipped rows depend on the state before this run: they are written before the new one is current
+    tried = tried.select("path", F.when(error.isNull(), "ingested").otherwise("error").alias("status"), F.when(error.isNull(), F.coalesce("chunks", F.lit(0))).otherwise(0).cast("long").alias("chunks"), error.alias("error"))
     report = kept(tried.unionByName(result), "result")
     if report.where("status != 'skipped'").isEmpty():
+        if run:
+            store.commit(state, run=run)
         return report
-    store.publish({"extracted": fresh, "raw": raw, **states}, touched, {"dimension": str(dimension)} if dimension is not None else None)
+    places_of_metadata = store.buckets_of("metadata", done)
+    before = store.read("metadata", places_of_metadata, state).join(done.select("document_id"), "document_id", "left_semi")
+    raw = raw_rows(todo.where("error IS NULL"))
+    held = store.contents("raw", raw, raw_keys, todo.count(), state)
+    tables = {
+        "chunks": new.select("*", gen),
+        "postings": postings.select("*", gen),
+        "metadata": upsert(before, automatic(done.select("document_id", "path"))).select("*", gen),
+        "extracted": fresh,
+        "raw": raw.where("false") if options.no_raw else missing_from(raw, held, raw_keys),
+        "documents": rows,
+        "gone": old.select("document_id", "gen", *NUMBERS),
+    }
+    # independent jobs, which the cluster runs side by side
+    with ThreadPoolExecutor(len(tables)) as pool:
+        add = dict(zip(tables, pool.map(store.written, tables, tables.values()), strict=True))
+    touched = {"documents": places, "metadata": places_of_metadata, "extracted": store.buckets_of("extracted", asked)}
+    store.commit(state, add, touched=touched, facts={"dimension": str(dimension)} if dimension is not None else None, run=run)
     return report
 
 
 def remove(store: Store, paths: DataFrame) -> DataFrame:
     """Delete the documents of ``paths(path)`` from ``store`` with all that belongs to them; ``path, status, chunks``.
 
-    Only the buckets of these documents are rewritten; their texts go too, unless others have the same.
+    The documents' rows say what they take away: they alone are read, and noted as gone. Nothing is rewritten, and a text is
+    there no longer when no document has it.
     """
-    documents = store.read("documents")
-    touched = store.buckets_of(documents.join(paths.select("path").distinct(), "path", "left_semi"))
-    tables = {name: store.read(name, touched) for name in ("chunks", "metadata", "postings")}
-    left, report = delete_documents({**tables, "documents": documents, "extracted": store.read("extracted")}, paths)
-    scratch = f"{store.folder}/scratch/v{store.number() + 1}/removed"
-    report.write.mode("overwrite").parquet(scratch)
-    if touched:
-        extracted = left.pop("extracted")
-        extracted.write.mode("overwrite").parquet(f"{scratch}-texts")
-        store.publish(left, touched)
-        store.rewrite("extracted", store.spark.read.schema(extracted.schema).parquet(f"{scratch}-texts"))
-    return store.spark.read.schema(report.schema).parquet(scratch)
+    return _attempts(lambda: _remove(store, paths))
+
+
+def _remove(store: Store, paths: DataFrame) -> DataFrame:
+    state, asked = store.state(), paths.select("path").distinct()
+    places = store.buckets_of("documents", asked)
+    gone = store.read("documents", places, state, stored=True).join(asked, "path", "left_semi")
+    status = F.when(F.col("document_id").isNull(), "not found").otherwise("deleted")
+    report = asked.join(gone.select("path", "document_id", "chunks"), "path", "left").select("path", status.alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    place = f"{store.folder}/scratch/{uuid.uuid4().hex}"
+    report.write.parquet(place)
+    add = store.written("gone", gone.select("document_id", "gen", *NUMBERS))
+    if add:
+        store.commit(state, {"gone": add}, touched={"documents": places})
+    return store.spark.read.schema(report.schema).parquet(place)
+
+
+def update(store: Store, path: str, options: Options = Options()) -> DataFrame:
+    """Ingest one file again if it has changed; a folder, or a path that is no file of a known kind, is refused."""
+    found = read_files(store.spark, path)
+    place = found.select("path").limit(2).collect()
+    if len(place) != 1 or place[0]["path"].rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+        raise ValueError(f"{path} is not one file")
+    return ingest(store, found, options)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ chunk AS (
   SELECT s.doc_id, i, a, s.b, substr(text, length(replace(substr(s.m, 1, a), '~', '')) + 1, length(replace(substr(s.m, a + 1, s.b - a), '~', ''))) AS text FROM spans s JOIN masked USING (doc_id)
 )"""
 _JSON_ROW = """'{"ChunkID":' || chunk_id || ',"DocumentID":' || chunk_id || ',"Path":' || to_json(path) || ',"Title":' || to_json(title) || ',"ChunkIndex":0,"Text":' || to_json(text) || ',"Score":' || round(score, 6) || ',"Source":"keyword"}'"""
-_LINES_OF = f"SELECT line, count(*) AS n FROM (SELECT string_split(text, {NL})[1] AS line FROM conversations) WHERE line != '' GROUP BY line"
+_LINES_OF = f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, {NL})) AS line FROM conversations) WHERE line != '' GROUP BY line"
 
 ORACLES: dict[str, str] = {
     "chunked": f"WITH RECURSIVE {CHUNKS} SELECT doc_id AS document_id, i::INT AS chunk_index, text, ((b - a) // 4)::INT AS token_count, a::INT AS start_byte, b::INT AS end_byte FROM chunk",

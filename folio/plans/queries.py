@@ -238,8 +238,8 @@ def _lines_of(texts: DataFrame) -> DataFrame:
 
 @query
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all files of a folder tree, to which the first lines of all turns were written as text files by role."""
-    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.substring_index("text", "\n", 1).alias("value"))
+    """The lines of all files of a folder tree, to which all turns were written, whole, as text files by role."""
+    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.col("text").alias("value"))
     folder = scratch_folder(spark, "folder")
     turns.write.partitionBy("role").option("maxRecordsPerFile", 1000).text(folder)
     return _lines_of(sources.extract(sources.described(sources.read_files(spark, folder))))
@@ -248,7 +248,7 @@ def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder that grows is ingested as a stream in two runs; the lines of what the knowledge base then holds."""
-    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.substring_index("text", "\n", 1).alias("value"))
+    turns = corpus.table(spark, sf_dir, "conversations").select("role", F.col("text").alias("value"))
     folder, store = scratch_folder(spark, "folder"), Store(spark, scratch_folder(spark, "kb"), 8)
     for run, some in enumerate((F.col("role") == "user", F.col("role") != "user")):
         turns.where(some).select("value").write.option("maxRecordsPerFile", 1000).text(f"{folder}/{run}")

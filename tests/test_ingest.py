@@ -1,10 +1,15 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import changes, snapshot
-from folio.operators.ingest import Options, ingest, remove, summary
+from folio.operators import changes, keyword, snapshot
+from folio.operators.ingest import Options, ingest, remove, summary, update
 from folio.sources import files as sources
+from folio.sources import log
+from folio.sources.log import Folder
 from folio.sources.store import Store
+from folio.streaming import incremental
 from folio.streaming.incremental import ingest_stream
 
 
@@ -98,33 +103,154 @@ def test_delete_and_snapshot(spark, tmp_path):
     assert snapshot.open_snapshot(spark, path)["documents"].count() == 1
 
 
-def test_only_touched_buckets_are_written(spark, tmp_path):
+def parts_of(state, name):
+    return state["parts"].get(name, {})
+
+
+def numbers_agree(store):
+    n, state = store.numbers(), store.read_all()
+    chunks = state["chunks"].agg(F.count("*"), F.sum(F.char_length("text")), F.count("embedding")).first()
+    ones = state["postings"].where("term = ''").agg(F.count("*"), F.sum("dl")).first()
+    assert (n["documents"], n["chunks"], n["chars"], n["embedded"], n["indexed_chunks"], n["words"]) == (state["documents"].count(), *[x or 0 for x in (*chunks, *ones)])
+
+
+def searched(store, chunks, *texts):
+    """Ranks by the index as it stands, and by one that is built anew."""
+    queries = store.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    both = [keyword.keyword_ranks(index, queries, 20) for index in (store.index(), keyword.build_index(chunks))]
+    got, expected = ([(r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in ranks.orderBy("query_id", "rank").collect()] for ranks in both)
+    assert got == expected
+    return got
+
+
+def test_only_what_is_touched_is_read_and_written(spark, tmp_path):
     src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"), 8)
     put(src, **{f"f{i}__md": f"text number {i}" for i in range(30)})
     read = lambda: sources.read_files(spark, str(src))
     ingest(store, read())
-    before = store.parts()
+    before = store.state()
     put(src, f7__md="other text")
-    assert status(ingest(store, read()))["f7.md"] == ("ingested", 1)
-    after = store.parts()
-    for name in ("documents", "chunks", "metadata", "postings"):
-        changed = [b for b in after[name] if after[name][b] != before[name].get(b)]
-        assert len(changed) == 1, (name, changed)
-    assert all(after[name].items() >= before[name].items() and len(after[name]) == len(before[name]) + 1 for name in ("extracted", "raw"))
+    read_parts, real = [], Store._rows
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Store, "_rows", lambda self, name, parts: read_parts.extend((name, p["bucket"]) for p in parts) or real(self, name, parts))
+        assert status(ingest(store, sources.read_files(spark, str(src / "f7.md"))))["f7.md"] == ("ingested", 1)
+    after = store.state()
+    for name in ("documents", "chunks", "metadata", "postings", "extracted", "raw"):
+        new = {k: p for k, p in parts_of(after, name).items() if k not in parts_of(before, name)}
+        assert parts_of(after, name).items() >= parts_of(before, name).items()
+        # two words and the length are three postings
+        assert sum(p["rows"] for p in new.values()) == {"metadata": 4, "postings": 3}.get(name, 1), name
+        assert len({b for n, b in read_parts if n == name}) <= 1, (name, read_parts)
+    assert not {"chunks", "postings"} & {n for n, _ in read_parts}
+    assert sum(p["rows"] for p in parts_of(after, "gone").values()) == 1
     again = Store(spark, store.folder, 99)
     assert again.buckets == 8 and again.fact("dimension") == "64"
     version = store.number()
     assert {s for s, _ in status(ingest(store, read())).values()} == {"skipped"} and store.number() == version
     texts = lambda: sorted(r["text"] for r in store.read("chunks").collect())
     expected = sorted(["other text", *(f"text number {i}" for i in range(30) if i != 7)])
-    assert texts() == expected and store.clean() > 0 and texts() == expected and store.read("documents").count() == 30
-    store.compact("extracted")
-    assert store.read("extracted").count() == 31 and len([p for p in store.parts()["extracted"].values() if p]) == 1
-    gone = remove(store, spark.createDataFrame([(str(src / "f7.md"),), (str(src / "f9.md"),), ("/none",)], "path string"))
-    assert sorted((r["status"], r["chunks"]) for r in gone.collect()) == [("deleted", 1), ("deleted", 1), ("not found", 0)]
-    assert store.read("documents").count() == 28 and store.read("chunks").count() == 28 and store.read("extracted").count() == 29
-    store.clean()
-    assert store.read("chunks").count() == 28 and store.read("raw").count() == 31
+    assert texts() == expected and store.read("documents").count() == 30 and store.read("extracted").count() == 30
+    numbers_agree(store)
+    assert searched(store, store.read("chunks"), "number", "other", "number-7", "text number-9")
+    store.compact()
+    numbers_agree(store)
+    assert texts() == expected and not parts_of(store.state(), "gone") and all(len({p["bucket"] for p in parts.values()}) == len(parts) for parts in store.state()["parts"].values())
+    assert store.clean() > 0 and texts() == expected
+    searched(store, store.read("chunks"), "number", "other")
+
+
+def test_removal_writes_no_text(spark, tmp_path):
+    src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"), 8)
+    put(src, **{f"f{i}__md": f"text number {i % 9}" for i in range(12)}, p__pdf="paper")
+    read = lambda: sources.read_files(spark, str(src))
+    ingest(store, read(), Options(extractors={"application/pdf": lambda b: b.decode()}))
+    before = store.state()
+    gone = remove(store, spark.createDataFrame([(str(src / n),) for n in ("f1.md", "f4.md", "p.pdf")] + [("/none",)], "path string"))
+    assert sorted((r["status"], r["chunks"]) for r in gone.collect()) == [("deleted", 1)] * 3 + [("not found", 0)]
+    after = store.state()
+    assert {n for n in after["parts"] if parts_of(after, n) != parts_of(before, n)} == {"gone"}
+    # f10 has the text of f1, nobody has that of f4
+    assert store.read("documents").count() == 10 and store.read("chunks").count() == 10 and store.read("extracted").count() == 8 and store.read("raw").count() == 10
+    numbers_agree(store)
+    assert not [r for r in searched(store, store.read("chunks"), "paper", "number-4")]
+    # what comes back is found in the store, not extracted again
+    def broken(content):
+        raise KeyError("called")
+
+    assert status(ingest(store, read(), Options(extractors={"application/pdf": broken})))["p.pdf"] == ("ingested", 1)
+    assert store.read("extracted").count() == 10
+    remove(store, spark.createDataFrame([(str(src / "p.pdf"),)], "path string"))
+    store.compact()
+    assert store.clean() > 0 and store.read("extracted").count() == 9 and status(ingest(store, read(), Options(extractors={"application/pdf": broken})))["p.pdf"] == ("error", 0)
+    numbers_agree(store)
+
+
+@pytest.mark.parametrize("buckets, attempts", [(1, 2), (64, 1)])
+def test_two_writers(spark, tmp_path, buckets, attempts):
+    """Another writer commits while the first is about to: what concerns the same buckets is done again, and nothing is lost."""
+    store, other = Store(spark, str(tmp_path / "kb"), buckets), Store(spark, str(tmp_path / "kb"), buckets)
+    put(tmp_path / "a", x__md="first of a")
+    put(tmp_path / "b", y__md="first of b")
+    ingest(store, sources.read_files(spark, str(tmp_path / "a")))
+    put(tmp_path / "a", x__md="second of a")
+    tried, real = [], store.commit
+
+    def late(*args, **kinds):
+        if not tried:
+            assert status(ingest(other, sources.read_files(spark, str(tmp_path / "b"))))["y.md"] == ("ingested", 1)
+        tried.append(1)
+        return real(*args, **kinds)
+
+    store.commit = late
+    assert status(ingest(store, sources.read_files(spark, str(tmp_path / "a"))))["x.md"] == ("ingested", 1)
+    assert len(tried) == attempts
+    assert sorted(r["text"] for r in store.read("chunks").collect()) == ["first of b", "second of a"] and other.number() == 3
+    numbers_agree(store)
+
+
+def test_one_number_is_taken_once(spark, tmp_path):
+    folder = Folder(spark, str(tmp_path / "log"))
+    made = ThreadPoolExecutor(8).map(lambda k: folder.create("00.commit", f"writer {k}"), range(24))
+    assert sum(made) == 1 and folder.text("00.commit").startswith("writer ") and folder.names() == ["00.commit"]
+
+
+def test_many_ingests_are_merged_and_the_log_is_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "FOLD", 2)
+    src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"), 1)
+    for i in range(4):
+        put(src, **{f"f{i % 3}__md": f"text number {i}"})
+        ingest(store, sources.read_files(spark, str(src / f"f{i % 3}.md")))
+    assert len(parts_of(store.state(), "chunks")) == 4 and store.merge(4) > 8 and len(parts_of(store.state(), "chunks")) == 1
+    assert any(n.endswith(".state") for n in Folder(spark, f"{store.folder}/log").names())
+    assert sorted(r["text"] for r in store.read("chunks").collect()) == [f"text number {i}" for i in range(1, 4)]
+    numbers_agree(store)
+    searched(store, store.read("chunks"), "text", "number-3", "0")
+
+
+def test_update_of_one_file(spark, tmp_path):
+    src, store = tmp_path / "src", Store(spark, str(tmp_path / "kb"))
+    put(src, a__md="one")
+    assert status(update(store, str(src / "a.md"))) == {"a.md": ("ingested", 1)} and status(update(store, str(src / "a.md"))) == {"a.md": ("skipped", 0)}
+    with pytest.raises(ValueError, match="not one file"):
+        update(store, str(src))
+
+
+def test_a_batch_that_was_committed_is_not_replayed(spark, tmp_path, monkeypatch):
+    src, store, check = tmp_path / "src", Store(spark, str(tmp_path / "kb")), tmp_path / "check"
+    put(src, a__md="one", b__md="two")
+    run = lambda: ingest_stream(store, str(src), str(check)).awaitTermination(120)
+    run()
+    state, called = store.state(), []
+    # the stream dies after the commit of the store, before its own
+    for name in ("0", ".0.crc"):
+        (check / "commits" / name).unlink(missing_ok=True)
+    monkeypatch.setattr(incremental, "ingest", lambda *a: called.append(a))
+    run()
+    assert not called and store.state() == state and (check / "commits" / "0").exists()
+    monkeypatch.undo()
+    put(src, c__md="three")
+    run()
+    assert store.read("documents").count() == 3
 
 
 def test_one_content_as_two_types(spark, tmp_path):
