@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Unicode white space: not what ``trim`` removes (blanks), and not what Python's ``strip`` removes (also U+001C-1F).
 BLANK = r"\p{IsWhite_Space}"
+#: The same for Python's ``strip``.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: MIME types by extension.
 MIME_TYPES = {".md": "text/markdown", ".markdown": "text/markdown", ".html": "text/html", ".htm": "text/html", ".txt": "text/plain", ".pdf": "application/pdf"}
 OTHER_MIME = "application/octet-stream"

@@ -6,14 +6,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.text import BLANKS
+
 SIZE, OVERLAP = 400, 50
 #: Where a chunk prefers to end, and bytes a token.
 SEPARATORS = (b". ", b"\n\n", b"! ", b"? ")
 TOKEN_BYTES = 4
 PIECES = "array<struct<chunk_index: int, text: string, token_count: int, start_byte: int, end_byte: int>>"
 _PIECE = pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("token_count", pa.int32()), ("start_byte", pa.int32()), ("end_byte", pa.int32())]))
-# Unicode white space, for str.strip
-_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def validate(size: int, overlap: int) -> None:
@@ -53,7 +53,7 @@ def chunk(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
         out = []
         for text in texts.to_pylist():
             rows = []
-            if text and text.strip(_BLANKS):
+            if text and text.strip(BLANKS):
                 data = text.encode()
                 for k, (a, b) in enumerate(spans(data, size, overlap)):
                     rows.append({"chunk_index": k, "text": data[a:b].decode("utf-8", "replace"), "token_count": (b - a) // TOKEN_BYTES, "start_byte": a, "end_byte": b})

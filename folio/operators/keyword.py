@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 
 from folio.operators.metadata import restricted
 from folio.operators.ranking import bounded, effective_k, hydrated, top
+from folio.sources.scratch import scratch_folder
 
 #: Constants of BM25 and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Distinct query terms up to this many are a filter of the scan of the postings.
 MOST_TERMS = 4096
-_MARKS = regex.compile(r"\p{M}+")
+_MARKS, _RARE = regex.compile(r"\p{M}+"), regex.compile(r"[\p{M}\p{Co}]")
 _BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORD = re.compile(r"[^\W_]+")
+#: Letters, digits, and characters of private use.
+_ANY_WORD = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
+#: Folded words up to this many are remembered in each Python worker; that only saves time.
+_MEMO, MOST_MEMO = {}, 200_000
 
 
 def fold(text: str) -> str:
@@ -36,8 +41,24 @@ def fold(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters and digits of the folded text."""
-    return _WORD.findall(fold(text))
+    """Runs of letters, digits and characters of private use of the folded text.
+
+    Where no mark stands by itself, words are the same before folding, so each word is folded once.
+    """
+    text = text.lower()
+    if text.isascii():
+        return _WORD.findall(text)
+    if _RARE.search(text):
+        return _ANY_WORD.findall(_MARKS.sub("", unicodedata.normalize("NFD", text)))
+    if len(_MEMO) > MOST_MEMO:
+        _MEMO.clear()
+    out = []
+    for word in _WORD.findall(text):
+        folded = _MEMO.get(word)
+        if folded is None:
+            folded = _MEMO[word] = word if word.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", word))
+        out.append(folded)
+    return out
 
 
 def query_phrases(text: str) -> list[list[str]]:
@@ -110,11 +131,12 @@ def read_index(spark: SparkSession, folder: str) -> StoredIndex:
 
 
 def stored(index: DataFrame | StoredIndex) -> StoredIndex:
-    """An index as it is searched; one that is not written is counted first, and read as a whole."""
+    """An index as it is searched; one that is not written is written first, for it is read several times."""
     if isinstance(index, StoredIndex):
         return index
-    size = corpus_statistics(index).first()
-    return StoredIndex(index.withColumn("bucket", F.lit(0)), 1, size["chunks"], size["words"])
+    folder = scratch_folder(index.sparkSession, "index")
+    write_index(index, folder, 16)
+    return read_index(index.sparkSession, folder)
 
 
 def term_statistics(index: DataFrame) -> DataFrame:
@@ -128,7 +150,7 @@ def corpus_statistics(index: DataFrame) -> DataFrame:
 
 
 def phrases_of(queries: DataFrame) -> DataFrame:
-    """``query_id, n_phrases, phrase, length, place, term`` of ``queries(query_id, text)``."""
+    """``query_id, n_phrases, phrase, key, length, place, term`` of ``queries(query_id, text)``; equal phrases have one ``key``."""
 
     @F.arrow_udf("array<array<string>>")
     def split(texts: pa.Array) -> pa.Array:
@@ -136,55 +158,86 @@ def phrases_of(queries: DataFrame) -> DataFrame:
 
     rows = queries.select("query_id", split("text").alias("ps"))
     rows = rows.select("query_id", F.size("ps").alias("n_phrases"), F.posexplode("ps").alias("phrase", "terms"))
-    return rows.select("query_id", "n_phrases", "phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    return rows.select("query_id", "n_phrases", "phrase", F.array_join("terms", " ").alias("key"), F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
 
 
-def postings_of(index: StoredIndex, wanted: DataFrame) -> tuple[DataFrame, int | None]:
-    """The postings of the terms of ``wanted(term, ...)``, joined with it, and the rows of ``wanted`` if its terms are few.
+def _kept(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    rows.write.parquet(f"{folder}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    Few terms, and their buckets, are filters of the scan, and the queries' side is broadcast while its rows are few too, so that
-    postings stay where they are. Other query tables are joined by a shuffle.
-    """
-    counted = wanted.groupBy("term").agg(F.count("*").alias("n")).select("term", "n", bucket_of(F.col("term"), index.buckets).alias("bucket"))
-    terms = counted.limit(MOST_TERMS + 1).collect()
+
+def postings_of(index: StoredIndex, asked: DataFrame) -> DataFrame:
+    """The postings of the terms of ``asked(term, ...)`` and perhaps others: few terms, and their buckets, are filters of the scan."""
+    terms = asked.select("term", bucket_of(F.col("term"), index.buckets).alias("bucket")).distinct().limit(MOST_TERMS + 1).collect()
     if len(terms) > MOST_TERMS:
-        return index.postings.drop("bucket").join(wanted, "term"), None
+        return index.postings.drop("bucket")
     here = F.col("bucket").isin(sorted({r["bucket"] for r in terms})) & F.col("term").isin(sorted(r["term"] for r in terms))
-    rows = sum(r["n"] for r in terms)
-    return index.postings.where(here).drop("bucket").join(bounded(wanted, rows), "term"), rows
+    return index.postings.where(here).drop("bucket")
+
+
+def _looked_up(rows: DataFrame, wanted: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` joined with what is ``wanted`` of them, at most ``most`` rows: while these are few the larger side stays where it is."""
+    return rows.join(bounded(wanted, most), keys)
 
 
-def phrase_hits(index: StoredIndex, queries: DataFrame) -> tuple[DataFrame, int | None]:
-    """``query_id, n_phrases, phrase, chunk_id, document_id, dl, f``: chunks with a phrase and how often they have it; and a bound
-    of the number of phrases, if one is known.
+def phrase_hits(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``key, chunk_id, document_id, dl, f``: chunks with a phrase of several words and how often they have it.
 
-    A word's positions, less its place in the phrase, are where the phrase may start; the starts that all words share count. The
-    postings of a query and a chunk are brought together once; all that follows by query and chunk is where it is.
+    Only chunks with the rarest word of a phrase are looked at: the postings of the other words are looked up for them, by term
+    and chunk, and nothing else moves. A word's positions, less its place in the phrase, are where the phrase may start; the
+    starts that all words share count.
     """
-    met, most = postings_of(index, phrases_of(queries))
-    starts = F.when(F.col("length") > 1, F.transform("positions", lambda p: p - F.col("place"))).otherwise(F.array().cast("array<int>"))
-    met = met.select("query_id", "n_phrases", "phrase", "length", "place", "chunk_id", "document_id", "dl", F.size("positions").alias("n"), starts.alias("starts"))
-    words_of = Window.partitionBy("query_id", "chunk_id", "phrase")
-    whole = met.repartition("query_id", "chunk_id").withColumn("all", F.collect_list("starts").over(words_of)).where("place = 0").drop("place", "starts")
+    several = asked.where("length > 1").select("key", "length", "place", "term", "df").distinct()
+    seeds = several.groupBy("key", "length").agg(F.min_by("term", F.struct("df", "place")).alias("term"), F.min("df").alias("df"), F.count("df").alias("there"))
+    seeds = seeds.where("there = length")  # a phrase with a word that nobody has is nowhere
+    n_seeds, n_found, n_wanted = seeds.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum(F.col("df") * F.col("length")), F.lit(0))).first()
+    found = _looked_up(rows.select("term", "chunk_id"), seeds.select("key", "term"), ["term"], n_seeds).select("key", "chunk_id")
+    wanted = several.select("key", "length", "place", "term").join(bounded(found, n_found), "key")
+    met = _looked_up(rows, wanted, ["term", "chunk_id"], n_wanted)
+    starts = F.transform("positions", lambda p: p - F.col("place")).alias("starts")
+    all_of = met.select("key", "length", "chunk_id", "document_id", "dl", starts).groupBy("key", "length", "chunk_id").agg(F.first("document_id").alias("document_id"), F.first("dl").alias("dl"), F.collect_list("starts").alias("all"))
     shared = F.aggregate(F.slice("all", 2, F.col("length")), F.get("all", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))
-    f = F.when(F.col("length") == 1, F.col("n")).when(F.size("all") == F.col("length"), F.size(shared)).otherwise(0)
-    return whole.withColumn("f", f).where("f > 0").drop("length", "all", "n"), most
+    f = F.when(F.size("all") == F.col("length"), F.size(shared)).otherwise(0)
+    return all_of.select("key", "chunk_id", "document_id", "dl", f.alias("f")).where("f > 0")
 
 
 def scored(index: DataFrame | StoredIndex, queries: DataFrame) -> DataFrame:
-    """``query_id, chunk_id, document_id, score`` of the chunks that hold all phrases of a query."""
+    """``query_id, chunk_id, document_id, score`` of the chunks that hold all phrases of a query.
+
+    Phrases of several words are found first. Then each query starts with its rarest phrase, and its others are looked up in the
+    chunks that have that one. A phrase's frequency is of the whole index, so all its chunks are found, whatever the score.
+    """
     index = stored(index)
     average = index.words / max(1, index.chunks)
-    hits, most = phrase_hits(index, queries)
-    idf = F.greatest(F.log((F.lit(float(index.chunks)) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
+    folder = scratch_folder(queries.sparkSession, "search")
+    asked = _kept(phrases_of(queries), folder, "asked")
+    rows = postings_of(index, asked)
+    # frequencies are counted where the postings are; a row a term moves
+    asked = _kept(asked.join(rows.groupBy("term").agg(F.count("*").alias("df")).join(asked.select("term").distinct(), "term"), "term", "left"), folder, "terms")
+    hits = _kept(phrase_hits(rows, asked), folder, "hits")
+    often = hits.groupBy("key").agg(F.count("*").alias("n"))
+    units = asked.where("place = 0").join(often, "key", "left").withColumn("df", F.when(F.col("length") == 1, F.col("df")).otherwise(F.col("n")))
+    units = units.where("df > 0").select("query_id", "n_phrases", "phrase", "key", "length", "df")
+    # queries all of whose phrases are somewhere
+    whole = Window.partitionBy("query_id")
+    units = units.withColumn("there", F.count("*").over(whole)).where("there = n_phrases").withColumn("first", F.row_number().over(whole.orderBy("df", "phrase")) == 1)
+    units = _kept(units.drop("there"), folder, "units")
+    n_units, n_first, n_all = units.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("first"), F.col("df"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("first"), F.col("df") * F.col("n_phrases"))), F.lit(0))).first()
+    start = units.where("first").select("query_id", "key", "length")
+    words_of = rows.select(F.col("term").alias("key"), "chunk_id", "document_id", "dl", F.size("positions").alias("f"))
+    one, several = F.col("length") == 1, F.col("length") > 1
+    chunks = lambda source, kind: _looked_up(source.select("key", "chunk_id"), start.where(kind), ["key"], n_units).select("query_id", "chunk_id")
+    candidates = chunks(words_of, one).unionByName(chunks(hits, several))
+    wanted = units.select("query_id", "n_phrases", "key", "length", "df").join(bounded(candidates, n_first), "query_id")
+    part_of = lambda source, kind: _looked_up(source, wanted.where(kind), ["key", "chunk_id"], n_all)
+    met = part_of(words_of, one).unionByName(part_of(hits, several), allowMissingColumns=True)
+    n = F.col("df").cast("double")
+    idf = F.greatest(F.log((F.lit(float(index.chunks)) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
     f, dl = F.col("f").cast("double"), F.col("dl").cast("double")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (average or 1.0)))
-    # a row a phrase
-    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("n")).select("query_id", "phrase", idf.alias("idf"))
-    rows = hits.join(bounded(df, most), ["query_id", "phrase"]).withColumn("part", part)
+    part = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / (average or 1.0)))
     # parts are added in any order: what is left of that is rounded away, so that equal chunks are ties
-    score = F.round(F.sum("part"), 9).alias("score")
-    all_of = rows.groupBy("query_id", "chunk_id", "document_id", "n_phrases").agg(F.count("*").alias("met"), score)
+    score = F.round(F.sum(part), 9).alias("score")
+    all_of = met.groupBy("query_id", "chunk_id", "n_phrases").agg(F.first("document_id").alias("document_id"), F.count("*").alias("met"), score)
     return all_of.where("met = n_phrases").select("query_id", "chunk_id", "document_id", "score")
 
 

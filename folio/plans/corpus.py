@@ -99,6 +99,6 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents whose number is divisible by 20 and that have a vector: their first words, and the vector."""
+    """The documents whose number is divisible by 20: their first words, and the vector of those that have one."""
     words = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), asked(F.col("text")).alias("text"))
-    return words.join(vector_queries(spark, sf_dir), "query_id")
+    return words.join(vector_queries(spark, sf_dir), "query_id", "left")
