@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import preview, strip_control
 from folio.operators.keyword import corpus_statistics
+from folio.sources.store import Store
 
 
 def kb_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -17,6 +18,13 @@ def kb_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(rows))
 
 
+def stored_stats(store: Store) -> DataFrame:
+    """The same row, and the words of the index, of a stored knowledge base: sums over the lines of its log, no table is read."""
+    n = store.numbers()
+    row = (n["documents"], n["chunks"], n["embedded"], n["chars"], n["words"])
+    return store.spark.createDataFrame([row], "total_documents long, total_chunks long, embedded_chunks long, total_size_bytes long, total_words long")
+
+
 def list_documents(documents: DataFrame, chunks: DataFrame, limit: int = 0) -> DataFrame:
     """``document_id, path, title, chunks, updated_at`` by id; 0 is all."""
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))

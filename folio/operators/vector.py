@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.operators.keyword import words
@@ -18,6 +19,8 @@ from folio.sources.scratch import scratch_folder
 
 #: Queries scored against a chunk batch at once; larger query tables are searched in such blocks.
 QUERY_BLOCK = 2048
+#: Chunks scored against a block of queries at once, and vectors that place the pivots.
+ROW_BLOCK, PIVOT_SAMPLE = 1024, 4096
 EMBED_BATCH = 16
 
 
@@ -41,11 +44,22 @@ def check_dimension(chunks: DataFrame, wanted: int | None = None, without: DataF
     return found[0] if found else None
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Norms of rows, 1 where that is 0: cosines with such a row are 0."""
+    norms = np.linalg.norm(rows, axis=1)
+    return np.where(norms > 0, norms, 1.0)
+
+
 def cosines(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Cosine of each row with each query in double; 0 where a norm is 0."""
+    """Cosine of each row with each query in double; 0 where a norm is 0. One matrix of that size is held.
+
+    Sums depend on the shape of what is multiplied: the last digits are rounded away, so that equal vectors are ties.
+    """
     a, b = rows.astype("float64"), queries.astype("float64")
-    norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
-    return np.divide(a @ b.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+    scores = a @ b.T
+    scores /= _norms(a)[:, None]
+    scores /= _norms(b)[None, :]
+    return np.round(scores, 12, out=scores)
 
 
 def _best(scores: np.ndarray, chunk: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
@@ -58,30 +72,177 @@ def _best(scores: np.ndarray, chunk: np.ndarray, doc: np.ndarray, k: int) -> np.
     return some[np.lexsort((chunk[some], -scores[some]))][:k]
 
 
+class _Held:
+    """Of each query of a block the best ``k`` so far."""
+
+    def __init__(self, n: int, k: int, least: float):
+        self._k, self._least = k, least
+        self._held = [(np.empty(0), np.empty(0, "int64"), np.empty(0, "int64"))] * n  # score, chunk, document
+
+    def add(self, which: np.ndarray, scores: np.ndarray, chunk: np.ndarray, doc: np.ndarray) -> None:
+        """Scores of some rows (down) with the queries ``which`` (across)."""
+        for column, q in enumerate(which):
+            mine = self._held[q]
+            bar = max(self._least, mine[0][-1]) if len(mine[0]) == self._k else self._least
+            some = np.flatnonzero(scores[:, column] >= bar)
+            if len(some):
+                joined = [np.concatenate(x) for x in zip(mine, (scores[some, column], chunk[some], doc[some]), strict=True)]
+                keep = _best(*joined, self._k)
+                self._held[q] = tuple(x[keep] for x in joined)
+
+    def rows(self, ids: list[int]) -> pa.RecordBatch:
+        sizes = [len(h[0]) for h in self._held]
+        score, chunk, doc = (np.concatenate([h[i] for h in self._held]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, "int64"), sizes)), pa.array(chunk), pa.array(doc), pa.array(score)], ["query_id", "chunk_id", "document_id", "score"])
+
+
+FOUND = "query_id long, chunk_id long, document_id long, score double"
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return rows, batch.column("chunk_id").to_numpy(), batch.column("document_id").to_numpy()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROW_BLOCK`` rows, so that their scores with a block of queries take 16 MB."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROW_BLOCK):
+            yield batch.slice(at, ROW_BLOCK)
+
+
 def _block_scores(chunks: DataFrame, ids: list[int], matrix: np.ndarray, k: int, least: float) -> DataFrame:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = (np.empty(0), np.empty(0, "int64"), np.empty(0, "int64"))
-        held = [none] * len(ids)  # of each query the best k so far: score, chunk, document
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = batch.column("embedding")
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            chunk, doc = batch.column("chunk_id").to_numpy(), batch.column("document_id").to_numpy()
-            scores = cosines(rows, matrix)
-            for q in range(len(ids)):
-                mine = held[q]
-                bar = max(least, mine[0][-1]) if len(mine[0]) == k else least
-                some = np.flatnonzero(scores[:, q] >= bar)
-                if len(some):
-                    joined = [np.concatenate(x) for x in zip(mine, (scores[some, q], chunk[some], doc[some]), strict=True)]
-                    keep = _best(*joined, k)
-                    held[q] = tuple(x[keep] for x in joined)
-        sizes = [len(h[0]) for h in held]
-        score, chunk, doc = (np.concatenate([h[i] for h in held]) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, "int64"), sizes)), pa.array(chunk), pa.array(doc), pa.array(score)], ["query_id", "chunk_id", "document_id", "score"])
-
-    return chunks.select("chunk_id", "document_id", "embedding").mapInArrow(best, "query_id long, chunk_id long, document_id long, score double")
+        held, everyone = _Held(len(ids), k, least), np.arange(len(ids))
+        for batch in _slices(batches):
+            rows, chunk, doc = _vectors(batch)
+            held.add(everyone, cosines(rows, matrix), chunk, doc)
+        yield held.rows(ids)
+
+    return chunks.select("chunk_id", "document_id", "embedding").mapInArrow(best, FOUND)
+
+
+@dataclass(frozen=True)
+class StoredVectors:
+    """Embeddings in folders by the pivot they are nearest to, and of each pivot the largest angle to one of its vectors.
+
+    The last cluster is that of vectors without a direction.
+    """
+
+    vectors: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+
+    def reach(self, matrix: np.ndarray) -> np.ndarray:
+        """For each query and cluster the largest cosine that a vector of it can have: angles obey the triangle inequality."""
+        angle = np.arccos(np.clip(cosines(matrix, self.pivots), -1, 1))
+        reach = np.cos(np.clip(angle - self.radius[None, :-1], 0, np.pi)) + 1e-6
+        return np.column_stack([reach, np.full(len(matrix), np.inf)])
+
+
+def _pivots(sample: np.ndarray, clusters: int) -> np.ndarray:
+    """Directions that the vectors of a sample gather around: a few rounds of spherical k-means."""
+    unit = sample / _norms(sample)[:, None]
+    pivots = unit[np.linspace(0, len(unit) - 1, min(clusters, len(unit))).astype(int)]
+    for _ in range(8):
+        nearest = (unit @ pivots.T).argmax(axis=1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, nearest, unit)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), pivots)
+    return pivots
+
+
+def write_vectors(chunks: DataFrame, folder: str, clusters: int = 64) -> None:
+    """Write the embeddings of ``chunks`` below ``folder``, by cluster. A bounded sample places the pivots; it only steers the work."""
+    spark, rows = chunks.sparkSession, chunks.where("embedding IS NOT NULL").select("chunk_id", "document_id", "embedding")
+    check_dimension(rows)
+    share = min(1.0, PIVOT_SAMPLE / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 31)) < int(share * (1 << 31))).select("chunk_id", "embedding").orderBy("chunk_id")
+    sample = np.array([r["embedding"] for r in chosen.collect()], "float64")
+    pivots = _pivots(sample, clusters) if len(sample) else np.empty((0, 0))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            vectors, _, _ = _vectors(batch)
+            directed = np.linalg.norm(vectors.astype("float64"), axis=1) > 0
+            cosine = cosines(vectors, pivots) if len(pivots) else np.zeros((len(vectors), 1))
+            cluster = np.where(directed & (len(pivots) > 0), cosine.argmax(axis=1), len(pivots))
+            angle = np.arccos(np.clip(cosine.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angle), pa.array(cluster.astype("int32"))], [*batch.schema.names, "angle", "cluster"])
+
+    schema = "chunk_id long, document_id long, embedding array<float>, angle double, cluster int"
+    rows.mapInArrow(placed, schema).hint("rebalance", "cluster").write.partitionBy("cluster").parquet(f"{folder}/vectors")
+    written = spark.read.schema(schema).parquet(f"{folder}/vectors")
+    # a row a cluster
+    about = {r["cluster"]: (r["radius"], r["n"]) for r in written.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    lines = [(k, p.tolist(), *about.get(k, (0.0, 0))) for k, p in enumerate(pivots)] + [(len(pivots), [], np.pi, about.get(len(pivots), (0.0, 0))[1])]
+    spark.createDataFrame(lines, "cluster int, pivot array<double>, radius double, n long").coalesce(1).write.parquet(f"{folder}/pivots")
+
+
+def read_vectors(spark: SparkSession, folder: str) -> StoredVectors:
+    lines = spark.read.schema("cluster int, pivot array<double>, radius double, n long").parquet(f"{folder}/pivots").orderBy("cluster").collect()
+    pivots = np.array([r["pivot"] for r in lines[:-1]], "float64")
+    rows = spark.read.schema("chunk_id long, document_id long, embedding array<float>, cluster int").parquet(f"{folder}/vectors")
+    return StoredVectors(rows, pivots, np.array([r["radius"] for r in lines]), np.array([r["n"] for r in lines]))
+
+
+def _cluster_scores(vectors: DataFrame, visits: np.ndarray, ids: list[int], matrix: np.ndarray, k: int, least: float) -> DataFrame:
+    """The best of the clusters that each query visits (``visits``: queries down, clusters across); no other folder is read."""
+    of = {int(c): np.flatnonzero(visits[:, c]) for c in np.flatnonzero(visits.any(axis=0))}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(len(ids), k, least)
+        for batch in _slices(batches):
+            rows, chunk, doc = _vectors(batch)
+            cluster = batch.column("cluster").to_numpy()
+            for c in np.unique(cluster):
+                here = cluster == c
+                held.add(of[int(c)], cosines(rows[here], matrix[of[int(c)]]), chunk[here], doc[here])
+        yield held.rows(ids)
+
+    return vectors.where(F.col("cluster").isin(sorted(of))).select("chunk_id", "document_id", "embedding", "cluster").mapInArrow(best, FOUND)
+
+
+def first_visits(stored: StoredVectors, reach: np.ndarray, k: int) -> np.ndarray:
+    """The clusters that reach highest for each query, until they have ``k`` vectors."""
+    order = np.argsort(-reach[:, :-1], axis=1, kind="stable")
+    before = np.cumsum(stored.sizes[:-1][order], axis=1) - stored.sizes[:-1][order]
+    visits = np.zeros(reach.shape, bool)
+    np.put_along_axis(visits, order, before < k, axis=1)
+    return visits
+
+
+def pruned_ranks(stored: StoredVectors, queries: DataFrame, k: int, min_score: float = 0.0, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+    """What :func:`vector_ranks` gives, exactly, from stored vectors.
+
+    Each query first visits the clusters that reach highest; its k-th score there then rules out all clusters that do not
+    reach it. Queries come to the driver a block at a time, and a block's result is written before the next.
+    """
+    spark, candidates = stored.vectors.sparkSession, restricted(stored.vectors, metadata, filters)
+    lengths = {r[0] for r in queries.where("vec IS NOT NULL").select(F.size("vec")).distinct().collect()}
+    if len(stored.pivots) and lengths - {stored.pivots.shape[1]}:
+        raise DimensionError(f"stored dimension {stored.pivots.shape[1]}, query dimensions {sorted(lengths)}")
+    folder = scratch_folder(spark, "ranks")
+    top(spark.createDataFrame([], FOUND), k).write.parquet(folder)
+    rows = ((r["query_id"], r["vec"]) for r in queries.where("vec IS NOT NULL").select("query_id", "vec").toLocalIterator())
+    while block := list(islice(rows, QUERY_BLOCK)):
+        if not stored.sizes.sum():
+            break
+        ids, matrix = [i for i, _ in block], np.array([v for _, v in block], "float32")
+        reach = stored.reach(matrix) if len(stored.pivots) else np.full((len(ids), 1), np.inf)
+        visits = first_visits(stored, reach, k)
+        found = top(_cluster_scores(candidates, visits, ids, matrix, k, min_score), k)
+        place = scratch_folder(spark, "first")
+        found.write.parquet(place)
+        found = spark.read.schema(found.schema).parquet(place)
+        # a number a query of the block
+        least = dict.fromkeys(ids, min_score) | {r["query_id"]: r["score"] for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}
+        more = (reach >= np.array([least[i] for i in ids])[:, None]) & ~visits
+        both = found.drop("rank").select("query_id", "chunk_id", "document_id", "score").unionByName(_cluster_scores(candidates, more, ids, matrix, k, min_score))
+        top(both, k).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def vector_ranks(chunks: DataFrame, queries: DataFrame, k: int, min_score: float = 0.0, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:

@@ -101,6 +101,10 @@ chunk AS (
 _JSON_ROW = """'{"ChunkID":' || chunk_id || ',"DocumentID":' || chunk_id || ',"Path":' || to_json(path) || ',"Title":' || to_json(title) || ',"ChunkIndex":0,"Text":' || to_json(text) || ',"Score":' || round(score, 6) || ',"Source":"keyword"}'"""
 _LINES_OF = f"SELECT line, count(*) AS n FROM (SELECT unnest(string_split(text, {NL})) AS line FROM conversations) WHERE line != '' GROUP BY line"
 
+#: The documents after every third was changed and every tenth removed; blank ones have no chunk.
+LEFT = """left_docs AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN text || ' and more' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
+live AS (SELECT * FROM left_docs WHERE regexp_matches(text, '\\S'))"""
+
 ORACLES: dict[str, str] = {
     "chunked": f"WITH RECURSIVE {CHUNKS} SELECT doc_id AS document_id, i::INT AS chunk_index, text, ((b - a) // 4)::INT AS token_count, a::INT AS start_byte, b::INT AS end_byte FROM chunk",
     "chunk_search": f"""WITH RECURSIVE {CHUNKS}, {PASSAGES}, {BM25.replace("FROM documents)", "FROM (SELECT doc_id * 1000000 + i AS doc_id, text FROM chunk))", 1).split("cited AS")[0].rstrip().rstrip(",")}
@@ -206,4 +210,9 @@ ORACLES: dict[str, str] = {
     "flashcards": f"""WITH l AS (SELECT conv_id, turn, {_LINES} AS l FROM conversations WHERE role = 'assistant'),
         c AS (SELECT conv_id, turn, unnest(range(len(l) // 2)) AS card, l FROM l)
         SELECT conv_id, turn, card::INT AS card, l[2 * card + 1] AS lead, '' AS note, 1 AS lines FROM c""",
+    "live_index": f"""WITH {LEFT}, {PASSAGES}, {BM25.replace("documents", "live")}
+        SELECT query_id, '/kb/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, round(score, 6) AS score FROM score JOIN live ON doc_id = chunk_id""",
+    "stored_statistics": f"""WITH {LEFT} SELECT (SELECT count(*) FROM left_docs) AS total_documents, count(*) AS total_chunks, count(*) AS embedded_chunks,
+        sum(length(text))::BIGINT AS total_size_bytes, sum(len({WORDS.format("text")}))::BIGINT AS total_words FROM live""",
 }
+ORACLES["vector_search_pruned"] = ORACLES["vector_search"]

@@ -11,7 +11,7 @@ from folio.functions import text as X
 from folio.functions.html import html_text
 from folio.functions.vectors import cosine, from_bytes, to_bytes
 from folio.operators import changes, hybrid, keyword, lookup, metadata, normalize, prompt, report, snapshot, vector
-from folio.operators.ingest import Options, ingest, summary
+from folio.operators.ingest import Options, ingest, remove, summary
 from folio.operators.ranking import effective_k
 from folio.plans import corpus
 from folio.sources import files as sources
@@ -123,6 +123,15 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found).select("query_id", "rank", "chunk_id", "score")
 
 
+@query
+def vector_search_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from vectors stored by cluster: those that cannot reach a query's best are not read for it."""
+    folder = scratch_folder(spark, "vectors")
+    vector.write_vectors(corpus.embedded_chunks(spark, sf_dir), folder, 16)
+    found = vector.pruned_ranks(vector.read_vectors(spark, folder), corpus.vector_queries(spark, sf_dir), 10)
+    return rounded(found).select("query_id", "rank", "chunk_id", "score")
+
+
 @query
 def vector_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit("label").alias("key"), F.col("label").cast("string").alias("value"))
@@ -446,3 +455,29 @@ def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("url").startswith("https"), F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html"))
     second = summary(ingest(store, files(changed), Options())).withColumn("run", F.lit(2))
     return first.unionByName(second).select("run", "status", "n")
+
+
+def _live_store(spark: SparkSession, sf_dir: str) -> Store:
+    """All documents as text files, each one chunk; then every third is changed and ingested again, and every tenth removed."""
+    docs = corpus.table(spark, sf_dir, "documents")
+    place = F.concat(F.lit("/kb/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")
+    files = lambda text: docs.select(place, F.octet_length(text).cast("long").alias("length"), F.encode(text, "UTF-8").alias("content"))
+    store, whole = Store(spark, scratch_folder(spark, "kb"), 8), Options(size=1 << 28, overlap=0)
+    ingest(store, files(F.col("text")), whole)
+    ingest(store, files(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" and more"))).otherwise(F.col("text"))), whole)
+    remove(store, docs.where("doc_id % 10 = 1").select(place))
+    return store
+
+
+@query
+def live_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk that a query finds in a knowledge base that has changed, by the index as it stands: nothing is rebuilt."""
+    store = _live_store(spark, sf_dir)
+    found = keyword.keyword_ranks(store.index(), corpus.text_queries(spark, sf_dir), 1 << 30)
+    return rounded(found.join(store.read("documents").select("document_id", "path"), "document_id")).select("query_id", "path", "score")
+
+
+@query
+def stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of that knowledge base, from its log."""
+    return report.stored_stats(_live_store(spark, sf_dir))

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folio.operators import hybrid, keyword, lookup, metadata, ranking, vector
@@ -148,3 +151,39 @@ def test_embedding_errors(spark, kb):
     assert all(len(r["embedding"]) == 8 and r["error"] is None for r in good)
     short = vector.embed_chunks(chunks, lambda texts: [[1.0]] * (len(texts) - 1)).collect()
     assert all(r["embedding"] is None and "vectors" in r["error"] for r in short)
+
+
+def test_pruned_vector_search_is_exact_and_skips_clusters(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, i // 2, (centres[i % 12] + rng.normal(0, 0.1, 16)).tolist()) for i in range(600)]
+    rows += [(1000 + i, i, rows[i][2]) for i in range(20)] + [(2000, 1, [0.0] * 16), (2001, 1, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, rows[i * 7][2]) for i in range(30)] + [(50, (-centres[0]).tolist()), (51, [0.0] * 16), (52, None)], "query_id long, vec array<float>")
+    vector.write_vectors(chunks, f"{tmp_path}/v", 12)
+    stored = vector.read_vectors(spark, f"{tmp_path}/v")
+    rows_of = lambda f: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 12)) for r in f.collect())
+    for k, least in ((5, 0.0), (700, -1.0), (3, 0.9)):
+        assert rows_of(vector.pruned_ranks(stored, queries, k, least)) == rows_of(vector.vector_ranks(chunks, queries, k, least))
+    visited, real = [], vector._cluster_scores
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vector, "_cluster_scores", lambda v, visits, *a: visited.append(visits) or real(v, visits, *a))
+        vector.pruned_ranks(stored, queries.where("query_id < 30"), 5).collect()
+    assert sum(v.sum() for v in visited) < 30 * 13 * 0.4  # most clusters are skipped
+    marks = spark.createDataFrame([(d, "k", "x") for d in range(0, 300, 3)], "document_id long, key string, value string")
+    assert rows_of(vector.pruned_ranks(stored, queries, 5, 0.0, marks, {"k": "x"})) == rows_of(vector.vector_ranks(chunks, queries, 5, 0.0, marks, {"k": "x"}))
+    vector.write_vectors(chunks.where("false"), f"{tmp_path}/none", 12)
+    assert vector.pruned_ranks(vector.read_vectors(spark, f"{tmp_path}/none"), queries, 5).count() == 0
+
+
+def test_scores_are_computed_in_bounded_blocks(spark, monkeypatch):
+    sizes, real = [], vector.cosines
+    monkeypatch.setattr(vector, "cosines", lambda rows, queries: sizes.append(len(rows)) or real(rows, queries))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], ["x"])
+    assert [b.num_rows for b in vector._slices([batch])] == [1024] * 4 + [904]
+    big = np.ones((1024, 8), "float32")
+    tracemalloc.start()
+    vector.cosines(big, np.ones((2048, 8), "float32"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * 1024 * 2048 * 8 / 2 and sizes
