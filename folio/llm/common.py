@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +100,23 @@ def hidden(df: DataFrame, stem: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give back to the system what a Python worker has freed: it stays for later stages, and their memory comes beside its own."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def very_frequent(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The ``keys`` that more than ``HOT_ROWS`` of ``rows`` have, to be broadcast; None if there are none.
+
+    As in :func:`unskewed` the bound rises with the table, so that there are at most ``MOST_HOT``.
+    """
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS), "frequent")
+    n, total = counts.agg(F.count("*"), F.sum("n")).first()
+    return F.broadcast(counts.where(F.col("n") > max(HOT_ROWS, total // MOST_HOT)).drop("n")) if n else None
+
+
 def few_or_shuffled(few: DataFrame, n: int) -> DataFrame:
     """``few``, of ``n`` counted rows, with a broadcast hint if these are at most ``MOST_HOT``; else the join shuffles."""
     return F.broadcast(few) if n <= MOST_HOT else few

@@ -12,7 +12,7 @@ of every line always stays.
 Cases: a null text counts as empty; texts without repeated runs stay as they are, to the character; a text that repeats
 earlier ones throughout becomes empty; rows equal in doc_id and text are one document and none is deleted for the other; rows
 equal only in doc_id are ordered by a hash of their text; null doc_ids come first; blank lines inside a deleted run go with it;
-other columns are kept, except those that have the name of a result; an empty table stays empty.
+other columns are kept whatever their names, except those that have the name of a result; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import removed, table, unskewed, written
+from folio.llm.common import removed, table, unskewed, very_frequent, written
 
 GRAM_WORDS, RUN_WORDS = 20, 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def _lines(keyed: DataFrame) -> DataFrame:
     """``k0, k1, k2, p, line, s, e, total``: each line with words, its place and the words before and up to its end."""
-    rows = keyed.select("k0", "k1", "k2", F.posexplode(F.split("_text", "\n", -1)).alias("p", "x"))
+    rows = keyed.select("k0", "k1", "k2", F.posexplode(F.split("whole", "\n", -1)).alias("p", "x"))
     rows = rows.select("k0", "k1", "k2", "p", F.xxhash64("x").alias("line"), F.regexp_count("x", F.lit(WORD)).alias("n")).where("n > 0")
     once = rows.repartition("k1", "k2").dropDuplicates(["k1", "k2", "p"])  # repeated rows; the shuffle serves the windows too
     doc = Window.partitionBy("k1", "k2")
@@ -123,25 +123,34 @@ def repeated_runs(keyed: DataFrame, gram_words: int, run_words: int) -> DataFram
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut out of ``text``, and ``n_lines``, ``n_deleted`` (lines before, lines cut)."""
     text = F.coalesce("text", F.lit(""))
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted", "k0", "k1", "k2", "_text", "runs")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     keyed = docs.select(
-        *kept,
-        text.alias("_text"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"),  # whatever their names are, they clash with none below
+        text.alias("whole"),
         F.col("doc_id").alias("k0"),
         F.coalesce("doc_id", F.lit(0)).cast("long").alias("k1"),
         F.xxhash64(F.col("doc_id").isNull(), text).alias("k2"),
     )
-    runs = repeated_runs(keyed.select("k0", "k1", "k2", "_text"), gram_words, run_words)
+    keys = ["k1", "k2"]
+    hot = very_frequent(keyed.select(*keys), keys)
+    narrow = keyed.select("k0", *keys, "whole")
+    if hot is not None:  # of a million equal rows one is taken apart
+        narrow = narrow.join(hot, keys, "left_anti").unionByName(narrow.join(hot, keys, "left_semi").dropDuplicates(keys))
+    runs = repeated_runs(narrow, gram_words, run_words)
     # the runs grow with the corpus: never a broadcast, whatever their size now
-    joined = keyed.join(runs.hint("merge"), ["k1", "k2"], "left")
-    size = F.size(F.split("_text", "\n", -1))
+    if hot is None:
+        joined = keyed.join(runs.hint("merge"), keys, "left")
+    else:
+        joined = keyed.join(hot, keys, "left_anti").join(runs.hint("merge"), keys, "left")
+        joined = joined.unionByName(keyed.join(hot, keys, "left_semi").join(F.broadcast(runs.join(hot, keys, "left_semi")), keys, "left"))
     cut = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["p"], r["q"]))))
-    joined = joined.withColumn("_cut", F.when(F.col("runs").isNotNull(), cut))
-    lines = F.split("_text", "\n", -1)
-    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_cut"), lambda i: F.get(lines, i))
-    joined = joined.withColumn("_size", size.cast("long"))
-    changed = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    return joined.select(*[changed.alias("text") if c == "text" else F.col(c) for c in kept], F.col("_size").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_deleted"))
+    joined = joined.withColumn("cut", F.when(F.col("runs").isNotNull(), cut))
+    lines = F.split("whole", "\n", -1)
+    rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "cut"), lambda i: F.get(lines, i))
+    joined = joined.withColumn("size", F.size(lines).cast("long"))
+    changed = F.when(F.col("runs").isNull(), F.col("own.text")).otherwise(F.array_join(rest, "\n"))
+    own = [changed.alias("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in kept]
+    return joined.select(*own, F.col("size").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

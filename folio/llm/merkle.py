@@ -105,7 +105,9 @@ def successors(keyed: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with the column ``fingerprint`` (replaced if it was there)."""
-    return with_fingerprint(docs.drop("fingerprint").withColumn("_m_text", text_or_empty()), "_m_text", "fingerprint").drop("_m_text")
+    kept = [c for c in docs.columns if c.lower() != "fingerprint"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"), text_or_empty().alias("text"))  # no name clashes
+    return with_fingerprint(rows, "text", "fingerprint").select(*[F.col(f"own.`{c}`").alias(c) for c in kept], "fingerprint")
 
 
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

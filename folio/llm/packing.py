@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import table
+from folio.llm.common import release, table
 
 SEQUENCE, END_ID, GROUP_DOCS = 2048, 0, 8192
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -115,6 +115,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 6 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "copy", "ids"][: 6 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 

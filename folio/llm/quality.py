@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.boosting import Boosted, fit
-from folio.llm.common import hash_sample, removed, table, written
+from folio.llm.common import hash_sample, release, removed, table, written
 
 #: About so many labelled rows at most train the trees, those with the smallest hash of their id. Everything else covers all rows.
 MAX_LABELLED = 20_000
@@ -81,7 +81,8 @@ def stats(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{s}: long" for s in STATS) + ">")
     def of(texts: pa.Array) -> pa.Array:
-        rows = np.array([text_stats(t or "") for t in texts.to_pylist()], "int64").reshape(-1, len(STATS))
+        rows = np.array([text_stats(t.as_py() or "") for t in texts], "int64").reshape(-1, len(STATS))  # one text at a time
+        release()
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(STATS))], STATS)
 
     return of(text)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import near_copies
-from folio.llm.common import hash_sample, removed, table, unskewed, written
+from folio.llm.common import hash_sample, removed, table, unskewed, very_frequent, written
 from folio.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -251,10 +251,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = components(edges)
     roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))
-    stay = written(least.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")), "stay")
+    stay = written(least.select(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")), "stay")
     removed(nodes, edges, found)
-    met = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(stay, ["_k1", "_k2"])
-    return met.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    keys = ["k1", "k2"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), k1.alias("k1"), k2.alias("k2"))
+    hot = very_frequent(rows.select(*keys), keys)
+    if hot is not None:  # of a million equal rows one goes to the join
+        rows = rows.join(hot, keys, "left_anti").unionByName(rows.join(hot, keys, "left_semi").dropDuplicates(keys))
+    met = rows.join(stay, keys).dropDuplicates(keys)
+    return met.select(*[F.col(f"own.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

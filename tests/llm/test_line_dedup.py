@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from folio.llm import common
 from folio.llm.line_dedup import RUN_WORDS, dedup_lines, op4_line_dedup
 
@@ -143,3 +145,22 @@ def test_frequent_keys_and_long_texts(spark, monkeypatch):
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in dedup_lines(frame).collect()}
     assert got == {d: "\n".join(x for x in t.split("\n") if d == 0 or x not in run) for d, t in docs.items()}
+
+
+def test_equal_rows_and_clashing_columns(spark, monkeypatch):
+    """A text that very many rows have is taken apart once, and every row of it gets the same result."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    rows = [(i, f"start {i}\n{passage}\nend {i}") for i in range(3)] + [(9, f"own line\n{passage}")] * 30 + [(None, f"{passage}\nlast")] * 20
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(["k0", "k1", "k2", "runs", "cut", "size", "own", "whole", "_text", "s", "p"])])
+    got = dedup_lines(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_deleted"]
+    found = got.collect()
+    assert all([r[c] for c in odd.columns[2:]] == list(range(11)) for r in found) and len(found) == len(rows)
+    monkeypatch.setattr(common, "HOT_ROWS", 1000)
+    expected = dedup_lines(plain).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_lines"], r["n_deleted"])
+    assert sorted(map(key, found)) == sorted(map(key, expected))
+    # null ids come first: the passage stays there and goes everywhere else
+    assert {r["n_deleted"] for r in found if r["doc_id"] is None} == {0} and {r["n_deleted"] for r in found if r["doc_id"] is not None} == {6}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folio.llm.packing import WordIds, best_two_fit, op7_best_fit_packing, pack, token_pieces
+from folio.llm.packing import WordIds, best_two_fit, op7_best_fit_packing, pack, pack_documents, token_pieces
 
 from .conftest import ODD
 
@@ -90,3 +90,11 @@ def test_odd_rows(spark, folder):
     assert op7_best_fit_packing(spark, folder()).count() == 0
     with_ids = token_pieces(spark.createDataFrame([(1, "a b", 0)], "doc_id long, text string, ids int"), with_ids=True).first()
     assert with_ids["ids"] == [*THEIRS.encode("a b", add_special_tokens=False).ids, 0]
+
+
+def test_other_columns_do_not_matter(spark):
+    rows = [(i, f"some text number {i}") for i in range(20)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = plain.select("*", *[F.lit("x").alias(c) for c in ("piece", "length", "copy", "ids_crc32", "sequence_id", "offset", "group", "_group", "start")])
+    key = lambda f: sorted(map(tuple, f.select("doc_id", "piece", "start", "length", "ids_crc32", "offset").collect()))
+    assert key(pack_documents(odd)) == key(pack_documents(plain))

@@ -3,6 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from folio.llm import common
 from folio.llm import simhash as S
 from folio.llm.components import components
 
@@ -110,3 +111,14 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 51)}, **{100 + i: 100 for i in range(1, 40)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert F is not None
+
+
+def test_kept_rows_have_all_their_columns(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    texts = [(1, "one text of some words that is here")] * 40 + [(2, "one text of some words that is here"), (3, "quite another text of other words"), (None, None)]
+    names = ["_k1", "_K2", "k1", "sig", "own", "first", "fp", "n", "component_id"]
+    odd = spark.createDataFrame(texts, "doc_id long, text string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = S.keep_one(odd)
+    assert got.columns == odd.columns and sorted((r["doc_id"] or 0, *[r[c] for c in names]) for r in got.collect()) == [(i, *range(len(names))) for i in (0, 1, 3)]
+    found = S.near_duplicates(odd).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 3), (None, None)} and len(found) == len(texts)
