@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from folio.schemas import KEYS, TABLES
 
-MANIFEST = "name string, rows long, checksum decimal(38,0)"
+MANIFEST = "name string, part int, rows long, hash string, place string"
 LOG = "number int, folder string"
+#: Parts of a table, by a hash of its keys, that are copied and checked by themselves.
+PARTS = 64
 
 
 class SnapshotError(ValueError):
     """A snapshot that is there already, or is not whole."""
 
 
-def fingerprint(name: str, rows: DataFrame) -> DataFrame:
-    """``name, rows, checksum`` of a table: independent of the order of its rows."""
-    sums = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("checksum"))
-    return sums.select(F.lit(name).alias("name"), "rows", "checksum")
+def _part(name: str) -> Column:
+    return F.pmod(F.xxhash64(*KEYS[name]), F.lit(PARTS)).cast("int")
+
+
+def fingerprints(name: str, rows: DataFrame) -> dict[int, tuple[int, str]]:
+    """Rows and hash of each part of a table, whatever the order of its rows: the root of a tree of SHA-256 whose leaves are the
+    rows, sorted by their own hash and gathered by its first digits."""
+    leaf = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
+    rolled = lambda hashes: F.sha2(F.array_join(F.sort_array(F.collect_list(hashes)), ","), 256)
+    leaves = rows.select(_part(name).alias("part"), leaf.alias("leaf"))
+    inner = leaves.groupBy("part", F.substring("leaf", 1, 3).alias("digits")).agg(F.count("*").alias("rows"), rolled("leaf").alias("hash"))
+    roots = inner.groupBy("part").agg(F.sum("rows").alias("rows"), rolled(F.concat("digits", "hash")).alias("hash"))
+    return {r["part"]: (r["rows"], r["hash"]) for r in roots.collect()}
 
 
 def _current(spark: SparkSession, path: str) -> str | None:
@@ -33,26 +44,38 @@ def _current(spark: SparkSession, path: str) -> str | None:
     return f"{path}/{lines[0]['folder']}" if lines else None
 
 
+def _lines(spark: SparkSession, folder: str) -> list[Row]:
+    """A line a part."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()
+
+
 def export_snapshot(tables: dict[str, DataFrame], path: str, force: bool = False) -> DataFrame:
     """Write all tables into a new folder below ``path``, read them back, and only if they agree make it the current one.
 
-    Returns its manifest. With ``force`` a snapshot that is there is superseded, and stays whole until the new one is.
+    Returns its manifest. With ``force`` a snapshot that is there is superseded, and stays whole until the new one is. Parts that
+    are as they were then are not copied again: the new manifest names them where they are.
     """
     spark = next(iter(tables.values())).sparkSession
     before = _current(spark, path)
     if before and not force:
         raise SnapshotError(f"there is a snapshot at {path}")
     number = int(before.rsplit("v", 1)[1]) + 1 if before else 1
+    known = {(r["name"], r["part"], r["rows"], r["hash"]): r["place"] for r in (_lines(spark, before) if before else [])}
     folder, lines = f"{path}/v{number}", []
     for name, rows in tables.items():
         schema = TABLES[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        wanted = fingerprint(name, rows).first()
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-        found = fingerprint(name, spark.read.schema(schema).parquet(f"{folder}/{name}")).first()
-        if wanted != found:
-            raise SnapshotError(f"{name} differs from what was written")
-        lines.append(tuple(found))
+        wanted = fingerprints(name, rows)
+        place = {part: known.get((name, part, *of)) for part, of in wanted.items()}
+        new = sorted(part for part, there in place.items() if there is None)
+        if new:
+            written = f"v{number}/{name}"
+            rows.withColumn("part", _part(name)).where(F.col("part").isin(new)).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/{written}")
+            found = fingerprints(name, spark.read.schema(schema).parquet(f"{path}/{written}").select(*schema.names))
+            if found != {part: wanted[part] for part in new}:
+                raise SnapshotError(f"{name} differs from what was written")
+            place |= {part: f"{written}/part={part}" for part in new}
+        lines += [(name, part, *wanted[part], place[part]) for part in sorted(wanted)] or [(name, -1, 0, "", "")]
     spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     spark.createDataFrame([(number, f"v{number}")], LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -63,12 +86,20 @@ def open_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     folder = _current(spark, path)
     if folder is None:
         raise SnapshotError(f"there is no whole snapshot at {path}")
-    out = {}
-    for line in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect():
-        rows = spark.read.schema(TABLES[line["name"]]).parquet(f"{folder}/{line['name']}")
-        if fingerprint(line["name"], rows).first() != line:
-            raise SnapshotError(f"{line['name']} differs from its manifest")
-        out[line["name"]] = rows
+    lines, out = _lines(spark, folder), {}
+    for name in dict.fromkeys(r["name"] for r in lines):
+        parts = [r for r in lines if r["name"] == name and r["part"] >= 0]
+        if not parts:
+            out[name] = spark.createDataFrame([], TABLES[name])
+            continue
+        try:
+            rows = spark.read.schema(TABLES[name]).parquet(*[f"{path}/{r['place']}" for r in parts])
+            found = fingerprints(name, rows)
+        except AnalysisException as e:
+            raise SnapshotError(f"{name} is not whole: {e}") from e
+        if found != {r["part"]: (r["rows"], r["hash"]) for r in parts}:
+            raise SnapshotError(f"{name} differs from its manifest")
+        out[name] = rows
     return out
 
 

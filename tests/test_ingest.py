@@ -103,6 +103,29 @@ def test_delete_and_snapshot(spark, tmp_path):
     assert snapshot.open_snapshot(spark, path)["documents"].count() == 1
 
 
+def test_a_second_snapshot_copies_only_what_changed(spark, tmp_path):
+    schema = snapshot.TABLES["metadata"]
+    rows = [(i, "key", f"value {i}") for i in range(300)]
+    path, table = str(tmp_path / "snap"), lambda r: {"metadata": spark.createDataFrame(r, schema), "raw": spark.createDataFrame([], snapshot.TABLES["raw"])}
+    first = {r["part"]: r for r in snapshot.export_snapshot(table(rows), path).collect() if r["name"] == "metadata"}
+    changed = [(7, "key", "other"), *[r for r in rows if r[0] not in (7, 9)]]
+    second = {r["part"]: r for r in snapshot.export_snapshot(table(changed), path, force=True).collect() if r["name"] == "metadata"}
+    moved = {p for p in second if second[p]["place"] != first[p]["place"]}
+    assert 1 <= len(moved) <= 2 and {p for p in second if second[p]["hash"] != first[p]["hash"]} == moved
+    files = lambda v: sorted(f.parent.name for f in (tmp_path / "snap" / v / "metadata").glob("part=*/*.parquet"))
+    assert set(files("v2")) == {f"part={p}" for p in moved} and len(set(files("v1"))) == len(first)
+    opened = snapshot.open_snapshot(spark, path)
+    assert sorted(map(tuple, opened["metadata"].collect())) == sorted(changed) and opened["raw"].count() == 0
+    # two values of one part are exchanged: as many rows, the same values, all of them where they were
+    part = next(r for r in second.values() if r["rows"] > 1)
+    at = f"{path}/{part['place']}"
+    a, b, *rest = spark.read.schema(schema).parquet(at).collect()
+    swapped = [(a[0], a[1], b[2]), (b[0], b[1], a[2]), *map(tuple, rest)]
+    spark.createDataFrame(swapped, schema).coalesce(1).write.mode("overwrite").parquet(at)
+    with pytest.raises(snapshot.SnapshotError, match="differs"):
+        snapshot.open_snapshot(spark, path)
+
+
 def parts_of(state, name):
     return state["parts"].get(name, {})
 
