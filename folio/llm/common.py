@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.sources.scratch import until_exit
+
 #: Rows of one key that a join leaves in one task, and the most keys with more that are broadcast.
 HOT_ROWS, MOST_HOT = 1_000, 100_000
 
@@ -36,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut, and a lost executor loses nothing of it."""
+    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut, and a lost executor loses nothing of it.
+
+    The table goes by :func:`removed`, or when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
+    path = until_exit(spark, f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_written_at"] = path

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import removed, shared_dir, table, unskewed, written
+from folio.sources.scratch import until_exit
 
 #: Digits of the two base-32 alphabets, and WARC's fixed header lines.
 BASE32_NUMBERS, BASE32_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -101,7 +102,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = until_exit(spark, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     write_archive(table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
