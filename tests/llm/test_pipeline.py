@@ -1,5 +1,18 @@
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as P
-from folio.llm.pii import base_candidates
+from folio.llm.pii import base_candidates, train
+from folio.llm.quality import text_stats
+from folio.llm.quality import train as train_quality
+
+from .test_line_dedup import WORD
+from .test_line_dedup import brute as brute_lines
+from .test_near_copies import brute_kept
 
 
 def test_stages(spark, small, tmp_path):
@@ -20,6 +33,43 @@ def test_stages(spark, small, tmp_path):
     assert docs.where("n_chars != char_length(text)").count() == 0
 
 
+def test_chain_against_brute_force(spark, small, small_docs):
+    """Every stage's result, text by text, on what the stage before kept; the last one's pieces by the tokenizer's own library."""
+    frame = spark.read.parquet(f"{small}/documents.parquet")
+    texts, model = dict(small_docs), train_quality(frame, spark.read.parquet(f"{small}/labels.parquet"))
+    stats = {d: text_stats(t) for d, t in texts.items()}
+    good = lambda s: not (s[0] < 50 or 100 * s[4] > 50 * s[0]) and bool(model.good(np.array([s], "int64"))[1][0])
+    texts = {d: t for d, t in texts.items() if good(stats[d])}
+    lines = {d: "\n".join(x) for d, x in brute_lines(texts).items()}
+    texts = {d: t for d, t in lines.items() if t == texts[d] or WORD.search(t)}
+    kept = brute_kept(texts)
+    texts = {d: t for d, t in texts.items() if d in kept}
+    pii = train(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for d, text in texts.items():
+        for k, a, b in sorted(pii.spans(text), key=lambda s: -s[1]):
+            texts[d] = text = text[:a] + f"<{k}>" + text[b:]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    wanted = {}
+    for d, text in texts.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            wanted[d, k] = (at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part)))
+    rows = P.run(spark, small).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == wanted and len(rows) == len(wanted)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for of in places.values():
+        at = 0
+        for offset, length in sorted(of):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(places) <= -(-sum(w[1] for w in wanted.values()) // 2048) + 1
+
+
 def test_empty(spark, folder):
     assert P.run(spark, folder()).count() == 0
 
