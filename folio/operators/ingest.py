@@ -17,7 +17,7 @@ from folio.operators.keyword import build_index
 from folio.operators.metadata import automatic, upsert
 from folio.operators.vector import check_dimension, embed_chunks, hashed_embedder
 from folio.sources.files import Extractor, described, missing_from, raw_rows, read_files, texts_with_store
-from folio.sources.log import ConflictError
+from folio.sources.log import ConflictError, Folder
 from folio.sources.store import NUMBERS, Store
 
 
@@ -64,11 +64,21 @@ def _ingest(store: Store, files: DataFrame, options: Options, run: tuple[str, in
     spark, state, generation = store.spark, store.state(), uuid.uuid4()
     gen = F.lit(generation.int >> 65).alias("gen")
 
+    scratch, names = f"scratch/{generation.hex}", []
+
     def kept(rows: DataFrame, name: str) -> DataFrame:
-        path = f"{store.folder}/scratch/{generation.hex}/{name}"
+        path = f"{store.folder}/{scratch}/{name}"
         rows.write.parquet(path)
+        names.append(name)
         return spark.read.schema(rows.schema).parquet(path)
 
+    def swept() -> None:
+        """Of what was kept on the way only the result stays."""
+        files = Folder(spark, store.folder)
+        for name in names:
+            if name != "result":
+                files.delete(f"{scratch}/{name}")
+
     # one bucket of documents for a path
     places = store.buckets_of("documents", files)
     documents = store.read("documents", places, state, stored=True)
@@ -110,6 +120,7 @@ def _ingest(store: Store, files: DataFrame, options: Options, run: tuple[str, in
     if report.where("status != 'skipped'").isEmpty():
         if run:
             store.commit(state, run=run)
+        swept()
         return report
     places_of_metadata = store.buckets_of("metadata", done)
     before = store.read("metadata", places_of_metadata, state).join(done.select("document_id"), "document_id", "left_semi")
@@ -129,6 +140,7 @@ def _ingest(store: Store, files: DataFrame, options: Options, run: tuple[str, in
         add = dict(zip(tables, pool.map(store.written, tables, tables.values()), strict=True))
     touched = {"documents": places, "metadata": places_of_metadata, "extracted": store.buckets_of("extracted", asked)}
     store.commit(state, add, touched=touched, facts={"dimension": str(dimension)} if dimension is not None else None, run=run)
+    swept()
     return report
 
 
