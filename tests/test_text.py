@@ -25,6 +25,12 @@ def test_markdown_and_html(spark):
     assert [g[0] for g in values(spark, [(p,) for p in pages], "t string", html_text(F.col("t")))] == ["HelloWorld", "Hello & World <3>", "var t='</p>' x", None]
 
 
+def test_html_bare_references(spark):
+    pages = ["<title>a &amp</title><p>b &ampx &lt;3&gt; &copy;&notit; &#65; &#66 & &;</p>", "<b>\ue000 &amp</b>&amp;"]
+    assert [g[0] for g in values(spark, [(p,) for p in pages], "t string", html_text(F.col("t"), bare=False))] == ["a &ampb &ampx <3> ©&notit; A &#66 & &;", "\ue000 &amp&"]
+    assert values(spark, [("x &amp</p>",)], "t string", html_text(F.col("t"))) == [("x &",)]
+
+
 def test_scalars(spark):
     got = values(spark, [("äöü" * 50,)], "t string", X.count_tokens(F.col("t")), X.preview(F.col("t"), 5), X.strip_control(F.lit("a\x07b\x1bc\x85\n\td\x7f")), X.strip(F.lit("　\x85 x\x1c ")))
     assert got == [(75, "äöüäö...", "abc\n\td", "x\x1c")]
