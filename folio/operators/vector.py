@@ -281,14 +281,21 @@ def vector_search(chunks: DataFrame, documents: DataFrame, queries: DataFrame, t
 
 
 def hashed_embedder(dimension: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic embedder that needs no model: signed feature hashing of words, L2-normalised."""
+    """A deterministic embedder that needs no model: signed feature hashing of words, L2-normalised.
+
+    Where the signs of all words cancel out, the word of the least hash counts alone: only texts without words have no direction.
+    """
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension), "float32")
         for i, text in enumerate(texts):
+            least = None
             for word in words(text):
                 h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
                 out[i, h % dimension] += 1 if h >> 63 else -1
+                least = h if least is None else min(h, least)
+            if least is not None and not out[i].any():
+                out[i, least % dimension] = 1 if least >> 63 else -1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norms, out=out, where=norms > 0)
 

@@ -187,3 +187,10 @@ def test_scores_are_computed_in_bounded_blocks(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 3 * 1024 * 2048 * 8 / 2 and sizes
+
+
+def test_words_that_cancel_out_have_a_direction():
+    embed = vector.hashed_embedder(64)
+    rows = embed(["word3 word4", "word4 word3", " . "])
+    assert np.allclose(np.linalg.norm(rows, axis=1), [1, 1, 0])
+    assert (rows[0] == rows[1]).all()
