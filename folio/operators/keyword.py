@@ -113,6 +113,13 @@ class StoredIndex:
     words: int
 
 
+@dataclass(frozen=True)
+class Texts:
+    """Chunks ``(chunk_id, document_id, text)`` that are searched without an index: they are scanned for all queries at once."""
+
+    chunks: DataFrame
+
+
 def write_index(index: DataFrame, folder: str, buckets: int = 64) -> None:
     """Write postings below ``folder``. Searches read the folders of their terms alone, and of those the row groups.
 
@@ -241,12 +248,16 @@ def scored(index: DataFrame | StoredIndex, queries: DataFrame) -> DataFrame:
     return all_of.where("met = n_phrases").select("query_id", "chunk_id", "document_id", "score")
 
 
-def keyword_ranks(index: DataFrame | StoredIndex, queries: DataFrame, k: int, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+def keyword_ranks(index: DataFrame | StoredIndex | Texts, queries: DataFrame, k: int, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """``query_id, rank, chunk_id, document_id, score``; frequencies are of the whole index, filtered or not."""
+    if isinstance(index, Texts):
+        from folio.operators.scan import scanned_ranks
+
+        return scanned_ranks(index.chunks, queries, k, metadata, filters)
     return top(restricted(scored(index, queries), metadata, filters), k)
 
 
-def keyword_search(index: DataFrame | StoredIndex, chunks: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int = 5, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+def keyword_search(index: DataFrame | StoredIndex | Texts, chunks: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int = 5, metadata: DataFrame | None = None, filters: dict[str, str] | None = None) -> DataFrame:
     """The ``top_k`` chunks of each query with text, path and title. There is no least score here."""
     k = effective_k(top_k)
     return hydrated(keyword_ranks(index, queries, k, metadata, filters), chunks, documents, "keyword", k * queries.count())

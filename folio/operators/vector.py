@@ -266,6 +266,10 @@ def vector_ranks(chunks: DataFrame, queries: DataFrame, k: int, min_score: float
     first, block = block, list(islice(rows, QUERY_BLOCK))
     if not block:
         return scored(first)
+    # what makes the candidates is done once, not for each block
+    place = scratch_folder(candidates.sparkSession, "candidates")
+    candidates.select("chunk_id", "document_id", "embedding").write.parquet(place)
+    candidates = candidates.sparkSession.read.parquet(place)
     folder = scratch_folder(candidates.sparkSession, "ranks")
     scored(first).write.parquet(folder)
     while block:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators.chunking import chunk_documents
-from folio.operators.keyword import StoredIndex, build_index, read_index, write_index
+from folio.operators.keyword import StoredIndex, Texts, build_index, read_index, write_index
 from folio.operators.metadata import automatic, upsert
 from folio.sources.scratch import scratch_folder
 
@@ -83,6 +83,11 @@ def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
     return read_index(spark, folder)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> Texts:
+    """The same without an index: one batch of queries is answered by scanning, which costs less than to index first."""
+    return Texts(spread(whole_chunks(spark, sf_dir).select("chunk_id", "document_id", "text")))
+
+
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each benchmark passage: its first word, and its next two as a phrase."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), asked(F.col("text")).alias("text"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from folio.operators import hybrid, keyword, lookup, metadata, ranking, vector
+from folio.operators import hybrid, keyword, lookup, metadata, ranking, scan, vector
 from folio.operators.ranking import effective_k
 
 CHUNKS = [
@@ -194,3 +194,21 @@ def test_words_that_cancel_out_have_a_direction():
     rows = embed(["word3 word4", "word4 word3", " . "])
     assert np.allclose(np.linalg.norm(rows, axis=1), [1, 1, 0])
     assert (rows[0] == rows[1]).all()
+
+
+def test_scanned_texts_give_what_their_index_gives(spark, kb, monkeypatch):
+    rng, names = np.random.default_rng(3), [f"w{i}" for i in range(12)] + ["café", "x_y"]
+    texts = [" ".join(rng.choice(names, rng.integers(0, 30))) for _ in range(150)]
+    texts += [texts[5], "", "w1 w1 w1 w1", None]
+    chunks = spark.createDataFrame([(i, i // 2, 0, t) for i, t in enumerate(texts)], "chunk_id long, document_id long, chunk_index int, text string").repartition(5)
+    queries = asked(spark, "w1", "w1-w1", "w1-w1 w1-w1", "w2 w3-w4", "w1-w2-w3", "CAFE w1-w2 w1", "nobody w1", "w1 w1-nobody", "x-y w5", "", "!", *[" ".join(rng.choice(names, 2)) + "-w1" for _ in range(20)])
+    marks = spark.createDataFrame([(i, "odd", "y") for i in range(1, 80, 2)], "document_id long, key string, value string")
+    rows = lambda index, k, *more: found(keyword.keyword_ranks(index, queries, k, *more), "query_id", "rank", "chunk_id", "document_id", "score")
+    index = keyword.stored(keyword.build_index(chunks))
+    wanted = [rows(index, 1000), rows(index, 3, marks, {"odd": "y"})]
+    assert len(wanted[0]) > 300
+    assert [rows(keyword.Texts(chunks), 1000), rows(keyword.Texts(chunks), 3, marks, {"odd": "y"})] == wanted
+    monkeypatch.setattr(scan, "QUERY_BLOCK", 20)
+    assert rows(keyword.Texts(chunks), 4) == [r for r in wanted[0] if r[1] <= 4]
+    assert keyword.keyword_ranks(keyword.Texts(chunks), asked(spark, "", "!"), 3).count() == 0
+
