@@ -290,3 +290,19 @@ def test_changes(spark):
     assert {r["path"]: r["change"] for r in changes.classify(files, docs).collect()} == {"/a": "unchanged", "/b": "changed", "/c": "new"}
     assert {r["path"]: r["change"] for r in changes.classify(files, docs, True).collect()}["/a"] == "forced"
     assert changes.repeated_content(files).first()["n"] == 2
+
+
+def test_python_workers_get_few_rows_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("folio.operators.ingest.BATCH_ROWS", 2)
+    files = spark.createDataFrame([(f"/{i}.txt", 9, bytearray(b"text %d" % i)) for i in range(40)], "path string, length long, content binary").coalesce(1)
+
+    def embed(texts):
+        if len(texts) > 2:
+            raise ValueError("a large batch")
+        return [[1.0]] * len(texts)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    done = ingest(Store(spark, str(tmp_path / "kb"), 2), files, Options(embed=embed))
+    assert {r["status"] for r in done.collect()} == {"ingested"}
+    assert spark.conf.get(key) == before
