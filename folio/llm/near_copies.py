@@ -1,7 +1,7 @@
 """Near copies of the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
 
-SimHash (operator 8) proposes the pairs whose fingerprints, here of these shingles, are equal; their texts are compared, and
-what is alike is one group from then on. As a fingerprint of 64 bits cannot tell 0.8 from less, the rest is found by a
+SimHash (operator 8) proposes the pairs whose fingerprints, here of these shingles, are equal or linked by the pigeonhole search within
+three bits; their texts are compared, and what is alike is one group from then on. As a fingerprint of 64 bits cannot tell 0.8 from less, the rest is found by a
 prefix-filtered self-join among what is not in one group yet: under one global order of the shingles, two sets of that similarity
 share one of the first ``size - ceil(0.8 size) + 1`` shingles of each. The order is by hash, but common shingles come last, by
 their frequency: those of a sample, and then those whose buckets, over all texts, turn out to be large. For these the order is

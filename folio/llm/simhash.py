@@ -229,15 +229,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def proposed(nodes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``nodes(sig, fp)``: each with the first node of its fingerprint.
-
-    Only equal fingerprints propose here. The search within three bits finds no link that the prefix join does not, and among
-    texts that are alike, but not enough, it probes many keys for none.
-    """
+    """Pairs ``(a, b)`` of ``nodes(sig, fp)``: each with the first node of its fingerprint."""
     first = written(nodes.groupBy("fp").agg(F.min("sig").alias("rep"), F.count("*").alias("n")).where("n > 1"), "fingerprints")
     return unskewed(nodes.select("sig", "fp"), first, ["fp"], ["sig"]).where("sig != rep").select(F.col("sig").alias("a"), F.col("rep").alias("b"))
 
 
+def searched(nodes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``nodes(sig, fp)`` with other fingerprints: what the pigeonhole search links within three bits, each
+    fingerprint by its first node. Of a bucket these are the edges of a forest, not all pairs."""
+    first = written(nodes.groupBy("fp").agg(F.min("sig").alias("rep")), "firsts")
+    side = lambda x: first.select(F.col("fp").alias(f"f{x}"), F.col("rep").alias(x))
+    edges = links(first.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    return edges.join(side("a"), "fa").join(side("b"), "fb").select("a", "b")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near copies (5-word shingles, similarity 0.8 or more; see ``near_copies``): of
     its documents that with the least (doc_id, text hash), ids before null.
@@ -247,7 +252,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     k1, k2 = F.coalesce("doc_id", F.lit(0)).cast("long"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
     keyed = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text")
     nodes = near_copies.nodes_of(keyed)
-    edges = near_copies.links(nodes, keyed, proposed(nodes))
+    edges = near_copies.links(nodes, keyed, proposed(nodes).union(searched(nodes)))
     found = components(edges)
     roots = found.withColumnRenamed("a", "sig")
     least = nodes.join(roots, "sig", "left").groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min("first").alias("first"))

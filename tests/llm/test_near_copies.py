@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from folio.llm import near_copies as N
-from folio.llm.simhash import keep_one, proposed
+from folio.llm.simhash import keep_one, proposed, searched
 
 
 def brute_set(text):
@@ -98,3 +98,13 @@ def test_boilerplate_that_a_sample_misses(spark, monkeypatch):
     buckets = N.nodes_of(keyed).selectExpr("explode(prefix) h").groupBy("h").count()
     assert buckets.agg({"count": "max"}).first()[0] <= 20
     assert {r["doc_id"] for r in keep_one(frame).collect()} == brute_kept(docs)
+
+
+def test_the_search_proposes_within_three_bits(spark):
+    """Sets of other fingerprints are proposed when these differ in at most three bits; before, only equal ones were."""
+    rng = np.random.default_rng(11)
+    fps = [int(f) for f in rng.integers(-(2**62), 2**62, 40)]
+    nodes = [(k, f) for k, f in enumerate(fps)]
+    nodes += [(100 + k, f ^ sum(1 << int(b) for b in rng.choice(62, 1 + k % 5, replace=False))) for k, f in enumerate(fps)]
+    got = {frozenset(r) for r in searched(spark.createDataFrame(nodes, "sig long, fp long")).collect()}
+    assert got == {frozenset((k, 100 + k)) for k in range(40) if 1 + k % 5 <= 3}
