@@ -26,10 +26,12 @@ def fingerprints(name: str, rows: DataFrame) -> dict[int, tuple[int, str]]:
     """Rows and hash of each part of a table, whatever the order of its rows: the root of a tree of SHA-256 whose leaves are the
     rows, sorted by their own hash and gathered by its first digits."""
     leaf = F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256)
-    rolled = lambda hashes: F.sha2(F.array_join(F.sort_array(F.collect_list(hashes)), ","), 256)
-    leaves = rows.select(_part(name).alias("part"), leaf.alias("leaf"))
-    inner = leaves.groupBy("part", F.substring("leaf", 1, 3).alias("digits")).agg(F.count("*").alias("rows"), rolled("leaf").alias("hash"))
-    roots = inner.groupBy("part").agg(F.sum("rows").alias("rows"), rolled(F.concat("digits", "hash")).alias("hash"))
+    rolled = lambda hashes: F.sha2(F.array_join(hashes, ","), 256)
+    # leaves move as bytes, which are half as long and in the same order; they are digits again where they are gathered
+    leaves = rows.select(_part(name).alias("part"), leaf.alias("leaf")).select("part", F.substring("leaf", 1, 3).alias("digits"), F.unhex("leaf").alias("leaf"))
+    gathered = F.transform(F.sort_array(F.collect_list("leaf")), lambda x: F.lower(F.hex(x)))
+    inner = leaves.groupBy("part", "digits").agg(F.count("*").alias("rows"), rolled(gathered).alias("hash"))
+    roots = inner.groupBy("part").agg(F.sum("rows").alias("rows"), rolled(F.sort_array(F.collect_list(F.concat("digits", "hash")))).alias("hash"))
     return {r["part"]: (r["rows"], r["hash"]) for r in roots.collect()}
 
 
