@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,125 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+#: Chunks, and bytes of their text, whose postings move as one block a bucket; bytes of blocks that a task sorts and writes: some twenty times that as rows.
+BLOCK_ROWS, BLOCK_BYTES, TASK_BYTES = 2048, 8 << 20, 6 << 20
+_ZSTD = pa.ipc.IpcWriteOptions(compression="zstd")
+
+#: Hashes of words up to as many as are folded, in each Python worker; that only saves time.
+_HASHED: dict[str, int] = {}
+
+
+def _bucket(term: str, buckets: int) -> int:
+    found = _HASHED.get(term)
+    if found is None:
+        if len(_HASHED) > MOST_MEMO:
+            _HASHED.clear()
+        found = _HASHED[term] = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)
+    # as Spark's: signed, then its remainder
+    return (found - (found >> 63 << 64)) % buckets
+
+
+def _bytes_apart(numbers: np.ndarray) -> pa.Array:
+    """The bytes of 32-bit numbers, first all lowest, so that those which are nearly always 0 compress to nothing."""
+    return pa.array(np.ascontiguousarray(numbers.astype("<i4").view("u1").reshape(-1, 4).T).ravel())
+
+
+def _bytes_joined(parts: pa.Array) -> np.ndarray:
+    return np.ascontiguousarray(parts.to_numpy().reshape(4, -1).T).view("<i4").ravel()
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to the rows and bytes of a block, or as they are if they are larger."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and (sum(b.num_rows for b in held) + batch.num_rows > BLOCK_ROWS or sum(b.nbytes for b in held) + batch.nbytes > BLOCK_BYTES):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _packed(rows: pa.Table, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Postings as a block a bucket, by term and chunk; ids and lengths are there once a chunk, numbers are differences, and all is compressed."""
+    coded = rows.column("term").combine_chunks().dictionary_encode()
+    of_term = np.array([_bucket(t, buckets) for t in coded.dictionary.to_pylist()], "int64")
+    codes = coded.indices.to_numpy()
+    ids, places = np.unique(rows.column("chunk_id").to_numpy(), return_inverse=True)
+    turn = np.argsort(np.argsort(of_term, kind="stable"))
+    order = np.argsort(turn[codes] * len(ids) + places, kind="stable")
+    starts = np.searchsorted(of_term[codes[order]], np.arange(buckets + 1))
+    for bucket in range(buckets):
+        take = order[starts[bucket] : starts[bucket + 1]]
+        if not len(take):
+            continue
+        part = rows.take(pa.array(take))
+        new = np.flatnonzero(np.diff(codes[take], prepend=-1))
+        positions = part.column("positions").combine_chunks()
+        chunk, first, place = np.unique(places[take], return_index=True, return_inverse=True)
+        flat, times = positions.flatten().to_numpy(), pc.list_value_length(positions).to_numpy()
+        # a position as its distance from the one before of its posting, a chunk from the one before of its term
+        apart, step = np.diff(flat, prepend=0), np.diff(place, prepend=0)
+        heads = (np.cumsum(times) - times)[times > 0]
+        apart[heads], step[new] = flat[heads], place[new]
+        columns = {
+            "term": coded.dictionary.take(pa.array(codes[take][new])),
+            "n": _bytes_apart(np.diff(np.append(new, len(take)))),
+            "step": _bytes_apart(step),
+            "times": _bytes_apart(times),
+            "apart": _bytes_apart(apart),
+            "chunk_id": pa.array(ids[chunk]),
+            "document_id": part.column("document_id").combine_chunks().take(pa.array(first)),
+            "dl": part.column("dl").combine_chunks().take(pa.array(first)),
+        }
+        row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns.values()], list(columns))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, row.schema, options=_ZSTD) as out:
+            out.write_batch(row)
+        yield bucket, sink.getvalue().to_pybytes()
+
+
+def _sums(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of ``steps`` from the start of each run of these ``lengths``."""
+    total = np.concatenate([[0], np.cumsum(steps, dtype="int64")])
+    return total[1:] - np.repeat(total[np.cumsum(lengths, dtype="int64") - lengths], lengths)
+
+
+def _unpacked(block: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(block) as source:
+        row = source.read_next_batch()
+    c = {name: row.column(i).flatten() for i, name in enumerate(row.schema.names)}
+    n, step, times, apart = (_bytes_joined(c[k]) for k in ("n", "step", "times", "apart"))
+    ends = np.concatenate([[0], np.cumsum(times, dtype="int64")])
+    flat, at = _sums(apart, times), pa.array(_sums(step, n))
+    terms = c["term"].take(pa.array(np.repeat(np.arange(len(n)), n)))
+    positions = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat.astype("int32")))
+    return pa.RecordBatch.from_arrays([terms, c["chunk_id"].take(at), c["document_id"].take(at), positions, c["dl"].take(at)], ["term", "chunk_id", "document_id", "positions", "dl"])
+
+
+def dealt_index(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The postings of :func:`build_index`, dealt by the bucket of their term: the rows of a task are of few buckets.
+
+    They move as compressed blocks, of some thousand chunks and a bucket each, since as rows they are several times the text.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _some(batches):
+            found = list(_postings(iter([some])))
+            if not found:
+                continue
+            for bucket, block in _packed(pa.Table.from_batches(found), buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary())], ["bucket", "block"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0):
+                yield _unpacked(block.as_py())
+
+    blocks = chunks.select("chunk_id", "document_id", "text").mapInArrow(packed, "bucket int, block binary")
+    return blocks.hint("rebalance", "bucket").select("block").mapInArrow(rows, POSTINGS)
+
+
 @dataclass(frozen=True)
 class StoredIndex:
     """A written index: postings in folders by a hash of their term and sorted within, and what is counted over all of them."""

@@ -77,25 +77,6 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None) ->
     return rows.select(*[c for c in files.columns if c not in ("error", "text")], F.when(error.isNull(), text).alias("text"), error.alias("error"))
 
 
-def missing_from(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """One row of each key that is not among ``known``."""
-    return rows.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
-
-
-def texts_with_store(files: DataFrame, known: DataFrame, extractors: dict[str, Extractor] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Texts for all described ``files``, and the rows to append to the store.
-
-    ``known(sha256, mime_type, text)`` are the stored texts of these files, not those of all. Only the other contents are
-    extracted, once for each MIME type they are seen as: the same bytes have one text as Markdown and another as plain text.
-    """
-    keys = ["sha256", "mime_type"]
-    fresh = extract(missing_from(files.where("error IS NULL"), known, keys), extractors)
-    both = known.select(*keys, "text", F.lit(None).cast("string").alias("problem")).unionByName(fresh.select(*keys, "text", F.col("error").alias("problem")))
-    joined = files.drop("content", "text").join(both, keys, "left")
-    texts = joined.withColumn("error", F.coalesce("error", "problem")).drop("problem")
-    return texts, fresh.where("error IS NULL").select(*keys, "text")
-
-
 def raw_rows(files: DataFrame) -> DataFrame:
-    """Rows ``sha256, ext, content`` of the archive of sources."""
-    return files.select("sha256", F.lower(X.extension(F.col("path"))).alias("ext"), "content")
+    """Rows ``sha256, ext, content`` of the archive of sources; ``row`` and without contents if the files are."""
+    return files.select("sha256", F.lower(X.extension(F.col("path"))).alias("ext"), *[c for c in ("content", "row") if c in files.columns])

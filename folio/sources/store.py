@@ -26,6 +26,8 @@ from folio.schemas import TABLES
 from folio.sources.log import ConflictError, Folder, Log
 
 BUCKETS = 64
+#: The bucket of rows that are in no part, and how segments are compressed.
+ASIDE, COMPRESSION = -1, "zstd"
 #: Segments of one bucket and of like size that are joined.
 FANOUT = 8
 #: Tables whose rows belong to a generation of a document; the others are of contents by their digest.
@@ -88,7 +90,8 @@ class Store:
 
     def _rows(self, name: str, parts: list[dict]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            # known to be empty when a query is planned, so that joins with it move nothing
+            return self.spark.range(0).where("false").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._place(p) for p in parts])
 
     def _place(self, part: dict) -> str:
@@ -156,14 +159,26 @@ class Store:
 
     def written(self, name: str, rows: DataFrame) -> dict[str, dict]:
         """Write ``rows`` as a new segment of a table that nobody sees yet; returns its parts for a commit."""
+        return self.laid(name, self.dealt(name, rows))[0]
+
+    def dealt(self, name: str, rows: DataFrame) -> DataFrame:
+        """``rows`` by their bucket, balanced by size: a bucket with much text is written by several tasks."""
+        return rows.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket")
+
+    def laid(self, name: str, rows: DataFrame, aside: Column | None = None) -> tuple[dict[str, dict], DataFrame]:
+        """The same where the rows are: nothing moves, and each task writes a file a bucket. Returns the parts, and all that was written.
+
+        What is ``aside``, and columns that a table has not, are for the caller alone: they are in no part, or not in its schema.
+        """
         segment = f"s{uuid.uuid4().hex}"
         path = f"{name}/seg={segment}"
-        frame = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]], self.bucket(name).alias("bucket"))
-        # balanced by size: a bucket with much text is written by several tasks
-        frame.hint("rebalance", "bucket").sortWithinPartitions("bucket", ORDER[name]).write.partitionBy("bucket").parquet(f"{self.folder}/{path}")
-        made = self.spark.read.schema(T.StructType([*SCHEMAS[name], T.StructField("bucket", T.IntegerType())])).parquet(f"{self.folder}/{path}")
-        counts = made.groupBy("bucket").agg(F.count("*").alias("rows"), *[F.expr(c).alias(n) for n, c in COUNTED.get(name, {}).items()]).collect()
-        return {f"{r['bucket']}/{segment}": {"path": f"{path}/bucket={r['bucket']}"} | r.asDict() for r in counts}
+        more = [f for f in rows.schema if f.name not in (*SCHEMAS[name].names, "bucket")]
+        bucket = self.bucket(name) if aside is None else F.when(aside, ASIDE).otherwise(self.bucket(name))
+        frame = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]], *[f.name for f in more], bucket.alias("bucket"))
+        frame.sortWithinPartitions("bucket", ORDER[name]).write.partitionBy("bucket").option("compression", COMPRESSION).parquet(f"{self.folder}/{path}")
+        made = self.spark.read.schema(T.StructType([*SCHEMAS[name], *more, T.StructField("bucket", T.IntegerType())])).parquet(f"{self.folder}/{path}")
+        counts = made.where(F.col("bucket") != ASIDE).groupBy("bucket").agg(F.count("*").alias("rows"), *[F.expr(c).alias(n) for n, c in COUNTED.get(name, {}).items()]).collect()
+        return {f"{r['bucket']}/{segment}": {"path": f"{path}/bucket={r['bucket']}"} | r.asDict() for r in counts}, made
 
     def commit(self, state: dict, add: dict[str, dict] | None = None, drop: dict[str, list[str]] | None = None, touched: dict[str, list[int]] | None = None, facts: dict[str, str] | None = None, run: tuple[str, int] | None = None) -> int:
         """Make parts that were written current, or raise :class:`ConflictError`; ``touched`` are the buckets that were read for it."""
