@@ -4,7 +4,8 @@ Every table is dealt into buckets, by what it is looked up by: documents by a ha
 document, postings by a hash of their term, texts and raw copies by their digest. An ingest adds a segment to the buckets it
 concerns and reads no other bucket. A document's rows carry the generation of the ingest that wrote them; what an ingest or a
 removal supersedes is noted, a row a document, in the table ``gone``, and is left out when tables are read. A text is there
-while a document has it. ``merge`` joins segments of like size, so that there stay few, and ``compact`` also drops what is gone.
+while a document has it. ``merge`` joins segments of like size, so that there stay few, and ``compact`` also drops what is gone;
+both also join the files that the tasks of a large ingest have each written for a bucket.
 
 The log has statistics of each part, and ``gone`` those of what it takes away, so that the numbers of a knowledge base, and the
 sizes that decide about broadcasts, are sums of a few lines.
