@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     near = near.where((5 * F.least("size_a", "size_b") >= 4 * F.greatest("size_a", "size_b")) & (9 * apart <= size))
     near = written(near.select("a", "b"), "near")
     wanted = near.select(F.col("a").alias("sig")).union(near.select(F.col("b").alias("sig"))).distinct()
-    places = nodes.join(wanted, "sig").select("sig", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    places = nodes.join(wanted, "sig").select("sig", "k1", "k2")
     # rows equal in both keys have one text
     sets = docs.join(places, ["k1", "k2"]).select("sig", "text").withColumn("own", _sets(F.col("text"))).select("sig", "own")
     sets = written(sets, "shingles")
@@ -149,8 +149,8 @@ def _most_frequent(shingles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["h"].to_numpy(), found["n"].to_numpy()
 
 
-def _more_common(nodes: DataFrame, docs: DataFrame, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """``common`` and ``often`` with the shingles they lack; None if no bucket but those of common shingles is large.
+def _more_common(nodes: DataFrame, docs: DataFrame, common: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The shingles that ``common`` lacks, sorted, and how often they are there; None if no bucket but those of common shingles is large.
 
     A shingle of a large bucket stands in a passage that many texts share, so of the texts of such buckets all shingles are counted:
     the passage's others would be the next to make large buckets.
@@ -159,32 +159,50 @@ def _more_common(nodes: DataFrame, docs: DataFrame, common: np.ndarray, often: n
     hashes = hashes[~np.isin(hashes, common)]
     if not len(hashes) or len(common) > 4 * COMMON:
         return None
-    spark = nodes.sparkSession
-    large = spark.createDataFrame(pa.table({"h": hashes}))  # at most COMMON numbers
-    texts = nodes.select("first.k1", "first.k2", F.explode("prefix").alias("h")).join(F.broadcast(large), "h", "left_semi").select("k1", "k2").distinct()
-    texts = written(texts, "shared-texts")
-    of_texts = docs.join(few_or_shuffled(texts, texts.count()), ["k1", "k2"], "left_semi")
+    texts = written(_with_any(nodes, hashes), "shared-texts")
+    of_texts = docs.join(few_or_shuffled(texts.select("k1", "k2"), texts.count()), ["k1", "k2"], "left_semi")
     new, counts = _most_frequent(of_texts.select(F.explode(_sets(F.col("text"))).alias("h")))
     removed(texts)
-    every = np.concatenate([common, new, hashes])
-    _, first = np.unique(every, return_index=True)  # sorted; of equal ones that which was there
-    return every[first], np.concatenate([often, counts, np.full(len(hashes), BUCKET + 1)])[first]
+    fresh = ~np.isin(new, common)
+    every = np.concatenate([new[fresh], hashes])
+    every, first = np.unique(every, return_index=True)  # of equal ones that which was counted
+    return every, np.concatenate([counts[fresh], np.full(len(hashes), BUCKET + 1)])[first]
+
+
+def _with_any(nodes: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """``sig, k1, k2`` of the nodes with one of ``hashes``, a bounded number, in the prefix."""
+    listed = nodes.sparkSession.createDataFrame(pa.table({"h": hashes}))
+    # the keys are columns of their own: Spark 4.1 loses the second of two fields of a struct that pass an explode and a join
+    return nodes.select("sig", "k1", "k2", F.explode("prefix").alias("h")).join(F.broadcast(listed), "h", "left_semi").select("sig", "k1", "k2").distinct()
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    """The distinct sets of ``rows``, which :func:`signed` gave."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
+    # least of each set: a hot one is one row a task before it moves
+    rows = rows.groupBy("sig").agg(least, *[F.first(c).alias(c) for c in ("size", "sketch", "fp", "prefix")])
+    return rows.select("sig", "first", "first.k1", "first.k2", "size", "sketch", "fp", "prefix")
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """The distinct sets of ``docs(doc_id, k1, k2, text)``, ``sig, first, size, sketch, fp, prefix``, under an order in which common
-    shingles come last; ``first`` is the least row that has the set."""
+    """The distinct sets of ``docs(doc_id, k1, k2, text)``, ``sig, first, k1, k2, size, sketch, fp, prefix``, under an order in which
+    common shingles come last; ``first`` is the least row that has the set, ``k1, k2`` its keys.
+
+    A shingle that becomes common moves back in the order, so only prefixes that hold it change, and only their texts are read again.
+    """
     common, often = common_shingles(docs)
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "k1", "k2")).alias("first")
-    while True:
-        # least of each set: a hot one is one row a task before it moves
-        rows = signed(docs, common, often).groupBy("sig").agg(least, *[F.first(c).alias(c) for c in ("size", "sketch", "fp", "prefix")])
-        nodes = written(rows, "nodes")
-        more = _more_common(nodes, docs, common, often)
-        if more is None:
-            return nodes
-        common, often = more
-        removed(nodes)
+    nodes = written(_nodes(signed(docs, common, often)), "nodes")
+    while (more := _more_common(nodes, docs, common)) is not None:
+        every, counts = np.concatenate([common, more[0]]), np.concatenate([often, more[1]])
+        order = np.argsort(every)
+        common, often = every[order], counts[order]
+        moved = written(_with_any(nodes, more[0]), "moved")
+        n, before = moved.count(), nodes
+        # rows equal in both keys have one text
+        again = _nodes(signed(docs.join(few_or_shuffled(moved.select("k1", "k2"), n), ["k1", "k2"], "left_semi"), common, often))
+        nodes = written(before.join(few_or_shuffled(moved.select("sig"), n), "sig", "left_anti").unionByName(again), "nodes")
+        removed(before, moved)
+    return nodes
 
 
 def links(nodes: DataFrame, docs: DataFrame, close: DataFrame) -> DataFrame:

@@ -108,3 +108,27 @@ def test_the_search_proposes_within_three_bits(spark):
     nodes += [(100 + k, f ^ sum(1 << int(b) for b in rng.choice(62, 1 + k % 5, replace=False))) for k, f in enumerate(fps)]
     got = {frozenset(r) for r in searched(spark.createDataFrame(nodes, "sig long, fp long")).collect()}
     assert got == {frozenset((k, 100 + k)) for k in range(40) if 1 + k % 5 <= 3}
+
+
+def test_shingles_that_become_common(spark, monkeypatch):
+    """No sample at all: every large bucket is found over all texts. Before, Spark failed on the first (an attribute that its optimizer lost)."""
+    monkeypatch.setattr(N, "common_shingles", lambda docs: (np.empty(0, "<i8"), np.empty(0, "<i8")))
+    monkeypatch.setattr(N, "BUCKET", 20)
+    calls, signed = [], N.signed
+    monkeypatch.setattr(N, "signed", lambda docs, common, often: calls.append((docs.count(), common, often)) or signed(docs, common, often))
+    rng = np.random.default_rng(17)
+    passage = [f"p{x}" for x in range(60)]
+    texts = [[f"u{x}" for x in rng.integers(0, 10**6, 12)] + passage + [f"v{x}" for x in rng.integers(0, 10**6, 13)] for _ in range(60)]
+    texts += [[f"w{x}" for x in rng.integers(0, 10**6, 50)] for _ in range(40)]
+    texts += [changed(rng, t, 1) for t in texts[55:65]] + [passage] * 3
+    docs = {i: " ".join(t) for i, t in enumerate(texts)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    keyed = frame.select("doc_id", frame["doc_id"].alias("k1"), (-frame["doc_id"]).alias("k2"), "text")
+    nodes = {r["sig"]: (tuple(r["first"]), r["k1"], r["k2"], r["size"], r["fp"], r["prefix"]) for r in N.nodes_of(keyed).collect()}
+    # the texts of the passage, and no others, are signed again, and all as under the last order from the start
+    assert len(calls) > 1 and all(60 <= c[0] < 80 for c in calls[1:]), [c[0] for c in calls]
+    wanted = {}
+    for r in signed(keyed, *calls[-1][1:]).orderBy("doc_id").collect():
+        wanted.setdefault(r["sig"], ((False, r["k1"], r["k2"]), r["k1"], r["k2"], r["size"], r["fp"], r["prefix"]))
+    assert nodes == wanted
+    assert {r["doc_id"] for r in keep_one(frame).collect()} == brute_kept(docs)
