@@ -166,3 +166,31 @@ def test_every_document_trains(spark, monkeypatch):
     model = pii.train(keys, 200)
     assert seen[0] == seen[-1] >= 30_000 and len(seen) > 1, seen
     assert model.trees is not None
+
+
+def test_cells_that_stay_on_the_executors_keep_their_bins(spark, monkeypatch):
+    """More cells than the driver takes give the same trees and thresholds from the same bins. Before, the bins were halved until few were left."""
+    monkeypatch.setattr(pii, "TREES", 6)
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghilmnoprstuv"), rng.integers(3, 9))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(planted(rng, words, 400)[0])), "doc_id long, text string")
+    seen, cells = [], pii._cells
+    monkeypatch.setattr(pii, "_cells", lambda rows, cuts: seen.append(cuts) or cells(rows, cuts))
+    few, dealt = pii.train(docs), pii.train(docs, 50)
+    assert all(len(a) == len(b) and (a == b).all() for cuts in seen for a, b in zip(seen[0], cuts, strict=True))
+    assert max(map(len, seen[-1])) > 20
+    assert (few.trees.feature == dealt.trees.feature).all() and (few.trees.split == dealt.trees.split).all()
+    assert np.allclose(few.trees.leaf, dealt.trees.leaf, atol=1e-4) and abs(few.trees.base - dealt.trees.base) < 1e-9
+    assert few.thresholds.keys() == dealt.thresholds.keys() and all(abs(few.thresholds[k] - t) < 2e-3 for k, t in dealt.thresholds.items())
+
+
+def test_candidates_of_repeated_texts_count(spark, monkeypatch):
+    """Each candidate of each row is in the sums; before, equal ones were one."""
+    monkeypatch.setattr(pii, "TREES", 1)
+    rng = np.random.default_rng(10)
+    texts = [t for i, t in enumerate(planted(rng, ["some", "plain", "words"], 60)[0]) for _ in range(1 + i % 5)]
+    seen, cells = [], pii._cells
+    monkeypatch.setattr(pii, "_cells", lambda rows, cuts: seen.append(cells(rows, cuts).agg({"n": "sum"}).first()[0]) or cells(rows, cuts))
+    for most in (pii.MOST_CELLS, 10):
+        pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most)
+    assert set(seen) == {sum(len(pii.labelled(t)) for t in texts)}
